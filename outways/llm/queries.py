@@ -6,19 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outways.llm import multiset_hash
+from outways.llm import host_reputation, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a damaged replica, derived from the pages, against the pages."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged_copy(pages))
+
+
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.schedule(_table(spark, sf_dir, "documents"))
+
+
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judged_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "templates_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle_fixity": op1_merkle_fixity,
     "op2_multiset_hash": op2_multiset_hash,
+    "op3_pfair_mix": op3_pfair_mix,
+    "op4_swap_packing": op4_swap_packing,
+    "op7_host_reputation": op7_host_reputation,
+    "op8_rule_ensemble": op8_rule_ensemble,
+    "op9_toxic_grammar": op9_toxic_grammar,
+    "op10_site_templates": op10_site_templates,
 }
 
 #: Where DuckDB can say the same thing.
