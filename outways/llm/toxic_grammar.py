@@ -12,7 +12,10 @@ transducers, composed into one machine, rewrite the class string of each clause:
 The machine's outputs are counted per document, and a logistic regression on a bounded sample of
 labelled rows weighs the logarithms of the counts: a clause counts by its pattern, not each word
 alone. The insult lexicon is the fixed list below and the words that the same sample shows to
-stand almost only in toxic texts, in many different surroundings.
+stand almost only in toxic texts, in many different surroundings. Languages that build insults
+by composition get stems as well: beginnings of many different words, far more frequent in
+toxic texts. As a stem also turns up in clean texts now and then, its clauses count twice, once
+as they are and once by the thousand words.
 
 Cases: a null text counts as empty; texts without a match get the score of no matches; with no
 labelled rows or only one class among them fixed weights are taken.
@@ -21,15 +24,14 @@ labelled rows or only one class among them fixed weights are taken.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, log, log1p
+from math import exp, log1p
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outways.llm.labelled import MAX_ROWS, held_out, training_rows
@@ -48,9 +50,9 @@ THREATS = "kill murder destroy hurt strangle stab shoot beat töten umbringen tu
 PERSONS = "you your yours he she him her they them these those this that du dich ihr euch tu toi vous te usted ustedes ellos"
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais ne nunca jamás"
 REPORTING = "said says wrote writes claimed claims called quoted quotes reported sagte schrieb dit écrit dijo escribió"
-FEATURES = ("insult", "insult_at", "insult_negated", "insult_reported", "threat", "threat_negated", "threat_reported")
+FEATURES = ("insult", "insult_at", "insult_negated", "insult_reported", "threat", "threat_negated", "threat_reported", "stem", "stem_again", "words")
 #: Weights of the features and the intercept where nothing can be learned.
-FALLBACK = ((3.0, 4.0, 0.5, 0.5, 4.0, 0.5, 0.5), -3.0)
+FALLBACK = ((3.0, 4.0, 0.5, 0.5, 4.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0), -3.0)
 LEAST_SCORE = 0.5
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\n.!?]+|[;:]+|[\"“”«»]")
@@ -94,12 +96,13 @@ def composed(*machines: Transducer):
     return tuple(m.start for m in machines), step
 
 
-# Symbols: I insult, T threat verb, P person, N negation, R reporting verb, o other word, " quotation
-# mark, ";" clause end, "." sentence end. Written: H threat, i h negated, J K reported, A targeted.
+# Symbols: I insult, S stem, T threat verb, P person, N negation, R reporting verb, o other word,
+# " quotation mark, ";" clause end, "." sentence end. Written: H threat, i h negated, J K reported,
+# A targeted, s a stem after another one in its sentence.
 THREAT = Transducer({(0, "T"): (1, ("o",)), (1, "T"): (1, ("o",)), (1, "P"): (0, ("H", "P"))}, {})
 NEGATION = Transducer(
     {(n, "N"): (3, ("N",)) for n in range(4)}
-    | {(n, x): (n - 1, (x,)) for n in range(1, 4) for x in "oPR"}
+    | {(n, x): (n - 1, (x,)) for n in range(1, 4) for x in "oPRS"}
     | {(n, x): (n - 1, (y,)) for n in range(1, 4) for x, y in (("I", "i"), ("H", "h"))},
     {},
 )
@@ -114,51 +117,64 @@ TARGET = Transducer(
     {(0, "P"): (1, ()), (0, "I"): (2, ()), (1, "I"): (1, ("A",)), (2, "I"): (2, ("I",)), (2, "P"): (1, ("A",))},
     {2: ("I",)},
 )
-START, STEP = composed(THREAT, NEGATION, REPORTED, TARGET)
-COUNTED = {"I": 0, "A": 1, "i": 2, "J": 3, "H": 4, "h": 5, "K": 6}
-
-
-def lexicon(extra: tuple[str, ...] = ()) -> dict[str, str]:
-    """Word to class; where lists overlap, the first named here wins."""
-    classes: dict[str, str] = {}
-    for kind, words in (("insult", INSULTS.split() + list(extra)), ("threat_verb", THREATS.split()), ("person", PERSONS.split()), ("negation", NEGATIONS.split()), ("reporting", REPORTING.split())):
-        for word in words:
-            classes.setdefault(word, KINDS[kind])
-    return classes
-
-
-def clause_counts(text: str, classes: dict[str, str]) -> list[int]:
-    """How often each of ``FEATURES`` is matched in a text."""
-    counts, state = [0] * len(FEATURES), START
-    for token in TOKEN.findall(text.lower()) + ["."]:
-        first = token[0]
-        if first in "\n.!?":
-            symbol = "."
-        elif first in ";:":
-            symbol = ";"
-        elif first in '"“”«»':
-            symbol = '"'
-        else:
-            symbol = classes.get(token, "o")
-        state, out = STEP(state, symbol)
-        for x in out:
-            if x in COUNTED:
-                counts[COUNTED[x]] += 1
-    return counts
-
-
-def with_counts(df: DataFrame, keep: list[str], extra: tuple[str, ...]) -> DataFrame:
+AGAIN = Transducer({(0, "S"): (1, ("S",)), (1, "S"): (1, ("s",)), (1, ";"): (1, (";",))}, {})
+START, STEP = composed(THREAT, NEGATION, REPORTED, TARGET, AGAIN)
+COUNTED = {"I": 0, "A": 1, "i": 2, "J": 3, "H": 4, "h": 5, "K": 6, "S": 7, "s": 8}
+WORDS = FEATURES.index("words")
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Words and, for other words, beginnings of words, with their classes."""
+
+    words: tuple[str, ...] = ()
+    stems: tuple[str, ...] = ()
+
+    def classes(self) -> dict[str, str]:
+        """Word to class; where lists overlap, the first named here wins."""
+        classes: dict[str, str] = {}
+        for kind, words in (("insult", [*INSULTS.split(), *self.words]), ("threat_verb", THREATS.split()), ("person", PERSONS.split()), ("negation", NEGATIONS.split()), ("reporting", REPORTING.split())):
+            for word in words:
+                classes.setdefault(word, KINDS[kind])
+        return classes
+
+    def counter(self):
+        """A function that counts how often a text matches each of ``FEATURES``."""
+        classes, stems = self.classes(), self.stems
+        heads = [w for w, kind in classes.items() if kind in "IT"] + list(stems)
+
+        def counts(text: str | None) -> list[int]:
+            low, found, state = (text or "").lower(), [0] * len(FEATURES), START
+            if not any(w in low for w in heads):
+                found[WORDS] = low.count(" ") + low.count("\n") + 1
+                return found
+            for token in [*TOKEN.findall(low), "."]:
+                first = token[0]
+                if first in "\n.!?":
+                    symbol = "."
+                elif first in ";:":
+                    symbol = ";"
+                elif first in '"“”«»':
+                    symbol = '"'
+                else:
+                    symbol = classes.get(token) or ("S" if stems and token.startswith(stems) else "o")
+                state, out = STEP(state, symbol)
+                for x in out:
+                    if x in COUNTED:
+                        found[COUNTED[x]] += 1
+            found[WORDS] = low.count(" ") + low.count("\n") + 1
+            return found
+
+        return counts
+
+
+def with_counts(df: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
     """``keep`` columns and the clause counts of column ``text``, in Arrow batches."""
-    classes = lexicon(extra)
-    heads = [w for w, kind in classes.items() if kind in "IT"]
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = [0] * len(FEATURES)
+        counts = lexicon.counter()
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                low = text.lower()
-                rows.append(clause_counts(low, classes) if any(w in low for w in heads) else none)
+            rows = [counts(text) for text in batch["text"]]
             out = batch[keep].copy()
             for i, name in enumerate(FEATURES):
                 out[name] = [r[i] for r in rows]
@@ -169,6 +185,45 @@ def with_counts(df: DataFrame, keep: list[str], extra: tuple[str, ...]) -> DataF
     return rows.mapInPandas(counted, schema)
 
 
+def inputs() -> list[Column]:
+    """The regression's inputs from the counts."""
+    stems = F.col("stem") + F.col("stem_again")
+    return [*[F.log1p(F.col(x)).alias(x) for x in FEATURES], F.log1p(stems * 1000.0 / F.col("words")).alias("stem_rate")]
+
+
+def inputs_of(counts: list[int]) -> list[float]:
+    stems = counts[COUNTED["S"]] + counts[COUNTED["s"]]
+    return [*map(log1p, counts), log1p(stems * 1000.0 / counts[WORDS])]
+
+
+def unlike(train: DataFrame) -> DataFrame:
+    """One text of each group of near copies, nearly: those with the same smallest hash of three words."""
+    threes = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+\s+\S+\s+\S+"), F.lit(0))
+    least = F.coalesce(F.array_min(F.transform(threes, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    return train.withColumn("__least", least).dropDuplicates(["__least"]).drop("__least")
+
+
+def learned_stems(train: DataFrame, low: int = 4, high: int = 7, least: int = 20, ratio: float = 8.0, size: int = 40) -> tuple[str, ...]:
+    """At most ``size`` beginnings of words: of at least eight different words, at least ``least``
+    times in toxic texts (a word counts once a text), and ``ratio`` times as often there as in
+    clean ones."""
+    tokens = train.select("label", F.explode(F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= low)).alias("word"))
+    words = tokens.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).filter("toxic > 0 or clean > 0")
+    totals = words.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()[0]
+    if not totals["t"] or not totals["c"]:
+        return ()
+    scale = totals["c"] / totals["t"]
+    begun = words.select("toxic", "clean", F.explode(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("word"))), lambda k: F.col("word").substr(F.lit(1), k))).alias("stem"))
+    sums = begun.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.when(F.col("toxic") > 0, 1)).alias("kinds"))
+    times = F.col("toxic") * scale / (F.col("clean") + 1)
+    good = sums.filter((F.col("kinds") >= 8) & (F.col("toxic") >= least) & (times >= ratio)).select("stem", (F.col("toxic") * F.log(times)).alias("gain"))
+    chosen: list[str] = []
+    for row in good.orderBy(F.desc("gain"), "stem").limit(50 * size).collect():
+        if len(chosen) < size and not any(row["stem"].startswith(s) or s.startswith(row["stem"]) for s in chosen):
+            chosen.append(row["stem"])
+    return tuple(chosen)
+
+
 def learned_words(train: DataFrame, least: int = 5, purity: float = 0.97, size: int = 200) -> tuple[str, ...]:
     """At most ``size`` words of toxic texts: in at least ``least`` of them, almost never elsewhere,
     and after at least ``least`` different words, which the words of one copied text are not."""
@@ -184,40 +239,41 @@ def learned_words(train: DataFrame, least: int = 5, purity: float = 0.97, size:
 
 @dataclass
 class ToxicModel:
-    extra: tuple[str, ...]
+    lexicon: Lexicon
     weights: tuple[float, ...]
     intercept: float
 
-    def score(self):
+    def score(self) -> Column:
         total = F.lit(self.intercept)
-        for name, weight in zip(FEATURES, self.weights, strict=True):
-            total = total + F.log1p(F.col(name)) * F.lit(weight)
+        for x, weight in zip(inputs(), self.weights, strict=True):
+            total = total + x * F.lit(weight)
         return 1 / (1 + F.exp(-total))
 
-    def score_of(self, text: str) -> float:
-        """The same for one text, for checks."""
-        counts = clause_counts(text, lexicon(self.extra))
-        return 1 / (1 + exp(-self.intercept - sum(w * log1p(c) for w, c in zip(self.weights, counts, strict=True))))
+    def scorer(self):
+        """The same for one text at a time."""
+        counts = self.lexicon.counter()
+        return lambda text: 1 / (1 + exp(-self.intercept - sum(w * x for w, x in zip(self.weights, inputs_of(counts(text)), strict=True))))
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicModel:
     train = written(training_rows(documents, labels, "toxic", max_rows), "toxic-train")
-    classes = Counter({r["label"]: r["count"] for r in train.groupBy("label").count().collect()})
+    classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
-        return ToxicModel((), *FALLBACK)
-    extra = learned_words(train)
-    counted = with_counts(train, ["label"], extra).select("label", *[F.log1p(F.col(x)).alias(x) for x in FEATURES])
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(counted).select("label", "x").coalesce(8).cache()
-    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, elasticNetParam=0.0, maxIter=60).fit(rows)
+        return ToxicModel(Lexicon(), *FALLBACK)
+    apart = written(unlike(train), "toxic-apart")
+    lexicon = Lexicon(learned_words(apart), learned_stems(apart))
+    counted = with_counts(train, ["label"], lexicon).select("label", *inputs())
+    rows = VectorAssembler(inputCols=[c for c in counted.columns if c != "label"], outputCol="x").transform(counted).select("label", "x").coalesce(8).cache()
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, elasticNetParam=0.0, maxIter=100).fit(rows)
     rows.unpersist()
-    return ToxicModel(extra, tuple(float(w) for w in model.coefficients), float(model.intercept))
+    return ToxicModel(lexicon, tuple(float(w) for w in model.coefficients), float(model.intercept))
 
 
 def scored(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score (higher: label 1 likelier), predicted, for each row of documents."""
     model = fitted(documents, labels, max_rows)
     return (
-        with_counts(documents, ["doc_id"], model.extra)
+        with_counts(documents, ["doc_id"], model.lexicon)
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
         .withColumn("predicted", (F.col("score") >= LEAST_SCORE).cast("int"))
     )
@@ -226,19 +282,10 @@ def scored(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 def kept(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of documents that aren't toxic, as they are."""
     model = fitted(documents, labels, max_rows)
-    columns = documents.columns
-    classes = lexicon(model.extra)
-    heads = [w for w, kind in classes.items() if kind in "IT"]
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = model.scorer()
         for batch in batches:
-            keep = []
-            for text in batch["text"]:
-                low = (text or "").lower()
-                keep.append(not any(w in low for w in heads) or model.score_of(low) < LEAST_SCORE)
-            yield batch[keep]
-
-    quiet = ToxicModel(model.extra, model.weights, model.intercept).score_of("")
-    if quiet >= LEAST_SCORE:
-        return documents.limit(0)
-    return documents.select([F.col(f"`{c}`") for c in columns]).mapInPandas(clean, documents.schema)
+            yield batch[[score(text) < LEAST_SCORE for text in batch["text"]]]
+
+    return documents.mapInPandas(clean, documents.schema)
