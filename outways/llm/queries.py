@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outways.llm import forest_search, host_reputation, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
+from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.joined(_table(spark, sf_dir, "documents"))
+
+
 def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return forest_search.searched(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multiset_hash": op2_multiset_hash,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_swap_packing": op4_swap_packing,
+    "op5_token_groups": op5_token_groups,
     "op6_projection_forest": op6_projection_forest,
     "op7_host_reputation": op7_host_reputation,
     "op8_rule_ensemble": op8_rule_ensemble,
