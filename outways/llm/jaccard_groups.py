@@ -6,17 +6,23 @@ and returns the connected components.
 1. Texts with equal sets are one node. Every node's shingles are ordered by one global order,
    common ones last, and its prefix is taken: similar sets share a shingle of both prefixes. The
    order's table of common shingles is bounded; what it leaves out costs time, not links.
-2. Shingles that several prefixes hold give each node a pivot: the smallest node under the shingle;
-   the pivot it meets most often is compared with it exactly. The components of these links are
-   the groups of similar texts.
-3. The token-group matrix holds the prefix shingles of each group (in chunks of bounded size)
-   that still stand in several groups. A node opens a chunk of another group only if it shares
-   such a shingle, the sizes allow it, and the chunk's token union holds enough of its tokens;
-   in an opened chunk it is compared exactly, until the first link: one joins the groups.
-4. Components of groups give each document the smallest id it can reach.
+2. Shingles that several prefixes hold give each node pivots: the smallest node under the shingle.
+   The pivot that may be nearest is compared with it exactly, which gives first components. The
+   pivot it meets most often makes its group: similar texts, linked or not, in chunks of
+   bounded size.
+3. The token-group matrix holds the union of the prefix shingles of each group's chunks, of the
+   shingles that still stand in several components. A node opens a chunk only if it shares such
+   a shingle, and the chunk holds fitting sizes and another component; what is left after the
+   parity bound goes on to the exact comparison, for which the opened texts' token union must
+   hold enough of the node's tokens.
+4. Components of components give each document the smallest id it can reach.
+
+Before any full set is looked up, pairs pass a parity bound: a node's bitmap has the parity of the
+number of its shingles under each bit, so two bitmaps differ in no more bits than the sets in
+shingles, and pairs whose bitmaps differ in too many are no links. Bitmaps are a 64th of the sets.
 
 No step emits the pairs of a group: step 2 has one pair per node, step 3 one row per node and
-chunk of another group. Only counts and the bounded table reach the driver.
+chunk of up to CHUNK_SETS texts. Only counts and the bounded table reach the driver.
 
 Cases: null and empty texts and those without words have no shingles and are linked with nothing;
 rows without an id keep a row but take no part (component null); repeated ids keep a row each.
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outways.llm.shingles import chunks, set_keys, shingle_sets
@@ -42,6 +48,8 @@ COMMON_IN_TASK, COMMON_LEAST = 4, 16
 #: Tokens that a task counts at once.
 COUNT_TOKENS = 2_000_000
 CHUNK_SETS = 256
+#: Up to so many ids (64 MB) choose texts by broadcast; beyond, by a shuffled join.
+BROADCAST_IDS = 4_000_000
 
 
 def common_shingles(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +105,36 @@ def sketches(documents: DataFrame, width: int, percent: int) -> DataFrame:
             prefix = hashes[order][place < np.repeat(lengths, n)]
             ends = np.concatenate([[0], np.cumsum(lengths)]).astype("i4")
             keys = pa.array(set_keys(offsets, hashes), mask=n == 0)
+            words, begins = parities(hashes, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), keys, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view("i8")))], ["doc_id", "node", "n", "prefix"]
-            )
+                [
+                    batch.column(0), keys, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view("i8"))),
+                    pa.ListArray.from_arrays(pa.array(begins.astype("i4")), pa.array(words.view("i8"))),
+                ],
+                ["doc_id", "node", "n", "prefix", "bits"],
+            )
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(sketched, "doc_id long, node long, n long, prefix array<long>, bits array<long>")
+
+
+def parities(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): each set's bitmap of at least n bits, a power of two and at least one word."""
+    sizes = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 64)).astype("i8"))
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    words = np.zeros(begins[-1], "u8")
+    low = hashes & np.repeat((sizes * 64 - 1).astype("u8"), n)
+    at = np.repeat(begins[:-1], n) + (low >> np.uint64(6)).astype("i8")
+    np.bitwise_xor.at(words, at, np.uint64(1) << (low & np.uint64(63)))
+    return words, begins
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketched, "doc_id long, node long, n long, prefix array<long>")
+
+def differing_bits(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ, the longer one folded onto the shorter."""
+    m = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), xor)).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def shared_tokens(sketch: DataFrame) -> DataFrame:
@@ -160,19 +193,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def needed_sets(documents: DataFrame, sketch: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, tokens): the sets of ``nodes``, hashed again from one text of each."""
-    chosen = sketch.filter("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id", "left_semi").select("text")
+    """(node, n, tokens): the sets of ``nodes``, hashed again from one text of each.
+
+    The texts are chosen by a broadcast of their ids while these are at most BROADCAST_IDS, so no
+    text is shuffled; beyond, by a shuffled join.
+    """
+    chosen = sketch.filter("doc_id is not null").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(chosen, "chosen")
+    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 500):
-            offsets, hashes = shingle_sets(batch.column(0).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(set_keys(offsets, hashes)), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(hashes.view("i8")))],
-                ["node", "n", "tokens"],
-            )
+            offsets, hashes = shingle_sets(batch.column(1).to_pylist(), width)
+            keys = set_keys(offsets, hashes)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(hashes.view("i8")))
+            # Repeated ids: only the text with the set that is asked for.
+            wanted = pa.array(keys == batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(offsets)), tokens], ["node", "n", "tokens"]).filter(wanted)
 
-    return rows.mapInArrow(again, "node long, n long, tokens array<long>").filter("n > 0").dropDuplicates(["node"])
+    return rows.mapInArrow(again, "node long, n long, tokens array<long>")
 
 
 def compatible(a: str, b: str, percent: int):
@@ -180,72 +220,134 @@ def compatible(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def pivot_links(shared: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes linked with the pivot they meet most often."""
-    met = shared.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("met"))
-    met = met.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), "pivot").filter(compatible("n", "pivot_n", percent))
-    best = met.groupBy("node").agg(F.max(F.struct("met", "pivot")).alias("best")).select("node", "best.pivot")
-    of_node = best.join(sets.select("node", F.col("n"), F.col("tokens")), "node")
-    of_both = of_node.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens")), "pivot")
-    same = F.size(F.array_intersect("tokens", "pivot_tokens"))
-    return of_both.select(F.col("node").alias("a"), F.col("pivot").alias("b"), same.alias("same"), "n", "pivot_n").filter(
-        F.expr(f"100 * same >= {percent} * (n + pivot_n - same)")
-    ).select("a", "b")
+def may_link(percent: int) -> Column:
+    """Whether the parity bound lets sets of n and other_n shingles that differ in ``apart`` bits link."""
+    return F.expr(f"{100 + percent} * apart <= {100 - percent} * (n + other_n)")
+
+
+def links(percent: int) -> Column:
+    return F.expr(f"100 * same >= {percent} * (n + other_n - same)")
+
+
+def best_pivots(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot): of the pivots a node meets and may link with, that with the fewest differing bits."""
+    met = shared.filter("node <> pivot").select("node", "pivot").distinct()
+    sizes = nodes.select("node", "n")
+    met = met.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("other_n")), "pivot").filter(compatible("n", "other_n", percent))
+    met = met.join(nodes.select("node", "bits"), "node").join(nodes.select(F.col("node").alias("pivot"), F.col("bits").alias("other_bits")), "pivot")
+    met = met.withColumn("apart", differing_bits("bits", "other_bits")).filter(may_link(percent))
+    return met.groupBy("node").agg(F.min(F.struct("apart", "pivot")).alias("best")).select("node", "best.pivot")
+
 
+def pivot_links(best: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes linked with their pivot."""
+    both = best.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("other_n"), F.col("tokens").alias("others")), "pivot")
+    return both.withColumn("same", F.size(F.array_intersect("tokens", "others"))).filter(links(percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
-def group_links(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between groups, found through the token-group matrix.
 
-    ``groups``: (node, n, grp, size) of the nodes that share tokens.
+def families(shared: DataFrame) -> DataFrame:
+    """(node, grp): the pivot that a node meets most often, the smaller on ties; one that meets none is
+    its own."""
+    met = shared.groupBy("node", "pivot").agg(F.sum((F.col("node") != F.col("pivot")).cast("int")).alias("met"))
+    return met.groupBy("node").agg(F.min(F.struct((-F.col("met")).alias("m"), "pivot")).alias("best")).select("node", F.col("best.pivot").alias("grp"))
+
+
+def opened_chunks(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(query, query_comp, grp, chunk): nodes and the chunks that the token-group matrix lets them open.
+
+    groups: (node, n, comp, grp, size). A pair is tried once, from its larger node.
     """
     members = shared.select("token", "node").distinct().join(groups, "node")
-    still_open = members.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
-    members = members.join(still_open, "token")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_SETS)).cast("int")
-    members = written(members.withColumn("chunk", chunk), "open-tokens")
-    matrix = members.groupBy("token", "grp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asking = members.select("token", F.col("node").alias("query"), F.col("n").alias("query_n"), F.col("grp").alias("query_grp"))
-    fits = (F.col("grp") < F.col("query_grp")) & F.expr(f"100 * low <= 100 * query_n * 100 / {percent} and 100 * high >= {percent} * query_n")
-    opened = asking.join(matrix, "token").filter(fits).select("query", "query_grp", "grp", "chunk").distinct()
-    opened = written(opened, "opened")
-    wanted = opened.select("grp", "chunk").distinct()
-    held = (
-        groups.withColumn("chunk", chunk).join(wanted, ["grp", "chunk"], "left_semi").select("node", "grp", "chunk").join(sets.select("node", "tokens"), "node")
-    )
-    queries = opened.join(sets.select(F.col("node").alias("query"), "tokens"), "query")
-    # Queries of one chunk in parts of bounded size, each with the chunk's sets.
+    still_open = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    members = written(members.join(still_open, "token").withColumn("chunk", chunk_of()), "open-tokens")
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("first"), F.min("comp").alias("comp_low"), F.max("comp").alias("comp_high")]
+    matrix = members.groupBy("token", "grp", "chunk").agg(*bounds)
+    asking = members.select("token", F.col("node").alias("query"), F.col("n").alias("query_n"), F.col("comp").alias("query_comp"))
+    fits = F.expr(f"first < query and not (comp_low = query_comp and comp_high = query_comp) and {percent} * low <= 100 * query_n and 100 * high >= {percent} * query_n")
+    return asking.join(matrix, "token").filter(fits).select("query", "query_comp", "grp", "chunk").distinct()
+
+
+def chunk_of() -> Column:
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_SETS)).cast("int")
+
+
+def in_parts(opened: DataFrame, held: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Held rows and queries by (grp, chunk, part): at most some 512 queries meet a chunk in one part."""
     parts = opened.groupBy("grp", "chunk").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
-    held = held.join(parts, ["grp", "chunk"]).select("grp", "chunk", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    queries = queries.join(parts, ["grp", "chunk"]).select("grp", "chunk", "query_grp", "tokens", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"))
-
-    def opening(sets: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": pd.Series(dtype="i8"), "b": pd.Series(dtype="i8")})
-        if not len(sets) or not len(queries):
-            return none
-        own = [np.asarray(t) for t in sets["tokens"]]
-        union, where = np.unique(np.concatenate(own), return_inverse=True)
-        holder = np.repeat(np.arange(len(own)), [len(t) for t in own])
-        order = np.argsort(where, kind="stable")
-        holder, ends = holder[order], np.cumsum(np.bincount(where, minlength=len(union)))
-        lengths, found = np.array([len(t) for t in own]), []
-        for query_grp, tokens in zip(queries["query_grp"], queries["tokens"], strict=True):
-            x = np.asarray(tokens)
-            at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-            at = at[union[at] == x]
-            if 100 * len(at) < percent * len(x):
-                continue
-            begins = np.where(at > 0, ends[at - 1], 0)
-            runs = ends[at] - begins
-            picks = np.repeat(begins - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            same = np.bincount(holder[picks], minlength=len(own))
-            if (100 * same >= percent * (lengths + len(x) - same)).any():
-                found.append((query_grp, sets["grp"].iloc[0]))
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates() if found else none
-
-    keys = ["grp", "chunk", "part"]
+    held = held.join(parts, ["grp", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    queries = queries.join(parts, ["grp", "chunk"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
     # Aliases: both sides come from the same tables.
-    held, queries = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (held, queries))
-    return held.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(opening, "a long, b long").distinct()
+    return tuple(df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("grp", "chunk", "part") for df in (held, queries))
+
+
+def surviving(opened: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(query, query_comp, grp, chunk, node, comp): pairs in opened chunks that the parity bound lets link."""
+    wanted = opened.select("grp", "chunk").distinct()
+    held = groups.withColumn("chunk", chunk_of()).join(wanted, ["grp", "chunk"], "left_semi").select("node", "comp", "grp", "chunk").join(nodes.select("node", "n", "bits"), "node")
+    queries = opened.join(nodes.select(F.col("node").alias("query"), "n", "bits"), "query")
+
+    def folded(words: np.ndarray) -> np.ndarray:
+        half = words.shape[-1] // 2
+        return words[..., :half] ^ words[..., half:]
+
+    def compare(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        if len(own) and len(queries):
+            widths = own["bits"].map(len).to_numpy()
+            sizes, ids, comps = (own[c].to_numpy() for c in ("n", "node", "comp"))
+            stacks = {int(w): (np.flatnonzero(widths == w), np.stack(own["bits"][widths == w].to_numpy()).view("u8")) for w in np.unique(widths)}
+            stacks = {w: (rows, words, folded(words) if w > 1 else None) for w, (rows, words) in stacks.items()}
+            for query, query_comp, n, bits in zip(queries["query"], queries["query_comp"], queries["n"], queries["bits"], strict=True):
+                mine = np.asarray(bits).view("u8")
+                w = len(mine)
+                for width in (w, w * 2, w // 2):  # other sizes are too unlike to link
+                    if width not in stacks:
+                        continue
+                    rows, words, halved = stacks[width]
+                    a, b = (mine, words) if width == w else (mine, halved) if width > w else (folded(mine), words)
+                    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype="i8")
+                    fine = ((100 + percent) * apart <= (100 - percent) * (sizes[rows] + n)) & (ids[rows] < query) & (comps[rows] != query_comp)
+                    fine &= 100 * np.minimum(sizes[rows], n) >= percent * np.maximum(sizes[rows], n)
+                    if fine.any():
+                        hit = rows[fine]
+                        found.append(pd.DataFrame({"query": query, "query_comp": query_comp, "grp": own["grp"].iloc[0], "chunk": own["chunk"].iloc[0], "node": ids[hit], "comp": comps[hit]}))
+        columns = ["query", "query_comp", "grp", "chunk", "node", "comp"]
+        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="i8") for c in columns})
+
+    left, right = in_parts(opened, held, queries)
+    return left.cogroup(right).applyInPandas(compare, "query long, query_comp long, grp long, chunk int, node long, comp long")
+
+
+def group_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components, from surviving pairs' texts compared exactly."""
+    held = pairs.select("grp", "chunk", "node", "comp").distinct().join(sets.select("node", "tokens"), "node")
+    opened = pairs.select("grp", "chunk", "query", "query_comp").distinct()
+    queries = opened.join(sets.select(F.col("node").alias("query"), "tokens"), "query")
+
+    def compare(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple] = set()
+        if len(own) and len(queries):
+            held, comps = [np.asarray(t) for t in own["tokens"]], own["comp"].to_numpy()
+            union, where = np.unique(np.concatenate(held), return_inverse=True)
+            holder = np.repeat(np.arange(len(held)), [len(t) for t in held])
+            holder, ends = holder[np.argsort(where, kind="stable")], np.cumsum(np.bincount(where, minlength=len(union)))
+            lengths = np.array([len(t) for t in held])
+            for query_comp, tokens in zip(queries["query_comp"], queries["tokens"], strict=True):
+                x = np.asarray(tokens)
+                at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+                at = at[union[at] == x]
+                if 100 * len(at) < percent * len(x):
+                    continue  # the union holds too few of its tokens
+                begins = np.where(at > 0, ends[at - 1], 0)
+                runs = ends[at] - begins
+                picks = np.repeat(begins - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+                same = np.bincount(holder[picks], minlength=len(held))
+                linked = 100 * same >= percent * (lengths + len(x) - same)
+                found |= {(int(query_comp), int(c)) for c in np.unique(comps[linked]) if c != query_comp}
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("i8")
+
+    left, right = in_parts(opened, held, queries)
+    return left.cogroup(right).applyInPandas(compare, "a long, b long").distinct()
 
 
 def joined(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -253,17 +355,20 @@ def joined(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     sketch = written(sketches(documents, width, percent), "sketches")
     shared = written(shared_tokens(sketch), "shared")
     playing = shared.select("node").distinct()
-    sizes = sketch.filter("doc_id is not null").join(playing, "node", "left_semi").select("node", "n").dropDuplicates(["node"])
-    sizes = written(sizes, "sizes")
-    sets = written(needed_sets(documents, sketch, sizes.select("node"), width), "sets")
-    stars = written(pivot_links(shared, sizes, sets, percent), "star-links")
-    labels = components(stars)
-    grouped = sizes.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("grp", F.coalesce("label", "node")).drop("label")
+    nodes = sketch.filter("doc_id is not null").join(playing, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = written(nodes, "nodes")
+    best = written(best_pivots(shared, nodes, percent), "best-pivots")
+    sets = written(needed_sets(documents, sketch, best.select("node").union(best.select("pivot")), width), "sets")
+    labels = components(written(pivot_links(best, sets, percent), "star-links"))
+    grouped = nodes.select("node", "n").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").join(families(shared), "node")
+    grouped = grouped.select("node", "n", F.coalesce("label", "node").alias("comp"), "grp")
     counts = grouped.groupBy("grp").agg(F.count("*").alias("size"))
-    groups = written(grouped.join(counts, "grp").select("node", "n", "grp", "size"), "groups")
-    links = written(group_links(shared, groups, sets, percent), "group-links")
-    merged = components(links)
-    final = groups.join(merged.select(F.col("id").alias("grp"), "label"), "grp", "left").select("node", F.coalesce("label", "grp").alias("root"))
+    groups = written(grouped.join(counts, "grp").select("node", "n", "comp", "grp", "size"), "groups")
+    opened = written(opened_chunks(shared, groups, percent), "opened")
+    pairs = written(surviving(opened, groups, nodes, percent), "surviving")
+    more = written(needed_sets(documents, sketch, pairs.select("node").union(pairs.select("query")), width), "sets")
+    merged = components(written(group_links(pairs, more, percent), "group-links"))
+    final = groups.join(merged.select(F.col("id").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("root"))
     rooted = sketch.select("doc_id", "node", "n").join(final, "node", "left")
     # A text without shingles is alone; a node that shares nothing is its own root.
     rooted = written(rooted.select("doc_id", "n", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root")), "rooted")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
@@ -67,7 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ensemble": op8_rule_ensemble,
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_site_templates": op10_site_templates,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Where DuckDB can say the same thing.
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
