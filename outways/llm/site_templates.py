@@ -32,6 +32,8 @@ from outways.llm.store import written
 
 #: A subtree is a template from so many pages of a host on, and from so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: Up to so many deletions (some 50 MB) go to the pages by broadcast.
+BROADCAST_ITEMS = 5_000_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -222,9 +224,12 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     found = written(subtrees(pages), "subtrees")
     recurring = templates(found, pages, least_pages, least_share)
     # Deletions that the elements' own names don't already make.
-    doomed = (
-        found.filter("bare").join(recurring.select("host", "hash"), ["host", "hash"]).groupBy("page_id").agg(F.collect_set("ordinal").alias("doomed"))
+    doomed = written(
+        found.filter("bare").join(recurring.select("host", "hash"), ["host", "hash"]).groupBy("page_id").agg(F.collect_set("ordinal").alias("doomed")), "doomed"
     )
+    # Checked: a short list is broadcast, and no html is shuffled; a long one is joined by page.
+    listed = doomed.agg(F.coalesce(F.sum(F.size("doomed") + 4), F.lit(0))).collect()[0][0]
+    doomed = F.broadcast(doomed) if listed <= BROADCAST_ITEMS else doomed
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
