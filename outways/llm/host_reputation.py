@@ -74,13 +74,16 @@ def _strength(groups: DataFrame, parent_mean: Column) -> DataFrame:
         F.count("*").cast("double").alias("g"),
         F.sum("n").cast("double").alias("t"),
         F.sum(F.col("n") * F.col("n")).cast("double").alias("t2"),
-        F.sum((F.col("bad") - F.col("n") * p) * (F.col("bad") - F.col("n") * p) / (F.col("n") * p * (1 - p))).alias("q"),
+        F.sum(F.try_divide((F.col("bad") - F.col("n") * p) * (F.col("bad") - F.col("n") * p), F.col("n") * p * (1 - p))).alias("q"),
     )
-    size = (F.col("t") - F.col("t2") / F.col("t")) / (F.col("g") - 1)
-    rho = (F.col("q") / (F.col("g") - 1) - 1) / (size - 1)
+    size = F.try_divide(F.col("t") - F.try_divide(F.col("t2"), F.col("t")), F.col("g") - 1)
+    rho = F.try_divide(F.try_divide(F.col("q"), F.col("g") - 1) - 1, size - 1)
     # Groups no more unlike than chance gives: the strongest prior; fewer than two: a weak one.
     return sums.select(
-        F.when((F.col("g") < 2) | (size <= 1.0), F.lit(10.0)).when(rho <= 0.001, F.lit(1000.0)).otherwise(F.greatest(F.lit(1.0), 1 / F.least(rho, F.lit(0.999)) - 1)).alias("k")
+        F.when((F.col("g") < 2) | F.coalesce(size <= 1.0, F.lit(True)), F.lit(10.0))
+        .when(rho <= 0.001, F.lit(1000.0))
+        .otherwise(F.greatest(F.lit(1.0), F.try_divide(F.lit(1.0), F.least(rho, F.lit(0.999))) - 1))
+        .alias("k")
     )
 
 

@@ -168,6 +168,6 @@ def edited_fingerprints(documents: DataFrame, width: int = 512) -> DataFrame:
         .select(
             "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
             likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
-            F.coalesce(likeness(F.col("signs"), F.col("next_signs")), F.lit(0.0)).alias("near_next"),
+            F.when(F.col("next_signs").isNotNull(), likeness(F.col("signs"), F.col("next_signs"))).otherwise(F.lit(0.0)).alias("near_next"),
         )
     )

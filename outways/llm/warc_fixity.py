@@ -12,7 +12,8 @@ WARC file (``RECORDS_PER_FILE`` neighbouring ids make a file).
 All DataFrame expressions; no group holds more than ``FANOUT`` rows or one file's records.
 
 Cases: null urls and payloads are empty ones; repeated ids are told apart by their order of hash;
-records without an id are one range per hash, at negative positions; two empty replicas agree.
+records without an id take places below -2**40 by their hash (ids are above that); two empty
+replicas agree.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def leaves(pages: DataFrame) -> DataFrame:
     """(page_id, copy, slot, sha256, bytes): one row per record; ``slot`` orders and places it."""
     record = record_bytes(F.col("url"), F.col("html"))
     hashed = pages.select("page_id", F.sha2(record, 256).alias("sha256"), F.octet_length(record).cast("long").alias("bytes"))
-    lone = F.lit(-(2**62)) + F.pmod(F.xxhash64("sha256"), F.lit(2**40))
+    lone = F.lit(-(2**40)) - F.pmod(F.xxhash64("sha256"), F.lit(2**30))
     hashed = hashed.withColumn("slot", F.coalesce(F.col("page_id").cast("long"), lone))
     same = Window.partitionBy("slot").orderBy("sha256")
     return hashed.select("page_id", (F.row_number().over(same) - 1).alias("copy"), "slot", "sha256", "bytes")
@@ -57,13 +58,13 @@ def parents(nodes: DataFrame, fanout: int) -> DataFrame:
 
 
 def tree(records: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> list[DataFrame]:
-    """Levels from the leaves (node, sub, sha256) up to a single root."""
+    """Levels from the leaves (node, sub, sha256) up to a root, or one on either side of id 0."""
     level = records.select(F.col("slot").alias("node"), F.col("copy").alias("sub"), "sha256")
     built = [level]
     while levels is None or len(built) < levels:
         level = written(parents(level, fanout), "merkle")
         built.append(level)
-        if levels is None and level.count() <= 1:
+        if levels is None and (level.agg(F.max(F.greatest(F.col("node"), -F.col("node") - 1))).collect()[0][0] or 0) < 1:
             break
     return built
 
@@ -100,7 +101,7 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
     )
     status = F.when(F.col("other").isNull(), "missing").when(F.col("sha256").isNull(), "added").otherwise("altered")
     return bad.join(placed, ["node", "sub"], "left").select(
-        F.when(F.col("node") > -(2**61), F.col("node")).alias("page_id"), F.col("sub").alias("copy"), status.alias("status"),
+        F.when(F.col("node") > -(2**40), F.col("node")).alias("page_id"), F.col("sub").alias("copy"), status.alias("status"),
         F.floor(F.col("node").cast("decimal(20,0)") / RECORDS_PER_FILE).cast("long").alias("file"), "offset", "bytes",
         F.col("sha256").alias("primary_sha256"), F.col("other").alias("replica_sha256"),
     )
