@@ -71,7 +71,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+_RECORD = (
+    "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || "
+    "CAST(strlen(coalesce(html, '')) AS STRING) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+)
+_LEAVES = "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY sha) - 1 AS INT) AS copy, sha, bytes FROM (SELECT page_id, sha256({0}) AS sha, CAST(strlen({0}) AS BIGINT) AS bytes FROM {1})"
+_OP1 = f"""WITH own AS ({_LEAVES.format(_RECORD, "pages")}),
+replica AS (SELECT page_id, url, CASE WHEN (page_id % 1009 * 31) % 50 = 0 THEN '~' || substring(coalesce(html, ''), 2) ELSE html END AS html
+  FROM (SELECT *, unnest(range(CASE (page_id % 1009 * 31) % 50 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END)) AS i FROM pages)),
+other AS ({_LEAVES.format(_RECORD, "replica")}),
+placed AS (SELECT page_id, copy, coalesce(CAST(sum(bytes) OVER (PARTITION BY page_id // 1024 ORDER BY page_id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset", bytes FROM own)
+SELECT page_id, copy, CASE WHEN other.sha IS NULL THEN 'missing' WHEN own.sha IS NULL THEN 'added' ELSE 'altered' END AS status, page_id // 1024 AS file, "offset", placed.bytes,
+  own.sha AS primary_sha256, other.sha AS replica_sha256
+FROM own FULL JOIN other USING (page_id, copy) LEFT JOIN placed USING (page_id, copy) WHERE own.sha IS DISTINCT FROM other.sha"""
+
+
+def _strength(groups: str, mean: str) -> str:
+    """The prior strength of a level by the method of moments, as one row ``k``."""
+    return (
+        f"SELECT CASE WHEN g < 2 OR coalesce(size <= 1, true) THEN 10.0::DOUBLE WHEN rho <= 0.001 THEN 1000.0::DOUBLE ELSE greatest(1.0::DOUBLE, 1 / least(rho, 0.999::DOUBLE) - 1) END AS k FROM ("
+        f"SELECT *, (q / nullif(g - 1, 0) - 1) / nullif(size - 1, 0) AS rho FROM (SELECT *, (t - t2 / nullif(t, 0)) / nullif(g - 1, 0) AS size FROM (SELECT CAST(count(*) AS DOUBLE) AS g, CAST(sum(n) AS DOUBLE) AS t, "
+        f"CAST(sum(n * n) AS DOUBLE) AS t2, sum((bad - n * {mean}) * (bad - n * {mean}) / (n * {mean} * (1 - {mean}))) AS q FROM {groups} WHERE n > 0)))"
+    )
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_RULES = sorted(host_reputation.RULES, key=lambda r: -len(r[0]) - len(r[1]))
+_OP7 = f"""WITH own AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{host_reputation.UPPER}', '{host_reputation.LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*?/([0-9]+)', 1) AS BIGINT) AS doc_id FROM pages),
+outcome AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels GROUP BY 1 HAVING max(CAST(quality = 0 OR toxic = 1 AS INT)) IS NOT NULL),
+hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM (SELECT host, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM own JOIN outcome USING (doc_id) GROUP BY 1)),
+corpus AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m0 FROM hosts),
+s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(m0) AS m0 FROM hosts, corpus GROUP BY 1), s1 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1 FROM s, ({_strength("s", "m0")})),
+d AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(m1) AS m1 FROM hosts JOIN s1 USING (suffix) GROUP BY ALL), d1 AS (SELECT domain, (bad + k * m1) / (n + k) AS m2 FROM d, ({_strength("d", "m1")})),
+h AS (SELECT host, n, bad, m2 FROM hosts JOIN d1 USING (domain)), h1 AS (SELECT host, n, bad, (bad + k * m2) / (n + k) AS mean, n + k AS weight FROM h, ({_strength("h", "m2")})),
+judged AS (SELECT page_id, host, path, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(mean, m0) AS mean, coalesce(weight, 10.0::DOUBLE) AS weight FROM own LEFT JOIN h1 USING (host), corpus),
+bounded AS (SELECT *, greatest(0.0::DOUBLE, mean - {host_reputation.DEVIATIONS}::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1))) AS low FROM judged)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{a}{b}'" for a, b, _ in _RULES)} END AS rule,
+  CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{v}'" for a, b, v in _RULES)} WHEN low > {host_reputation.ACCEPTED} THEN 'block' ELSE 'allow' END AS verdict,
+  n AS n_labelled, bad AS n_bad, round(mean, 6) AS bad_rate, round(low, 6) AS bad_rate_bound FROM bounded"""
+
 #: Where DuckDB can say the same thing.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1, "op7_host_reputation": _OP7}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

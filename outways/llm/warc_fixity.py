@@ -108,13 +108,13 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:
-    """A replica derived from the pages: by the hash of its id a page in fifty has a character of
-    its payload changed, one is missing, and one stands twice."""
-    kind = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(50))
+    """A replica derived from the pages: by their id a page in fifty has the first character of its
+    payload changed, one is missing, and one stands twice."""
+    kind = F.expr("(page_id % 1009 * 31) % 50")
     changed = F.concat(F.lit("~"), F.expr("substring(coalesce(html, ''), 2)"))
-    copies = F.when(kind == 1, 0).when(kind == 2, 2).otherwise(1)
+    copies = F.coalesce(F.when(kind == 1, 0).when(kind == 2, 2), F.lit(1))
     return (
-        pages.select("page_id", "url", F.when(kind == 0, changed).otherwise(F.col("html")).alias("html"), F.coalesce(copies, F.lit(1)).alias("copies"))
+        pages.select("page_id", "url", F.when(kind == 0, changed).otherwise(F.col("html")).alias("html"), copies.alias("copies"))
         .select("page_id", "url", "html", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one"))
         .drop("one")
     )
