@@ -411,9 +411,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         import tempfile
 
-        if not context.master.startswith("local"):
+        root = context.getConf().get("spark.checkpoint.dir")
+        if root is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="outways-"))
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="outways-"))
     return df.checkpoint()
 
 
