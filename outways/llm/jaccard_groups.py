@@ -46,7 +46,7 @@ COMMON_TABLE = 100_000
 #: A shingle is reported as common by a task that meets it in so many texts, and kept from so many in all.
 COMMON_IN_TASK, COMMON_LEAST = 4, 16
 #: Tokens that a task counts at once.
-COUNT_TOKENS = 2_000_000
+COUNT_TOKENS = 1_000_000
 CHUNK_SETS = 256
 #: Up to so many ids (64 MB) choose texts by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 4_000_000
@@ -204,7 +204,7 @@ def needed_sets(documents: DataFrame, sketch: DataFrame, nodes: DataFrame, width
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 500):
+        for batch in chunks(batches):
             offsets, hashes = shingle_sets(batch.column(1).to_pylist(), width)
             keys = set_keys(offsets, hashes)
             tokens = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(hashes.view("i8")))

@@ -29,8 +29,6 @@ from dataclasses import dataclass
 from math import exp, log1p
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,6 +254,10 @@ class ToxicModel:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicModel:
+    # Here, as executors import this module for the counts and have no use for the fitting.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
     train = written(training_rows(documents, labels, "toxic", max_rows), "toxic-train")
     classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
