@@ -6,8 +6,11 @@ are the site's template and are deleted, as are elements that say what they are
 headers, footers, asides, adverts, forms, scripts, comments and the like). What is left of the
 article, or of the body where a page has none, is cut into blocks.
 
-Inside ``article`` or ``main`` running text (paragraphs, headings, list items and so on) is
-never taken for a template: a sentence that many articles share is still the article's.
+Inside ``article`` or ``main`` lists, tables, figures and blocks with a link or a form's control are
+counted as well, once per different article: what recurs in unlike articles is the site's, what
+recurs as the whole article is copied is the text's. Plain sentences there are never taken for a
+template: one that many articles share is still the article's. Where the article holds little of
+the text that is left on the page, the whole body is taken.
 
 Pages are parsed twice, once to count and once to extract, and their html is never shuffled
 unless the list of deletions is too long to broadcast: hashes and counts travel instead.
@@ -32,6 +35,8 @@ from outways.llm.store import written
 
 #: A subtree is a template from so many pages of a host on, and from so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: An article with a smaller share of the page's remaining characters isn't the page's text.
+LEAST_ARTICLE = 0.25
 #: Up to so many deletions (some 50 MB) go to the pages by broadcast.
 BROADCAST_ITEMS = 5_000_000
 
@@ -44,7 +49,9 @@ DROPPED = frozenset("head script style noscript template iframe svg math nav hea
 BLOCKS = frozenset(
     "html body p h1 h2 h3 h4 h5 h6 div section article main ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption address hr fieldset details summary nav header footer aside form center".split()
 )
-RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dd dt td th span b i em strong a code u small sub sup br tr table tbody thead ul ol dl figure".split())
+#: Inside an article these are counted only with a link or a form's control in them.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dd dt td th span b i em strong a code u small sub sup br tr tbody thead".split())
+LINKING = frozenset("a button input form select textarea".split())
 #: Closed by the next of their kind or by a block.
 CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 #: Words of class, id or role that name what isn't the article.
@@ -119,32 +126,41 @@ def names_boilerplate(node: Node) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", node.attributes))
 
 
-def digests(root: Node) -> list[tuple[int, int, bool]]:
-    """(ordinal in page order, hash, whether it stands without being named boilerplate) of each
-    subtree that may be a template."""
-    found: list[tuple[int, int, bool]] = []
+def digests(root: Node) -> list[tuple[int, int, bool, int | None]]:
+    """(ordinal in page order, hash, whether it stands without being named boilerplate, hash of the
+    outermost article around it or None) of each subtree that may be a template."""
+    found: list[tuple[int, int, bool, int | None]] = []
     counter = [0]
+    number = lambda digest: int.from_bytes(digest, "big", signed=True)
 
-    def walk(node: Node, inside: bool, named: bool) -> bytes:
-        ordinal = counter[0]
+    def walk(node: Node, inside: bool, named: bool) -> tuple[bytes, bool]:
+        ordinal, first = counter[0], len(found)
         counter[0] += 1
         named = named or names_boilerplate(node)
-        within = inside or node.tag in ("article", "main")
+        article = node.tag in ("article", "main")
+        links = node.tag in LINKING
         parts = [node.tag.encode(), re.sub(r"\d+", "0", node.attributes).strip().encode()]
         for item in node.items:
-            parts.append(" ".join(item.split()).encode() if isinstance(item, str) else walk(item, within, named))
+            if isinstance(item, str):
+                parts.append(" ".join(item.split()).encode())
+            else:
+                part, linked = walk(item, inside or article, named)
+                parts.append(part)
+                links = links or linked
         digest = blake2b(b"\x1f".join(parts), digest_size=8).digest()
+        if article and not inside:
+            found[first:] = [(o, h, bare, number(digest)) for o, h, bare, _ in found[first:]]
         whole = node.tag in ("#root", "html", "head", "body", "article", "main") or node.tag in VOID
-        if not whole and node.tag in BLOCKS and not (inside and node.tag in RUNNING):
-            found.append((ordinal, int.from_bytes(digest, "big", signed=True), not named))
-        return digest
+        if not whole and node.tag in BLOCKS and not (inside and node.tag in RUNNING and not links):
+            found.append((ordinal, number(digest), not named, None))
+        return digest, links
 
     walk(root, False, False)
     return found
 
 
 def blocks(root: Node, deleted: frozenset[int] = frozenset()) -> list[str]:
-    """The blocks of text of a page's article, or of its body where it has none."""
+    """The blocks of text of a page's article, or of its body where it has none or a small one."""
     counter = [0]
     everything: list[tuple[bool, str]] = []  # (in an article, text)
     open_text: list[str] = []
@@ -188,7 +204,9 @@ def blocks(root: Node, deleted: frozenset[int] = frozenset()) -> list[str]:
 
     walk(root, False)
     end(False)
-    return [text for inside, text in everything if inside or not articles[0]]
+    held, left = (sum(len(text) for inside, text in everything if inside or own) for own in (False, True))
+    article = articles[0] and held >= LEAST_ARTICLE * left
+    return [text for inside, text in everything if inside or not article]
 
 
 def main_text(page: str | None, deleted: frozenset[int] = frozenset()) -> str:
@@ -200,22 +218,24 @@ def host_column():
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page_id, ordinal, hash, bare): the subtrees of each page that may be templates."""
+    """(host, page_id, ordinal, hash, bare, article): the subtrees of each page that may be templates."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, p, o, d, bare) for h, p, page in zip(batch["host"], batch["page_id"], batch["html"], strict=True) for o, d, bare in digests(parsed(page))]
-            yield pd.DataFrame(rows, columns=["host", "page_id", "ordinal", "hash", "bare"])
+            rows = [(h, p, *d) for h, p, page in zip(batch["host"], batch["page_id"], batch["html"], strict=True) for d in digests(parsed(page))]
+            # Object columns: a null among hashes of 64 bits would make them floats.
+            yield pd.DataFrame(rows, columns=["host", "page_id", "ordinal", "hash", "bare", "article"], dtype=object)
 
     rows = pages.filter("page_id is not null").select("page_id", host_column().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(hashed, "host string, page_id long, ordinal int, hash long, bare boolean")
+    return rows.mapInPandas(hashed, "host string, page_id long, ordinal int, hash long, bare boolean, article long")
 
 
 def templates(found: DataFrame, pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, hash, pages): subtrees on at least so many pages, and so large a share, of a host."""
     hosts = pages.select("page_id", host_column().alias("host")).groupBy("host").agg(F.count("*").alias("host_pages"))
-    # One row per page and hash before counting, so that a page counts once.
-    counts = found.groupBy("host", "hash", "page_id").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    # One row per page (inside an article: per different article) and hash before counting, so that each counts once.
+    around = F.coalesce("article", "page_id").alias("around")
+    counts = found.groupBy("host", "hash", around).agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     return counts.join(hosts, "host").filter(F.col("pages") >= least_share * F.col("host_pages")).select("host", "hash", "pages")
 
 

@@ -345,3 +345,14 @@ def test_recurring_subtrees_go_and_shared_sentences_stay(spark):
     assert got[500] == "Join our club today\n\nx" and got[501] == ""
     assert site_templates.extracted(frame).count() == len(rows)
     assert site_templates.extracted(frame.limit(0)).count() == 0
+
+
+def test_templates_inside_articles_go_and_copied_articles_stay(spark):
+    boxes = "<ul><li><a href='/a'>Top ten</a></li><li>Plain</li></ul>", "<p>Get our letter: <a href='/s'>sign up</a></p>", "<table><tr><td>Opening hours</td></tr></table>"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>shared line</p><p>own {i}</p>{''.join(boxes)}</article>") for i in range(20)]
+    rows += [(100 + i, f"http://h.org/copy{i}", "<article><p>copied</p><ul><li>flour</li><li>eggs</li></ul></article>") for i in range(20)]
+    rows += [(200, "http://h.org/c", "<article><p>teaser</p></article><div>" + "the page's long text " * 9 + "</div>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_templates.extracted(frame).collect()}
+    assert got[3] == "shared line\n\nown 3" and got[103] == "copied\n\nflour\n\neggs"
+    assert got[200].startswith("teaser\n\nthe page's long text the")
