@@ -7,10 +7,10 @@ headers, footers, asides, adverts, forms, scripts, comments and the like). What
 article, or of the body where a page has none, is cut into blocks.
 
 Inside ``article`` or ``main`` lists, tables, figures and blocks with a link or a form's control are
-counted as well, once per different article: what recurs in unlike articles is the site's, what
-recurs as the whole article is copied is the text's. Plain sentences there are never taken for a
-template: one that many articles share is still the article's. Where the article holds little of
-the text that is left on the page, the whole body is taken.
+counted as well, once per different article (elsewhere: per different page): what recurs in unlike
+articles is the site's, what recurs as the whole article is copied is the text's. Plain sentences
+there are never taken for a template: one that many articles share is still the article's. Where
+the article holds little of the text that is left on the page, the whole body is taken.
 
 Pages are parsed twice, once to count and once to extract, and their html is never shuffled
 unless the list of deletions is too long to broadcast: hashes and counts travel instead.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from outways.llm.store import written
 
-#: A subtree is a template from so many pages of a host on, and from so large a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: A subtree is a template from so many pages of a host on, however large the host.
+LEAST_PAGES = 5
 #: An article with a smaller share of the page's remaining characters isn't the page's text.
 LEAST_ARTICLE = 0.25
 #: Up to so many deletions (some 50 MB) go to the pages by broadcast.
@@ -126,10 +126,10 @@ def names_boilerplate(node: Node) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", node.attributes))
 
 
-def digests(root: Node) -> list[tuple[int, int, bool, int | None]]:
+def digests(root: Node) -> list[tuple[int, int, bool, int]]:
     """(ordinal in page order, hash, whether it stands without being named boilerplate, hash of the
-    outermost article around it or None) of each subtree that may be a template."""
-    found: list[tuple[int, int, bool, int | None]] = []
+    outermost article around it or else of the page) of each subtree that may be a template."""
+    found: list[tuple[int, int, bool, int]] = []
     counter = [0]
     number = lambda digest: int.from_bytes(digest, "big", signed=True)
 
@@ -152,11 +152,11 @@ def digests(root: Node) -> list[tuple[int, int, bool, int | None]]:
             found[first:] = [(o, h, bare, number(digest)) for o, h, bare, _ in found[first:]]
         whole = node.tag in ("#root", "html", "head", "body", "article", "main") or node.tag in VOID
         if not whole and node.tag in BLOCKS and not (inside and node.tag in RUNNING and not links):
-            found.append((ordinal, number(digest), not named, None))
+            found.append((ordinal, number(digest), not named, 0))
         return digest, links
 
-    walk(root, False, False)
-    return found
+    page = number(walk(root, False, False)[0])
+    return [(o, h, bare, around or page) for o, h, bare, around in found]
 
 
 def blocks(root: Node, deleted: frozenset[int] = frozenset()) -> list[str]:
@@ -218,31 +218,27 @@ def host_column():
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page_id, ordinal, hash, bare, article): the subtrees of each page that may be templates."""
+    """(host, page_id, ordinal, hash, bare, around): the subtrees of each page that may be templates."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(h, p, *d) for h, p, page in zip(batch["host"], batch["page_id"], batch["html"], strict=True) for d in digests(parsed(page))]
-            # Object columns: a null among hashes of 64 bits would make them floats.
-            yield pd.DataFrame(rows, columns=["host", "page_id", "ordinal", "hash", "bare", "article"], dtype=object)
+            yield pd.DataFrame(rows, columns=["host", "page_id", "ordinal", "hash", "bare", "around"])
 
     rows = pages.filter("page_id is not null").select("page_id", host_column().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(hashed, "host string, page_id long, ordinal int, hash long, bare boolean, article long")
+    return rows.mapInPandas(hashed, "host string, page_id long, ordinal int, hash long, bare boolean, around long")
 
 
-def templates(found: DataFrame, pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash, pages): subtrees on at least so many pages, and so large a share, of a host."""
-    hosts = pages.select("page_id", host_column().alias("host")).groupBy("host").agg(F.count("*").alias("host_pages"))
-    # One row per page (inside an article: per different article) and hash before counting, so that each counts once.
-    around = F.coalesce("article", "page_id").alias("around")
-    counts = found.groupBy("host", "hash", around).agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    return counts.join(hosts, "host").filter(F.col("pages") >= least_share * F.col("host_pages")).select("host", "hash", "pages")
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, hash, pages): subtrees on at least so many pages of a host."""
+    # One row per different page (inside an article: per different article) and hash before counting: copies count once.
+    return found.groupBy("host", "hash", "around").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
 
 
-def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, templates_removed for each page."""
     found = written(subtrees(pages), "subtrees")
-    recurring = templates(found, pages, least_pages, least_share)
+    recurring = templates(found, least_pages)
     # Deletions that the elements' own names don't already make.
     doomed = written(
         found.filter("bare").join(recurring.select("host", "hash"), ["host", "hash"]).groupBy("page_id").agg(F.collect_set("ordinal").alias("doomed")), "doomed"

@@ -356,3 +356,10 @@ def test_templates_inside_articles_go_and_copied_articles_stay(spark):
     got = {r["page_id"]: r["text"] for r in site_templates.extracted(frame).collect()}
     assert got[3] == "shared line\n\nown 3" and got[103] == "copied\n\nflour\n\neggs"
     assert got[200].startswith("teaser\n\nthe page's long text the")
+
+
+def test_template_on_a_small_share_of_a_large_host_goes(spark):
+    rows = [(i, f"http://h.org/{i}", f"<div>{'Rotating word' if i < 6 else f'unlike {i}'}</div><p>own {i}</p>") for i in range(100)]
+    rows += [(200 + i, f"http://h.org/copy{i}", "<div>a page copied whole</div>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in site_templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "own 3" and got[50] == "unlike 50\n\nown 50" and got[203] == "a page copied whole"
