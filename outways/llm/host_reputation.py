@@ -10,8 +10,8 @@ All DataFrame expressions. The counts are pre-aggregated per partition, so a hos
 of all pages is one row per partition; the join back lets Spark split such a host.
 
 Cases: a null url or one without ``://`` has empty host and path, fits no rule, and is judged by
-the corpus' rate alone; pages without a label count for no host but are judged; repeated rows
-keep a row each.
+the corpus' rate alone; pages without a label count for no host but are judged, a host without
+any by its domain's rate, else its suffix's, else the corpus'; repeated rows keep a row each.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outways.llm.store import written
+
 #: (host, path, verdict); a rule fits its host and all its subdomains, the longest that fits wins.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Accepted rate of bad pages, and standard deviations from the mean to the lower bound.
@@ -87,39 +89,64 @@ def _strength(groups: DataFrame, parent_mean: Column) -> DataFrame:
     )
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, lower) for each host in ``outcomes`` (host, bad), and one row with a
-    null host for those without outcomes: (n 0, the corpus' mean and bound)."""
+def levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The posteriors of ``outcomes`` (host, bad): hosts (host, n, bad, mean, weight); then, for
+    hosts without outcomes, domains (domain, mean, weight), suffixes (suffix, mean, weight) and the
+    corpus (mean, weight). There ``weight`` is the prior strength of the level below."""
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    # Written level by level: each is read several times, and the plan would grow with every read.
+    hosts = written(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
     corpus = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m0"))
     total = lambda key: hosts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    def shrunk(groups: DataFrame, mean: str, out: str) -> DataFrame:
+    def shrunk(groups: DataFrame, mean: str, out: str) -> tuple[DataFrame, DataFrame]:
         # The strength is a single row.
         k = _strength(groups, F.col(mean))
-        return groups.join(F.broadcast(k)).withColumn(out, (F.col("bad") + F.col("k") * F.col(mean)) / (F.col("n") + F.col("k")))
+        return groups.join(F.broadcast(k)).withColumn(out, (F.col("bad") + F.col("k") * F.col(mean)) / (F.col("n") + F.col("k"))), k
+
+    suffixes, _ = shrunk(total(["suffix"]).join(F.broadcast(corpus)), "m0", "m1")
+    suffixes = written(suffixes.select("suffix", "m1"), "suffixes")
+    domains, k2 = shrunk(total(["suffix", "domain"]).join(suffixes, "suffix"), "m1", "m2")
+    domains = written(domains.select("domain", "m2"), "domains")
+    judged, k3 = shrunk(hosts.join(domains, "domain"), "m2", "mean")
+    prior = lambda groups, key, mean, k: groups.join(F.broadcast(k)).select(*key, F.col(mean).alias("mean"), F.col("k").alias("weight"))
+    return (
+        judged.select("host", "n", "bad", "mean", (F.col("n") + F.col("k")).alias("weight")),
+        prior(domains, ["domain"], "m2", k3),
+        prior(suffixes, ["suffix"], "m1", k2),
+        corpus.select(F.col("m0").alias("mean"), F.lit(10.0).alias("weight")),
+    )
+
 
-    suffixes = shrunk(total(["suffix"]).join(F.broadcast(corpus)), "m0", "m1").select("suffix", "m1")
-    domains = shrunk(total(["suffix", "domain"]).join(suffixes, "suffix"), "m1", "m2").select("domain", "m2")
-    judged = shrunk(hosts.join(domains, "domain"), "m2", "mean")
-    judged = judged.select("host", "n", "bad", "mean", (F.col("n") + F.col("k")).alias("weight"))
-    unknown = corpus.select(F.lit(None).cast("string").alias("host"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.col("m0").alias("mean"), F.lit(10.0).alias("weight"))
-    bound = F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return judged.unionByName(unknown).select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), bound).alias("lower"))
+def lower_of(mean: Column, weight: Column) -> Column:
+    return F.greatest(F.lit(0.0), mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (weight + 1)))
+
+
+def reputations(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad, mean, lower) for each host in ``outcomes`` (host, bad), and one row with a
+    null host for those of an unknown suffix: (n 0, the corpus' mean and bound)."""
+    judged, _, _, corpus = levels(outcomes)
+    none = F.lit(0).cast("long")
+    unknown = corpus.select(F.lit(None).cast("string").alias("host"), none.alias("n"), none.alias("bad"), "mean", "weight")
+    return judged.unionByName(unknown).select("host", "n", "bad", "mean", lower_of(F.col("mean"), F.col("weight")).alias("lower"))
 
 
 def judged_pages(pages: DataFrame, labels: DataFrame, rules=RULES, accepted: float = ACCEPTED) -> DataFrame:
     """page_id, host, path, rule, verdict for each page; then n, bad, mean, lower of its host."""
-    known = reputations(labelled_outcomes(pages, labels))
+    hosts, domains, suffixes, corpus = levels(labelled_outcomes(pages, labels))
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    corpus = known.filter("host is null").select(F.col("mean").alias("mean0"), F.col("lower").alias("lower0"))  # a single row
+    # Each host once: its own posterior, or the nearest one above it.
+    named = own.groupBy("host").agg(F.lit(1).alias("one")).join(hosts, "host", "left")
+    named = named.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    above = lambda level, i: level.withColumnsRenamed({"mean": f"mean{i}", "weight": f"weight{i}"})
+    named = named.join(above(domains, 2), "domain", "left").join(above(suffixes, 1), "suffix", "left").join(F.broadcast(above(corpus, 0)))
+    known = named.select("host", "n", "bad", *[F.coalesce(*[F.when(F.col("host") != "", F.col(f"{c}{i}")) for i in ("", 2, 1)], f"{c}0").alias(c) for c in ("mean", "weight")])
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    scored = own.join(known.filter("host is not null"), "host", "left").join(F.broadcast(corpus))
-    lower = F.coalesce("lower", "lower0")
+    scored = own.join(known, "host")
+    lower = lower_of(F.col("mean"), F.col("weight"))
     return scored.select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(said, F.when(lower > accepted, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n_labelled"), F.coalesce("bad", F.lit(0).cast("long")).alias("n_bad"),
-        F.round(F.coalesce("mean", "mean0"), 6).alias("bad_rate"), F.round(lower, 6).alias("bad_rate_bound"),
+        F.round("mean", 6).alias("bad_rate"), F.round(lower, 6).alias("bad_rate_bound"),
     )

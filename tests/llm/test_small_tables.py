@@ -263,6 +263,18 @@ def test_bad_hosts_are_blocked_and_thin_ones_shrunk(spark):
     assert got[None]["n"] == 0
 
 
+def test_hosts_without_labels_fall_back_level_by_level(spark):
+    urls = [f"http://bad{i % 3}.spam.org/d/{i}" for i in range(90)] + [f"http://good{i % 5}.fine.org/d/{i}" for i in range(90, 390)] + [f"http://x{i % 2}.ok.dev/d/{i}" for i in range(390, 490)]
+    urls += ["http://new.spam.org/p", "http://new.fine.org/p", "http://other.org/p", "http://a.b.zz/p", None]
+    frame = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, int(i >= 90), 0) for i in range(490)], "doc_id long, quality int, toxic int")
+    got = {r["host"]: r for r in host_reputation.judged_pages(frame, labels).collect()}
+    assert got["new.spam.org"]["verdict"] == "block" and got["new.fine.org"]["verdict"] == "allow" and got["new.spam.org"]["n_labelled"] == 0
+    corpus = round(90.5 / 491, 6)
+    assert got["a.b.zz"]["bad_rate"] == got[""]["bad_rate"] == corpus
+    assert got["new.fine.org"]["bad_rate"] < corpus < got["other.org"]["bad_rate"] < got["new.spam.org"]["bad_rate"]
+
+
 # --- 8 and 9: classifiers ---
 
 
