@@ -6,8 +6,8 @@ of paragraphs does not matter and a paragraph is inserted or deleted by adding o
 its vector. The vector has two parts:
 
 * ``EQUALITY_LANES`` words of 32 bits, hashed from the whole paragraph, summed modulo 2**32;
-* ``COUNTERS`` counters: each piece of up to four words of the paragraph adds the bits of its
-  hash, modulo 2**32. Twice a counter less the number of pieces is a sum of random signs, so
+* ``COUNTERS`` counters: at each word of the paragraph a piece of up to four words starts, and
+  adds the bits of its hash, modulo 2**32; a word more or less changes the four pieces around it. Twice a counter less the number of pieces is a sum of random signs, so
   the inner product of two documents' counters estimates that of their piece multisets.
 
 Everything here is DataFrame expressions; no Python runs on the executors.
@@ -27,8 +27,9 @@ COUNTERS = 64
 MASK32 = 0xFFFFFFFF
 #: Bit 0 of either half of a 64-bit word: two counters in one long.
 PAIR = 0x0000000100000001
-#: Up to four words of one line; a word of over 24 characters counts as several.
-PIECE = r"\S{1,24}(?:[^\S\n]+\S{1,24}){0,3}"
+#: Up to four words of one line, from each word on; in a word of over 24 characters also from
+#: each character after the first 24, so that texts without spaces have overlapping pieces too.
+PIECE = r"(?:(?<!\S)|(?<=\S{24}))(?=(\S{1,24}(?:[^\S\n]+\S{1,24}){0,3}))"
 
 
 def paragraphs(text: Column) -> Column:
@@ -40,7 +41,7 @@ def equality_lanes(lines: Column) -> Column:
     """Hex of the summed 32-bit words hashed from whole paragraphs."""
 
     def lane(seed: int, shift: int) -> Column:
-        word = lambda p: F.shiftrightunsigned(F.xxhash64(p, F.lit(seed)), shift).bitwiseAND(F.lit(MASK32))
+        word = lambda p: F.shiftrightunsigned(F.xxhash64(F.lit(seed), p), shift).bitwiseAND(F.lit(MASK32))
         total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, p: (a + word(p)).bitwiseAND(F.lit(MASK32)))
         return F.lpad(F.lower(F.hex(total)), 8, "0")
 
@@ -86,7 +87,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         .select(*keys, "__t", paragraphs(F.col("__t")).alias("__lines"))
         .select(*keys, "__t", equality_lanes(F.col("__lines")).alias("__eq"))
     )
-    exploded = prepared.select(*keys, "__eq", F.explode_outer(F.regexp_extract_all("__t", F.lit(PIECE), F.lit(0))).alias("__piece"))
+    exploded = prepared.select(*keys, "__eq", F.explode_outer(F.regexp_extract_all("__t", F.lit(PIECE), F.lit(1))).alias("__piece"))
     sums = exploded.groupBy(*keys, "__eq").agg(F.count("__piece").alias("pieces"), *counter_sums(F.col("__piece")))
     return sums.select(
         *keys, "__eq", "pieces", unpacked(F.array(*[f"c{i}" for i in range(COUNTERS // 2)])).alias("counters")

@@ -83,6 +83,22 @@ def test_paragraph_sums_add_up(spark):
     assert ((lanes(c[1]) - lanes(c[3])) % 2**32 == lanes(c[2])).all()
 
 
+def test_near_copies_are_alike_after_an_inserted_word(spark):
+    rnd = random.Random(2)
+    text = [f"w{rnd.randrange(900)}" for _ in range(200)]
+    solid = "".join(rnd.choices("abcdefghij", k=600))
+    frame = docs(spark, " ".join(text), " ".join(["more", *text]), " ".join(f"v{i}" for i in range(200)), solid, solid[:30] + "x" + solid[30:])
+    got = {r["doc_id"]: r["near_next"] for r in multiset_hash.edited_fingerprints(frame).collect()}
+    assert got[0] > 0.9 and got[3] > 0.8 and got[1] < 0.5
+
+
+def test_lanes_of_a_paragraph_have_a_hash_each(spark):
+    frame = spark.createDataFrame([("a",)], "t string")
+    seeded = frame.select(F.shiftrightunsigned(F.xxhash64(F.lit(1), "t"), 0).alias("h")).first()["h"] & 0xFFFFFFFF
+    lanes = frame.select(multiset_hash.equality_lanes(F.array("t")).alias("x")).first()["x"]
+    assert int(lanes[16:24], 16) == seeded
+
+
 # --- 3: mixing ---
 
 
