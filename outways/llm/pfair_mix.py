@@ -1,162 +1,181 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source is a stream of blocks of ``block_chars`` characters, its documents in a hashed order.
-Time is slots of one block. Block j (from 1) of a source with weight w is released at slot
-floor((j-1)/w) and due at ceil(j/w); in each slot the released block with the earliest deadline
-goes next. As the weights of all sources add up to one, every block meets its window, so at each
-slot a source has had less than one block more or less than its weight times the slots so far.
-
-Weights are rounded to multiples of 1/period. The windows repeat after ``period`` slots, so one
-period is scheduled (a heap over sources, bounded by that parameter), and block j's slot is a
-lookup by j modulo the source's blocks in a period. When the first source is out of blocks a new
-phase starts with the weights of the rest scaled up: no document is dropped or repeated. There
-are at most as many phases as sources, at most ``MAX_SOURCES``.
-
-A source with a third of all rows is no hot group: places in a source's stream are prefix sums
-over (source, range of hashes), each a bounded group, and over these groups' totals.
+Time is slots of one block. In the fluid ideal every source is served all the time at its share of
+the weights of those that have blocks left. Block j of a source is released in the slot in which the
+ideal begins with it, and due at the end of the slot in which the ideal ends it; in each slot the
+released block with the earliest deadline goes next. The ideal serves every block one unit
+within its window and every slot one unit in all, so every block meets its window: after every slot
+a source has had less than one block more or less than the ideal.
+
+The ideal has a closed form, in whole numbers and without rounding: if V is the service per unit of
+weight, the slots gone by are the sum over sources of min(V * weight, blocks); block j of a source
+ends at V = j / weight. Weights are taken exactly as given, whatever their size; when a source runs
+out, the others' windows stretch to their new share by the same formula, and no document is dropped
+or repeated.
+
+Earliest deadline first is a sequence by nature; only blocks run through it, in one task of two heap
+operations a block that holds one entry a source. Blocks have ``BLOCK_CHARS`` characters, or more on
+inputs where that would give over ``MAX_BLOCKS`` blocks, so that this task stays some seconds long
+however large the input is. Documents meet their block's slot in a join on (source, block).
+
+A source with a third of all rows is no hot group: places in a source's stream are prefix sums over
+(source, range of hashes), each a bounded group, and over these groups' totals in two levels.
 
 Cases: a null source is a source of its own; a null or empty text counts one character; documents
-longer than a block take the slots of several; ties in the hashed order go by id and hash of the
-text, so repeated rows keep a place each.
+longer than a block take the slots of several; ties in the hashed order go by id, so repeated rows
+keep a place each; a source without a target weight gets the mean of those given; a weight that is
+null, zero, negative or not finite is an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from math import isfinite, lcm
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from outways.llm.store import written
 
 BLOCK_CHARS = 32_768
-PERIOD = 1_000
-MAX_SOURCES = 1_000
-GROUP_ROWS = 2_000
-PLAN = T.StructType(
-    [T.StructField(n, T.LongType() if n != "source" else T.StringType()) for n in ("phase", "source", "first", "last", "quota", "period", "start", "index", "slot")]
-)
+MAX_BLOCKS = 1 << 20
+GROUP_ROWS, GROUPS_OF_GROUPS = 512, 1_024
+NO_SOURCE = "\u0000none"
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights, exactly, as whole multiples of one unit."""
+    if any(w is None or not isfinite(w) or w <= 0 for w in weights.values()):
+        raise ValueError("target weights must be finite and above zero")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(x.denominator for x in exact.values()), 1)
+    return {s: int(x * unit) for s, x in exact.items()}
+
 
+class Ideal:
+    """The fluid schedule of sources with numbers of blocks and whole weights."""
 
-def pfair_period(quotas: dict[str, int]) -> list[str]:
-    """The source of each slot of one period of sum(quotas) slots.
+    def __init__(self, blocks: list[int], weights: list[int]):
+        order = sorted(range(len(blocks)), key=lambda i: Fraction(blocks[i], weights[i]))
+        self.ends = [(blocks[i], weights[i]) for i in order]
+        self.done, self.rest = [0], [sum(weights)]
+        for i in order:
+            self.done.append(self.done[-1] + blocks[i])
+            self.rest.append(self.rest[-1] - weights[i])
+
+    def time(self, j: int, weight: int, since: int = 0) -> tuple[int, int]:
+        """(slots * weight, sources that ended before): when a source of this weight has had j blocks.
+
+        ``since``: a number of sources known to have ended before.
+        """
+        ended = lambda k: self.ends[k][0] * weight >= j * self.ends[k][1]
+        k = since if since == len(self.ends) or ended(since) else bisect_left(range(len(self.ends)), True, lo=since, key=ended)
+        return self.done[k] * weight + j * self.rest[k], k
+
+
+def pfair(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block, slot by slot.
 
     Earliest deadline first among released blocks; ties by the later release, then by name.
     """
-    period = sum(quotas.values())
-    window = lambda s, j: ((j - 1) * period // quotas[s], -(-j * period // quotas[s]))
-    coming = [(window(s, 1)[0], s, 1) for s in sorted(quotas) if quotas[s]]
+    names = sorted(s for s in blocks if blocks[s])
+    size, weight = [blocks[s] for s in names], [weights[s] for s in names]
+    ideal = Ideal(size, weight)
+    began, ended = [0] * len(names), [0] * len(names)
+    ends: list[int] = [0] * len(names)  # slots * weight, of the block before
+
+    def window(i: int, j: int) -> tuple[int, int]:
+        release = ends[i] // weight[i]
+        ends[i], ended[i] = ideal.time(j + 1, weight[i], ended[i])
+        return release, -(-ends[i] // weight[i])
+
+    coming: list[tuple[int, int, int, int]] = []
+    for i in range(len(names)):
+        release, deadline = window(i, 0)
+        coming.append((release, i, 0, deadline))
     heapq.heapify(coming)
-    ready: list[tuple[int, int, str, int]] = []
-    order = []
-    for slot in range(period):
+    ready: list[tuple[int, int, int, int]] = []
+    for slot in range(sum(size)):
         while coming and coming[0][0] <= slot:
-            release, s, j = heapq.heappop(coming)
-            heapq.heappush(ready, (window(s, j)[1], -release, s, j))
-        _, _, s, j = heapq.heappop(ready)
-        order.append(s)
-        if j < quotas[s]:
-            heapq.heappush(coming, (window(s, j + 1)[0], s, j + 1))
-    return order
-
-
-def quotas_of(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole blocks of each source in a period: largest remainders, at least one each."""
-    period = max(period, len(weights))
-    total = sum(map(Fraction, weights.values()))
-    shares = {s: Fraction(w) / total * period for s, w in weights.items()}
-    quotas = {s: max(1, int(x)) for s, x in shares.items()}
-    by_rest = sorted(shares, key=lambda s: (-(shares[s] - int(shares[s])), s))
-    short = period - sum(quotas.values())
-    for i in range(max(0, short)):
-        quotas[by_rest[i % len(by_rest)]] += 1
-    while sum(quotas.values()) > period:
-        quotas[max(quotas, key=lambda s: (quotas[s], s))] -= 1
-    return quotas
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """Rows of ``PLAN``: where each source's blocks of each phase go."""
-    rows, done, start, phase = [], dict.fromkeys(blocks, 0), 0, 0
-    while alive := {s: weights[s] for s in blocks if done[s] < blocks[s]}:
-        quotas = quotas_of(alive, period)
-        order = pfair_period(quotas)
-        slots: dict[str, list[int]] = {s: [] for s in alive}
-        for slot, s in enumerate(order):
-            slots[s].append(slot)
-        # The slot after which the first source has no block left.
-        def ends(s, quotas=quotas, slots=slots, order=order):
-            rest = blocks[s] - done[s]
-            return (rest - 1) // quotas[s] * len(order) + slots[s][(rest - 1) % quotas[s]] + 1
-
-        length = min(ends(s) for s in alive)
-        for s in alive:
-            whole, rest = divmod(length, len(order))
-            taken = whole * quotas[s] + sum(x < rest for x in slots[s])
-            rows += [(phase, s, done[s], done[s] + taken - 1, quotas[s], len(order), start, i, x) for i, x in enumerate(slots[s])] if taken else []
-            done[s] += taken
-        start, phase = start + length, phase + 1
-    return rows
-
-
-def target_weights(sizes: dict[str, int], temperature: float = 0.5) -> dict[str, float]:
-    """Weights by size to a power below 1: small sources weigh more than their share."""
-    return {s: float(max(1, n)) ** temperature for s, n in sizes.items()}
-
-
-def streams(documents: DataFrame, block_chars: int) -> DataFrame:
-    """(row, source, n, at, block): each row's first character's place in its source's stream."""
+            release, i, j, deadline = heapq.heappop(coming)
+            heapq.heappush(ready, (deadline, -release, i, j))
+        deadline, release, i, j = heapq.heappop(ready)
+        yield names[i], j, -release, deadline, slot
+        if j + 1 < size[i]:
+            release, deadline = window(i, j + 1)
+            heapq.heappush(coming, (release, i, j + 1, deadline))
+
+
+def root_weights(sizes: dict[str, int]) -> dict[str, float]:
+    """Square roots of the sizes: small sources weigh more than their share."""
+    return {s: float(max(1, n)) ** 0.5 for s, n in sizes.items()}
+
+
+def streams(documents: DataFrame) -> DataFrame:
+    """(doc_id, h, source, n, at): each row's first character's place in its source's stream."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    source: Column = F.coalesce(F.col("source").cast("string"), F.lit("\u0000none"))
+    source: Column = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
     rows = documents.select(
         "doc_id", source.alias("source"), F.greatest(F.length(text), F.lit(1)).cast("long").alias("n"), F.xxhash64(F.col("doc_id"), text).alias("h")
     )
     rows = written(rows, "mix-rows")
     groups = max(1, rows.count() // GROUP_ROWS)
     rows = rows.withColumn("g", F.pmod(F.shiftrightunsigned("h", 20), F.lit(groups)))
-    totals = rows.groupBy("source", "g").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("source", "g", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("base"))
-    inside = Window.partitionBy("source", "g").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long")))
-    return placed.join(bases, ["source", "g"]).select("doc_id", "h", "source", "n", (F.col("base") + F.col("at")).alias("at")).withColumn("block", F.expr(f"at div {block_chars}"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    totals = rows.groupBy("source", "g").agg(F.sum("n").alias("n")).withColumn("gg", F.expr(f"g div {GROUPS_OF_GROUPS}"))
+    upper = totals.groupBy("source", "gg").agg(F.sum("n").alias("n"))
+    upper = upper.select("source", "gg", F.coalesce(F.sum("n").over(before("source").orderBy("gg")), none).alias("above"))
+    bases = totals.withColumn("base", F.coalesce(F.sum("n").over(before("source", "gg").orderBy("g")), none)).join(upper, ["source", "gg"])
+    placed = rows.withColumn("at", F.coalesce(F.sum("n").over(before("source", "g").orderBy("h", "doc_id")), none))
+    return placed.join(bases.select("source", "g", (F.col("base") + F.col("above")).alias("base")), ["source", "g"]).select(
+        "doc_id", "h", "source", "n", (F.col("base") + F.col("at")).alias("at")
+    )
+
 
+def planned(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """(source, block, release, deadline, slot) of all blocks of ``sources`` (source, chars, blocks)."""
 
-def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        blocks = dict(zip(rows["source"], map(int, rows["blocks"]), strict=True))
+        aims = root_weights(dict(zip(rows["source"], map(int, rows["chars"]), strict=True))) if weights is None else dict(weights)
+        mean = sum(aims.values()) / len(aims) if aims else 1.0
+        aims = whole_weights({s: aims.get(s, mean) for s in blocks})
+        held: list[tuple] = []
+        for row in pfair(blocks, aims):
+            held.append(row)
+            if len(held) == 65_536:
+                yield pd.DataFrame(held, columns=["source", "block", "release", "deadline", "slot"])
+                held = []
+        yield pd.DataFrame(held, columns=["source", "block", "release", "deadline", "slot"])
+
+    # One row a source, in one task: what runs through it is bounded by MAX_BLOCKS and a block a source.
+    return sources.coalesce(1).mapInPandas(plan, "source string, block long, release long, deadline long, slot long")
+
+
+def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Every row of documents with its place in the mixed stream.
 
-    ``weights``: target weight per source (those not named get the mean); by default the square
-    root of the source's characters. Returns doc_id, source, n_chars, block, release, deadline
-    (slots, relative to the phase), phase, slot, within (order among a block's documents) and
-    h, the hash that stands for the row.
+    ``weights``: target weight per source (those not named get the mean; the null source is named
+    by ``NO_SOURCE``); by default the square root of the source's characters. Returns doc_id, source,
+    n_chars, block, release, deadline, slot, within (order among a block's documents) and h, the hash
+    that stands for the row.
     """
-    spark = documents.sparkSession
-    placed = written(streams(documents, block_chars), "mix-places")
-    sizes = placed.groupBy("source").agg(F.sum("n").alias("chars"), F.max("block").alias("last")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group the rare ones first")
-    blocks = {r["source"]: r["last"] + 1 for r in sizes}
-    aims = target_weights({r["source"]: r["chars"] for r in sizes}) if weights is None else dict(weights)
-    mean = sum(aims.values()) / len(aims) if aims else 1.0
-    aims = {s: aims.get(s, mean) for s in blocks}
-    # At most MAX_SOURCES phases of max(period, sources) slots.
-    plan = written(spark.createDataFrame(phases(blocks, aims, period), PLAN), "mix-plan")
-    spans = plan.select("phase", "source", "first", "last", "quota", "period", "start").distinct()
-    of_phase = placed.join(spans, (placed["source"] == spans["source"]) & placed["block"].between(spans["first"], spans["last"])).select(
-        placed["doc_id"], placed["h"], placed["source"], "n", "at", "block", "phase", "first", "quota", "period", "start",
-        ((F.col("block") - F.col("first")) % F.col("quota")).alias("index"),
-    )
-    slots = plan.select("phase", "source", "index", "slot")
-    j = F.col("block") - F.col("first") + 1
-    return of_phase.join(slots, ["phase", "source", "index"]).select(
-        "doc_id", F.nullif("source", F.lit("\u0000none")).alias("source"), F.col("n").alias("n_chars"), "block", "phase",
-        F.expr("(block - first) * period div quota").alias("release"),
-        F.ceil(j * F.col("period") / F.col("quota")).cast("long").alias("deadline"),
-        (F.col("start") + F.expr("(block - first) div quota") * F.col("period") + F.col("slot")).alias("slot"),
-        (F.col("at") % block_chars).alias("within"), "h",
-    )
+    placed = written(streams(documents), "mix-places")
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    block_chars = max(block_chars, -(-total // max_blocks))
+    placed = placed.withColumn("block", F.expr(f"at div {block_chars}"))
+    sources = placed.groupBy("source").agg(F.sum("n").alias("chars"), (F.max("block") + 1).alias("blocks"))
+    plan = written(planned(sources, weights), "mix-plan")
+    return placed.join(plan, ["source", "block"]).select(
+        "doc_id", F.nullif("source", F.lit(NO_SOURCE)).alias("source"), F.col("n").alias("n_chars"), "block", "release", "deadline", "slot", (F.col("at") % block_chars).alias("within"), "h"
+    )
 
 
 def mixed(documents: DataFrame, weights: dict[str, float] | None = None, **how) -> DataFrame:

@@ -102,32 +102,6 @@ def test_lanes_of_a_paragraph_have_a_hash_each(spark):
 # --- 3: mixing ---
 
 
-@pytest.mark.parametrize("quotas", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 500, "b": 333, "c": 166, "d": 1}, {"a": 97, "b": 2, "c": 1}])
-def test_period_meets_every_window(quotas):
-    order, period = pfair_mix.pfair_period(quotas), sum(quotas.values())
-    had = dict.fromkeys(quotas, 0)
-    for slot, s in enumerate(order):
-        j = had[s] = had[s] + 1
-        assert (j - 1) * period // quotas[s] <= slot < -(-j * period // quotas[s])
-        for other, q in quotas.items():
-            assert abs(had[other] - (slot + 1) * q / period) < 1
-    assert had == quotas
-
-
-def test_schedule_keeps_every_row_and_deviates_by_less_than_a_block(spark):
-    rnd = random.Random(4)
-    frame = docs(spark, *["x" * rnd.randrange(1, 40) for _ in range(300)], None, "", (5, "dup"), (5, "dup"), (None, "no id"), sources=["big", "big", None])
-    got = pfair_mix.schedule(frame, block_chars=100, period=50).collect()
-    assert len(got) == 305
-    blocks = {}
-    for r in got:
-        blocks.setdefault((r["source"], r["block"]), r["slot"])
-        assert r["release"] < r["deadline"]
-    by_slot = sorted((slot, source) for (source, _), slot in blocks.items())
-    assert len({slot for slot, _ in by_slot}) == len(by_slot)
-    assert pfair_mix.schedule(frame.limit(0)).count() == 0
-
-
 def test_mixed_returns_the_rows_as_they_are(spark):
     frame = docs(spark, "a", None, "b", (2, "b"), (None, "c"))
     mixed = pfair_mix.mixed(frame, block_chars=1)
