@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
-    return packing.packed_documents(docs)
+    """Pieces of the documents with their places in sequences of 2048 tokens, in the mixed order."""
+    return packing.packed_documents(docs, in_order=True)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing_)]
