@@ -1,24 +1,30 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words are mapped to classes (insult, threat verb, person, negation, reporting verb); four small
-transducers, composed into one machine, rewrite the class string of each clause:
+Words are mapped to classes (insult, learned stem, threat verb, person, negation, reporting verb); four
+small transducers, composed into one machine, rewrite the class string of each clause:
 
 * threat: a threat verb before a person becomes a threat;
-* negation: an insult or threat up to three words after a negation becomes a negated one;
+* negation: an insult, stem or threat up to three words after a negation becomes a negated one;
 * reported speech: after a reporting verb or a quotation mark, up to the sentence's end, it
   becomes a reported one;
-* target: an insult in a clause with a person becomes a targeted one.
-
-The machine's outputs are counted per document, and a logistic regression on a bounded sample of
-labelled rows weighs the logarithms of the counts: a clause counts by its pattern, not each word
-alone. The insult lexicon is the fixed list below and the words that the same sample shows to
-stand almost only in toxic texts, in many different surroundings. Languages that build insults
-by composition get stems as well: beginnings of many different words, far more frequent in
-toxic texts. As a stem also turns up in clean texts now and then, its clauses count twice, once
-as they are and once by the thousand words.
-
-Cases: a null text counts as empty; texts without a match get the score of no matches; with no
-labelled rows or only one class among them fixed weights are taken.
+* target: an insult or stem in a clause with a person becomes a targeted one.
+
+Each output has a weight (``WEIGHTS``): a targeted insult counts more than a plain one, a negated or
+reported one a fraction of it. A document's weights are summed per class, and a logistic
+regression on a bounded sample of labelled rows, its coefficients bounded below by zero, calibrates
+the logarithms of the sums: so whatever is learned, a negated or reported clause counts less than a
+plain one, and a plain one less than a targeted one. A class that the sample hardly shows takes
+the insults' coefficient.
+
+The insult lexicon is the fixed list below and what the same sample shows: words that stand almost
+only in toxic texts, in many different surroundings, and, as some languages build insults by
+composition, stems: beginnings of several different words, far more frequent in toxic texts. What is
+learned is bounded by evidence, not by a number. As stems also turn up in clean texts, their sum
+counts twice, as it is and by the thousand words.
+
+Cases: a null text counts as empty; texts without a match get the score of no matches; ties between
+stems go to the longer, then the first by name; repeated rows keep a row each; with no labelled rows
+or only one class among them fixed coefficients are taken; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -45,12 +51,21 @@ INSULTS = (
     "imbécil estúpido estúpida basura escoria cabrón payaso"
 )
 THREATS = "kill murder destroy hurt strangle stab shoot beat töten umbringen tuer matar"
-PERSONS = "you your yours he she him her they them these those this that du dich ihr euch tu toi vous te usted ustedes ellos"
+PERSONS = "you your yours he she him her they them du dich ihr euch tu toi vous te usted ustedes ellos"
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais ne nunca jamás"
 REPORTING = "said says wrote writes claimed claims called quoted quotes reported sagte schrieb dit écrit dijo escribió"
-FEATURES = ("insult", "insult_at", "insult_negated", "insult_reported", "threat", "threat_negated", "threat_reported", "stem", "stem_again", "words")
-#: Weights of the features and the intercept where nothing can be learned.
-FALLBACK = ((3.0, 4.0, 0.5, 0.5, 4.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0), -3.0)
+PATTERNS = ("plain", "targeted", "negated", "reported")
+#: What a match of each pattern counts.
+WEIGHTS = {"plain": 1.0, "targeted": 1.5, "negated": 0.2, "reported": 0.2}
+KINDS_SCORED = ("insult", "threat", "stem")
+FEATURES = (*(f"{kind}_{pattern}" for kind in KINDS_SCORED for pattern in PATTERNS), "words")
+INPUTS = ("insult", "threat", "stem", "stem_rate", "words")
+#: Coefficients of the inputs and the intercept where nothing can be learned.
+FALLBACK = ((6.0, 6.0, 0.0, 0.0, 0.0), -3.0)
+#: A class that fewer texts of the sample match takes the insults' coefficient.
+LEAST_TEXTS = 5
+#: In rates, shorter texts count as so many words.
+LEAST_WORDS = 50
 LEAST_SCORE = 0.5
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\n.!?]+|[;:]+|[\"“”«»]")
@@ -95,29 +110,37 @@ def composed(*machines: Transducer):
 
 
 # Symbols: I insult, S stem, T threat verb, P person, N negation, R reporting verb, o other word,
-# " quotation mark, ";" clause end, "." sentence end. Written: H threat, i h negated, J K reported,
-# A targeted, s a stem after another one in its sentence.
+# " quotation mark, ";" clause end, "." sentence end. Written: H threat, i s h negated, J U K reported
+# (insult, stem, threat), A B targeted (insult, stem).
 THREAT = Transducer({(0, "T"): (1, ("o",)), (1, "T"): (1, ("o",)), (1, "P"): (0, ("H", "P"))}, {})
 NEGATION = Transducer(
     {(n, "N"): (3, ("N",)) for n in range(4)}
-    | {(n, x): (n - 1, (x,)) for n in range(1, 4) for x in "oPRS"}
-    | {(n, x): (n - 1, (y,)) for n in range(1, 4) for x, y in (("I", "i"), ("H", "h"))},
+    | {(n, x): (n - 1, (x,)) for n in range(1, 4) for x in "oPR"}
+    | {(n, x): (n - 1, (y,)) for n in range(1, 4) for x, y in (("I", "i"), ("S", "s"), ("H", "h"))},
     {},
 )
 REPORTED = Transducer(
     {(0, "R"): (1, ("R",)), (0, '"'): (2, ()), (2, '"'): (0, ()), (1, '"'): (2, ())}
-    | {(s, x): (s, (y,)) for s in (1, 2) for x, y in (("I", "J"), ("H", "K"), ("i", "i"), ("h", "h"))}
+    | {(s, x): (s, (y,)) for s in (1, 2) for x, y in (("I", "J"), ("S", "U"), ("H", "K"))}
     | {(s, ";"): (s, (";",)) for s in (1, 2)},
     {},
 )
-#: State 1: a person stood in the clause; 2: an insult waits for one.
+#: State 1: a person stood in the clause; 2, 3: an insult, a stem waits for one.
 TARGET = Transducer(
-    {(0, "P"): (1, ()), (0, "I"): (2, ()), (1, "I"): (1, ("A",)), (2, "I"): (2, ("I",)), (2, "P"): (1, ("A",))},
-    {2: ("I",)},
+    {(0, "P"): (1, ()), (1, "I"): (1, ("A",)), (1, "S"): (1, ("B",)), (2, "P"): (1, ("A",)), (3, "P"): (1, ("B",))}
+    | {(0, x): (y, ()) for x, y in (("I", 2), ("S", 3))}
+    | {(w, x): (y, (z,)) for w, z in ((2, "I"), (3, "S")) for x, y in (("I", 2), ("S", 3))},
+    {2: ("I",), 3: ("S",)},
 )
-AGAIN = Transducer({(0, "S"): (1, ("S",)), (1, "S"): (1, ("s",)), (1, ";"): (1, (";",))}, {})
-START, STEP = composed(THREAT, NEGATION, REPORTED, TARGET, AGAIN)
-COUNTED = {"I": 0, "A": 1, "i": 2, "J": 3, "H": 4, "h": 5, "K": 6, "S": 7, "s": 8}
+START, STEP = composed(THREAT, NEGATION, REPORTED, TARGET)
+#: Output symbol to feature; a threat has its person by its pattern.
+COUNTED = {
+    symbol: FEATURES.index(name)
+    for symbol, name in {
+        "I": "insult_plain", "A": "insult_targeted", "i": "insult_negated", "J": "insult_reported", "H": "threat_targeted", "h": "threat_negated",
+        "K": "threat_reported", "S": "stem_plain", "B": "stem_targeted", "s": "stem_negated", "U": "stem_reported",
+    }.items()
+}
 WORDS = FEATURES.index("words")
 
 
@@ -185,13 +208,13 @@ def with_counts(df: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
 
 def inputs() -> list[Column]:
     """The regression's inputs from the counts."""
-    stems = F.col("stem") + F.col("stem_again")
-    return [*[F.log1p(F.col(x)).alias(x) for x in FEATURES], F.log1p(stems * 1000.0 / F.col("words")).alias("stem_rate")]
+    sums = {kind: sum((F.col(f"{kind}_{p}") * F.lit(WEIGHTS[p]) for p in PATTERNS), F.lit(0.0)) for kind in KINDS_SCORED}
+    return [*[F.log1p(sums[kind]).alias(kind) for kind in KINDS_SCORED], F.log1p(sums["stem"] * 1000.0 / F.greatest(F.col("words"), F.lit(LEAST_WORDS))).alias("stem_rate"), F.log1p(F.col("words").cast("double")).alias("words")]
 
 
 def inputs_of(counts: list[int]) -> list[float]:
-    stems = counts[COUNTED["S"]] + counts[COUNTED["s"]]
-    return [*map(log1p, counts), log1p(stems * 1000.0 / counts[WORDS])]
+    sums = [sum(counts[4 * k + i] * WEIGHTS[p] for i, p in enumerate(PATTERNS)) for k in range(len(KINDS_SCORED))]
+    return [*map(log1p, sums), log1p(sums[2] * 1000.0 / max(counts[WORDS], LEAST_WORDS)), log1p(counts[WORDS])]
 
 
 def unlike(train: DataFrame) -> DataFrame:
@@ -201,37 +224,37 @@ def unlike(train: DataFrame) -> DataFrame:
     return train.withColumn("__least", least).dropDuplicates(["__least"]).drop("__least")
 
 
-def learned_stems(train: DataFrame, low: int = 4, high: int = 7, least: int = 20, ratio: float = 8.0, size: int = 40) -> tuple[str, ...]:
-    """At most ``size`` beginnings of words: of at least eight different words, at least ``least``
-    times in toxic texts (a word counts once a text), and ``ratio`` times as often there as in
-    clean ones."""
+def learned_stems(train: DataFrame, low: int = 3, high: int = 7, kinds: int = 6, ratio: float = 4.0, deviations: float = 8.0) -> tuple[str, ...]:
+    """Beginnings of words: of at least ``kinds`` different words of toxic texts, ``ratio`` times as
+    often there as in clean ones and by so many standard deviations more (a word counts once a
+    text). Of beginnings of each other the one with the most evidence."""
     tokens = train.select("label", F.explode(F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= low)).alias("word"))
-    words = tokens.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).filter("toxic > 0 or clean > 0")
-    totals = words.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()[0]
-    if not totals["t"] or not totals["c"]:
+    tokens = tokens.filter(~F.col("word").isin(INSULTS.split()))
+    words = tokens.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    texts = train.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect()[0]
+    if not texts["t"] or not texts["c"]:
         return ()
-    scale = totals["c"] / totals["t"]
     begun = words.select("toxic", "clean", F.explode(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("word"))), lambda k: F.col("word").substr(F.lit(1), k))).alias("stem"))
     sums = begun.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.when(F.col("toxic") > 0, 1)).alias("kinds"))
-    times = F.col("toxic") * scale / (F.col("clean") + 1)
-    good = sums.filter((F.col("kinds") >= 8) & (F.col("toxic") >= least) & (times >= ratio)).select("stem", (F.col("toxic") * F.log(times)).alias("gain"))
+    due = (F.col("clean") + 0.5) * F.lit(texts["t"] / texts["c"])
+    good = sums.filter((F.col("kinds") >= kinds) & (F.col("toxic") >= ratio * due) & (F.col("toxic") - due >= deviations * F.sqrt(due)))
     chosen: list[str] = []
-    for row in good.orderBy(F.desc("gain"), "stem").limit(50 * size).collect():
-        if len(chosen) < size and not any(row["stem"].startswith(s) or s.startswith(row["stem"]) for s in chosen):
+    # Bounded by the sample: each takes evidence from many of its toxic texts.
+    for row in good.select("stem", (F.col("toxic") * F.log(F.col("toxic") / due)).alias("gain")).orderBy(F.desc("gain"), F.desc(F.length("stem")), "stem").collect():
+        if not any(row["stem"].startswith(s) or s.startswith(row["stem"]) for s in chosen):
             chosen.append(row["stem"])
     return tuple(chosen)
 
 
-def learned_words(train: DataFrame, least: int = 5, purity: float = 0.97, size: int = 200) -> tuple[str, ...]:
-    """At most ``size`` words of toxic texts: in at least ``least`` of them, almost never elsewhere,
-    and after at least ``least`` different words, which the words of one copied text are not."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
-    seen = train.select("label", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
-    pure = seen.filter((F.col("toxic") >= least) & (F.col("toxic") >= purity * F.col("all"))).orderBy(F.desc("toxic"), "word").limit(size)
+def learned_words(train: DataFrame, least: int = 5, purity: float = 0.97) -> tuple[str, ...]:
+    """Words of toxic texts: in at least ``least`` of them, almost never elsewhere, and after at least
+    ``least`` different words, which the words of one copied text are not."""
     tokens = F.split(F.lower("text"), r"[^\p{L}]+")
+    seen = train.select("label", F.explode(F.array_distinct(F.filter(tokens, lambda w: F.length(w) >= 3))).alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
+    pure = seen.filter((F.col("toxic") >= least) & (F.col("toxic") >= purity * F.col("all")))
     pairs = train.filter("label = 1").select(F.explode(F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.struct(a.alias("before"), b.alias("word")))).alias("p"))
-    # At most `size` words: the broadcast is bounded by that parameter.
-    around = pairs.select("p.*").join(F.broadcast(pure.select("word", "toxic")), "word").groupBy("word").agg(F.countDistinct("before").alias("befores"), F.max("toxic").alias("toxic"))
+    around = pairs.select("p.*").join(pure.select("word", "toxic"), "word").groupBy("word").agg(F.countDistinct("before").alias("befores"), F.max("toxic").alias("toxic"))
+    # Bounded by the sample: each is in ``least`` of its toxic texts.
     return tuple(r["word"] for r in around.filter((F.col("befores") >= least) & (F.col("befores") >= 0.5 * F.col("toxic"))).orderBy("word").collect())
 
 
@@ -257,18 +280,27 @@ def fitted(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     # Here, as executors import this module for the counts and have no use for the fitting.
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import DenseMatrix
 
     train = written(training_rows(documents, labels, "toxic", max_rows), "toxic-train")
     classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
         return ToxicModel(Lexicon(), *FALLBACK)
     apart = written(unlike(train), "toxic-apart")
-    lexicon = Lexicon(learned_words(apart), learned_stems(apart))
-    counted = with_counts(train, ["label"], lexicon).select("label", *inputs())
-    rows = VectorAssembler(inputCols=[c for c in counted.columns if c != "label"], outputCol="x").transform(counted).select("label", "x").coalesce(8).cache()
-    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, elasticNetParam=0.0, maxIter=100).fit(rows)
-    rows.unpersist()
-    return ToxicModel(lexicon, tuple(float(w) for w in model.coefficients), float(model.intercept))
+    stems = learned_stems(apart)
+    lexicon = Lexicon(tuple(w for w in learned_words(apart) if not w.startswith(stems or ("\0",))), stems)
+    counted = written(with_counts(train, ["label"], lexicon).select("label", *inputs()), "toxic-counts")
+    rows = VectorAssembler(inputCols=list(INPUTS), outputCol="x").transform(counted).select("label", "x").coalesce(8)
+    # The inputs of matches can only speak for toxic; the number of words is free (a finite bound, as a constant input has no scale).
+    least = DenseMatrix(1, len(INPUTS), [0.0] * (len(INPUTS) - 1) + [-100.0])
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, elasticNetParam=0.0, maxIter=100, lowerBoundsOnCoefficients=least).fit(rows)
+    weights = list(map(float, model.coefficientMatrix.toArray()[0]))
+    shown = counted.agg(*[F.count(F.when(F.col(kind) > 0, 1)).alias(kind) for kind in KINDS_SCORED]).collect()[0]
+    if shown["insult"] < LEAST_TEXTS:
+        weights[0] = FALLBACK[0][0]
+    if shown["threat"] < LEAST_TEXTS:
+        weights[1] = weights[0]
+    return ToxicModel(lexicon, tuple(weights), float(model.interceptVector[0]))
 
 
 def scored(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

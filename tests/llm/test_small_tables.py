@@ -314,8 +314,8 @@ def test_rules_are_sql_predicates(spark):
 @pytest.mark.parametrize(
     ("text", "counted"),
     [
-        ("You idiot.", {"insult_at": 1}), ("idiot you.", {"insult_at": 1}), ("an idiot. you", {"insult": 1}), ("not an idiot.", {"insult_negated": 1}), ('he said "idiot" again.', {"insult_reported": 1}),
-        ("I will kill you.", {"threat": 1}), ("kill time. you", {}), ("I will not kill you.", {"threat_negated": 1}), ("He wrote I will kill you.", {"threat_reported": 1}), ("IDIOT*** idiot!!", {"insult": 2}), ("idiotic", {}), ("", {}), (None, {}),
+        ("You idiot.", {"insult_targeted": 1}), ("idiot you.", {"insult_targeted": 1}), ("an idiot. you", {"insult_plain": 1}), ("not an idiot.", {"insult_negated": 1}), ('he said "idiot" again.', {"insult_reported": 1}),
+        ("I will kill you.", {"threat_targeted": 1}), ("kill time. you", {}), ("I will not kill you.", {"threat_negated": 1}), ("He wrote I will kill you.", {"threat_reported": 1}), ("IDIOT*** idiot!!", {"insult_plain": 2}), ("idiotic", {}), ("", {}), (None, {}),
     ],
 )
 def test_grammar(text, counted):
