@@ -86,12 +86,13 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, prefix) of each row; node is the key of the set, null for an empty one."""
+    """(doc_id, h, node, n, prefix, bits) of each row; h stands for its text, node is the key of the set,
+    null for an empty one."""
     tokens, classes = common_shingles(documents, width)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            offsets, hashes = shingle_sets(batch.column(1).to_pylist(), width)
+            offsets, hashes = shingle_sets(batch.column(2).to_pylist(), width)
             n = np.diff(offsets)
             owner = np.repeat(np.arange(len(n)), n)
             cls = np.zeros(len(hashes), "i8")
@@ -108,14 +109,19 @@ def sketches(documents: DataFrame, width: int, percent: int) -> DataFrame:
             words, begins = parities(hashes, n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), keys, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view("i8"))),
+                    batch.column(0), batch.column(1), keys, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view("i8"))),
                     pa.ListArray.from_arrays(pa.array(begins.astype("i4")), pa.array(words.view("i8"))),
                 ],
-                ["doc_id", "node", "n", "prefix", "bits"],
+                ["doc_id", "h", "node", "n", "prefix", "bits"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sketched, "doc_id long, node long, n long, prefix array<long>, bits array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h"), "text")
+    return rows.mapInArrow(sketched, "doc_id long, h long, node long, n long, prefix array<long>, bits array<long>")
+
+
+def text_key() -> Column:
+    """With the id, what tells a row from those of other texts."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def parities(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,8 +356,10 @@ def group_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.cogroup(right).applyInPandas(compare, "a long, b long").distinct()
 
 
-def joined(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents."""
+def rooted(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, h, n, root) of each row; linked rows have one root, a text without shingles none."""
+    if not 50 <= percent <= 100:
+        raise ValueError("a link needs 50 to 100 percent: bitmaps of less similar sets are not compared")
     sketch = written(sketches(documents, width, percent), "sketches")
     shared = written(shared_tokens(sketch), "shared")
     playing = shared.select("node").distinct()
@@ -369,17 +377,27 @@ def joined(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     more = written(needed_sets(documents, sketch, pairs.select("node").union(pairs.select("query")), width), "sets")
     merged = components(written(group_links(pairs, more, percent), "group-links"))
     final = groups.join(merged.select(F.col("id").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("root"))
-    rooted = sketch.select("doc_id", "node", "n").join(final, "node", "left")
-    # A text without shingles is alone; a node that shares nothing is its own root.
-    rooted = written(rooted.select("doc_id", "n", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root")), "rooted")
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # A node that shares nothing is its own root.
+    rows = sketch.select("doc_id", "h", "node", "n").join(final, "node", "left")
+    return written(rows.select("doc_id", "h", "n", F.when(F.col("node").isNotNull(), F.coalesce("root", "node")).alias("root")), "rooted")
+
+
+def joined(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents. Rows without an id have no component."""
+    rows = rooted(documents, width, percent)
+    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents, as they are, but for those linked with a row of a smaller id.
+    """The rows of documents, as they are, but one row of each group of linked ones: that of the smallest
+    id (rows without one come last, those of a repeated id in the order of their texts' hashes).
 
-    Rows without an id stay. Of repeated rows with the kept id all stay.
+    Decided by row, not by id. Texts without words all stay; so do rows equal in id and text to the
+    one kept. A row without an id is linked by an equal set of shingles only.
     """
-    kept = joined(documents, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(kept, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = rooted(documents, width, percent).filter("root is not null").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
+    best = rows.groupBy("root").agg(F.min("rank").alias("best"))
+    gone = rows.join(best, "root").filter("rank <> best").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__h")), "left_anti")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
@@ -68,7 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ensemble": op8_rule_ensemble,
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_site_templates": op10_site_templates,
-    "pipeline": corpus_pipeline.run,
 }
 
 _RECORD = (
@@ -99,22 +97,27 @@ def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
 
-_RULES = sorted(host_reputation.RULES, key=lambda r: -len(r[0]) - len(r[1]))
-_OP7 = f"""WITH own AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{host_reputation.UPPER}', '{host_reputation.LOWER}'), '') AS host,
+#: Literals, not the module's own, so that a wrong rule there shows: longest first.
+_RULES = (("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("com", "/", "allow"))
+_OP7 = f"""WITH own AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*?/([0-9]+)', 1) AS BIGINT) AS doc_id FROM pages),
+named AS (SELECT host, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('co', 'com', 'org', 'net', 'ac', 'gov', 'edu', 'ne', 'or') THEN p[-2] || '.' || p[-1] ELSE p[-1] END AS suffix
+  FROM (SELECT DISTINCT host, string_split(host, '.') AS p FROM own)),
+split AS (SELECT host, suffix, CASE WHEN len(string_split(host, '.')) > len(string_split(suffix, '.')) + 1
+  THEN array_to_string(list_slice(string_split(host, '.'), -1 - len(string_split(suffix, '.')), -1), '.') ELSE host END AS domain FROM named),
 outcome AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels GROUP BY 1 HAVING max(CAST(quality = 0 OR toxic = 1 AS INT)) IS NOT NULL),
-hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM (SELECT host, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM own JOIN outcome USING (doc_id) GROUP BY 1)),
+hosts AS (SELECT host, suffix, domain, n, bad FROM (SELECT host, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM own JOIN outcome USING (doc_id) GROUP BY 1) JOIN split USING (host)),
 corpus AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m0 FROM hosts),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(m0) AS m0 FROM hosts, corpus GROUP BY 1), s1 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1 FROM s, ({_strength("s", "m0")})),
-d AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(m1) AS m1 FROM hosts JOIN s1 USING (suffix) GROUP BY ALL), d1 AS (SELECT domain, (bad + k * m1) / (n + k) AS m2 FROM d, ({_strength("d", "m1")})),
-h AS (SELECT host, n, bad, m2 FROM hosts JOIN d1 USING (domain)), h1 AS (SELECT host, n, bad, (bad + k * m2) / (n + k) AS mean, n + k AS weight FROM h, ({_strength("h", "m2")})),
-judged AS (SELECT page_id, host, path, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(mean, m0) AS mean, coalesce(weight, 10.0::DOUBLE) AS weight FROM own LEFT JOIN h1 USING (host), corpus),
-bounded AS (SELECT *, greatest(0.0::DOUBLE, mean - {host_reputation.DEVIATIONS}::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1))) AS low FROM judged)
+d AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(m1) AS m1 FROM hosts JOIN s1 USING (suffix) GROUP BY ALL), k2 AS ({_strength("d", "m1")}), d1 AS (SELECT domain, (bad + k * m1) / (n + k) AS m2 FROM d, k2),
+h AS (SELECT host, n, bad, m2 FROM hosts JOIN d1 USING (domain)), k3 AS ({_strength("h", "m2")}), h1 AS (SELECT host, n, bad, (bad + k * m2) / (n + k) AS mean, n + k AS weight FROM h, k3),
+known AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, CASE WHEN host = '' THEN m0 ELSE coalesce(mean, m2, m1, m0) END AS mean,
+  CASE WHEN host = '' THEN 10.0::DOUBLE WHEN mean IS NOT NULL THEN weight WHEN m2 IS NOT NULL THEN k3.k WHEN m1 IS NOT NULL THEN k2.k ELSE 10.0::DOUBLE END AS weight
+  FROM split LEFT JOIN h1 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), corpus, k2, k3),
+bounded AS (SELECT *, greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1))) AS low FROM own JOIN known USING (host))
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{a}{b}'" for a, b, _ in _RULES)} END AS rule,
-  CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{v}'" for a, b, v in _RULES)} WHEN low > {host_reputation.ACCEPTED} THEN 'block' ELSE 'allow' END AS verdict,
+  CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{v}'" for a, b, v in _RULES)} WHEN low > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
   n AS n_labelled, bad AS n_bad, round(mean, 6) AS bad_rate, round(low, 6) AS bad_rate_bound FROM bounded"""
 
 #: Where DuckDB can say the same thing.
 ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1, "op7_host_reputation": _OP7}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
