@@ -37,13 +37,28 @@ def forecast(body: Column) -> Column:
     return F.struct(F.get(first(0)["weathers"], F.lit(0)).alias("weather"), first(1)["pops"].alias("pops"), F.array_max(temps).alias("temp_max"))
 
 
+# Words of bad weather, chance of rain in percent, and degrees of a hot and of a warm day.
+BAD_WEATHER, LIKELY_RAIN, HOT, WARM = ("雨", "雪", "雷"), 50, 35, 31
+
+
 def advice(indoor: Column, weather: Column, pops: Column, temp_max: Column) -> Column:
-    """Notes for a trip: rain likely, heat, cold, by whether the place is indoors."""
-    wet = F.coalesce(F.array_max(F.transform(pops, lambda p: p.try_cast("int"))), F.lit(0)) >= 50
-    rainy = wet | F.coalesce(weather.rlike("雨|雪"), F.lit(False))
-    outside = ~F.coalesce(indoor, F.lit(False))
-    notes = F.array(F.when(rainy & outside, "rain"), F.when(rainy & ~outside, "indoors"), F.when((temp_max >= 33) & outside, "heat"), F.when((temp_max <= 3) & outside, "cold"))
-    return F.filter(notes, lambda n: n.isNotNull())
+    """Notes (level, text) for a trip; a place not known to be outdoors counts as indoors.
+
+    Outdoors a word of bad weather comes before the chance of rain, then heat before warmth; indoors
+    only bad weather is worth a note. No forecast, no note.
+    """
+    weather = F.coalesce(weather, F.lit(""))
+    bad = F.lit(False)
+    for word in BAD_WEATHER:
+        bad = bad | weather.contains(word)
+    chance = F.array_max(F.transform(F.filter(pops, lambda p: p.rlike("^[0-9]+$")), lambda p: p.try_cast("int")))
+    outdoor = ~F.coalesce(indoor, F.lit(True))
+    note = lambda level, *text: F.struct(F.lit(level).alias("level"), F.concat(*[t if isinstance(t, Column) else F.lit(t) for t in text]).alias("text"))
+    degrees = temp_max.cast("string")
+    rain = F.when(bad, note("warn", "今日の天気は「", weather, "」です。屋根のある行き先も見てみてください")).when(chance >= LIKELY_RAIN, note("warn", "降水確率が", chance.cast("string"), "%あります。雨具の用意を"))
+    heat = F.when(temp_max >= HOT, note("warn", "最高気温", degrees, "℃の猛暑日です。ベビーカーは地面に近く暑くなります")).when(temp_max >= WARM, note("info", "最高気温", degrees, "℃です。日陰と水分を用意してください"))
+    dry = F.when(bad, note("info", "屋内なので、雨の日でも過ごせます"))
+    return F.filter(F.array(F.when(outdoor, rain), F.when(outdoor, heat), F.when(~outdoor, dry)), lambda n: n.isNotNull())
 
 
 def active_warnings(body: Column) -> Column:

@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outways.functions import geo
 
-#: Latitudes up to here are covered by the neighbouring cells.
-MAX_LATITUDE = 66.0
+#: Metres of a degree, a little short, so that cells are a little wide.
+DEGREE_SHORT = 110_000.0
+#: Rows of fewer cells than this, round the poles, are one cell each: there a degree's metres bend.
+LEAST_CELLS = 12
+
+
+def _row_height(metres: float) -> float:
+    return metres / DEGREE_SHORT
 
 
-def grid_sizes(metres: float) -> tuple[float, float]:
-    """Degrees of latitude and longitude of cells at least ``metres`` wide up to MAX_LATITUDE."""
-    return metres / 110000.0, metres / (110000.0 * math.cos(math.radians(MAX_LATITUDE)))
+def _cells_in(row: Column, metres: float) -> Column:
+    """Into how many cells, each at least ``metres`` wide there and in the rows next to it, a row is cut."""
+    height = _row_height(metres)
+    edge = F.greatest(F.abs(row * height), F.abs((row + 1) * height)) + height
+    n = F.floor(360.0 * DEGREE_SHORT / metres * F.cos(F.radians(F.least(edge, F.lit(90.0))))).cast("long")
+    return F.when(n < LEAST_CELLS, F.lit(1).cast("long")).otherwise(n)
+
+
+def _cell_at(lon: Column, cells: Column) -> Column:
+    """The cell of a row that holds a longitude; cells go round the globe."""
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * cells).cast("long"), cells)
 
 
 def within_metres(left: DataFrame, right: DataFrame, metres: float, strict: bool = False, reach: float | None = None) -> DataFrame:
-    """Pairs of rows closer than ``metres``, with column ``metres``.
+    """Pairs of rows closer than ``metres``, with column ``metres``, anywhere on the globe.
 
     Both sides have lat and lon; the right one's columns must have other names than the left
     one's, but for these: they are r_lat and r_lon. The right side is dealt to its cell and the
-    eight around it, so the shuffle is by cell and no pair is missed or met twice.
+    eight around it, so the shuffle is by cell and no pair is missed or met twice. Rows of cells
+    have their own number of cells, fewer towards the poles, and close across longitude 180.
     """
-    size_y, size_x = grid_sizes(reach or metres)
-    left = left.withColumn("__y", geo.cell(F.col("lat"), size_y)).withColumn("__x", geo.cell(F.col("lon"), size_x))
-    right = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn(
-        "__c", F.explode(geo.neighbours(geo.cell(F.col("r_lat"), size_y), geo.cell(F.col("r_lon"), size_x)))
-    )
-    right = right.select("*", F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x")).drop("__c")
+    size = float(reach or metres)
+    height = _row_height(size)
+    left = left.withColumn("__y", geo.cell(F.col("lat"), height)).withColumn("__x", _cell_at(F.col("lon"), _cells_in(F.col("__y"), size)))
+    right = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("__y", F.explode(F.array(*[geo.cell(F.col("r_lat"), height) + d for d in (-1, 0, 1)])))
+    right = right.withColumn("__n", _cells_in(F.col("__y"), size))
+    around = F.array_distinct(F.array(*[F.pmod(_cell_at(F.col("r_lon"), F.col("__n")) + d, F.col("__n")) for d in (-1, 0, 1)]))
+    right = right.withColumn("__x", F.explode(around)).drop("__n")
     pairs = left.join(right, ["__y", "__x"]).withColumn("metres", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.filter(F.col("metres") < metres if strict else F.col("metres") <= metres).drop("__y", "__x")
 

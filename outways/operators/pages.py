@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Character references that pages use.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 # Other words for the same toy, and words that are none.
 TOY_ALIASES = {"滑り台": "すべり台", "スベリ台": "すべり台", "鉄ぼう": "鉄棒", "すな場": "砂場"}
 
 
 def unescaped(text: Column) -> Column:
-    """Common character references decoded, ``&amp;`` last."""
-    for name, char in REFERENCES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references decoded: decimal and hexadecimal ones, and the named ones of HTML 4."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (f"&{name};", chr(code))])
+
+    def char(ref: Column) -> Column:
+        code = F.when(ref.rlike("^&#[xX]"), F.lower(F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]{1,6});$", 1))).when(ref.startswith("&#"), F.lower(F.hex(F.regexp_extract(ref, "^&#([0-9]{1,7});$", 1).try_cast("long"))))
+        known = F.conv(code, 16, 10).try_cast("long").between(1, 0x10FFFF)
+        return F.coalesce(F.when(known, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")), F.try_element_at(names, ref), ref)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    # What gives an ampersand goes last, so that nothing is decoded twice.
+    late = lambda r: r.rlike("^&(?:amp|#0*38|#[xX]0*26);$")
+    ordered = F.concat(F.filter(refs, lambda r: ~late(r)), F.filter(refs, late))
+    return F.aggregate(ordered, text, lambda acc, ref: F.replace(acc, ref, char(ref)))
 
 
 def text_of(html: Column) -> Column:
@@ -89,9 +98,9 @@ def opening_hours(text: Column) -> Column:
     return F.when(F.size(found) == 2, F.struct(clock(F.get(found, F.lit(0))).alias("open"), clock(F.get(found, F.lit(1))).alias("close")))
 
 
-def crawl(links: DataFrame, start: DataFrame, max_pages: int = 2000, skip: str | None = None, max_waves: int = 50, cut=None) -> DataFrame:
+def crawl(links: DataFrame, start: DataFrame, max_pages: int = 2000, skip: str | None = None, max_waves: int = 10_000, cut=None) -> DataFrame:
     """(url, wave): breadth-first from ``start`` (url) over links (src, dst); no new wave once
-    ``max_pages`` are seen."""
+    ``max_pages`` are seen. Fails if links still lead on after ``max_waves``."""
     cut = cut or (lambda df: df.checkpoint())
     seen = cut(start.select("url").distinct().withColumn("wave", F.lit(0)))
     wanted = links if skip is None else links.filter(~F.col("dst").rlike(skip))
@@ -101,5 +110,5 @@ def crawl(links: DataFrame, start: DataFrame, max_pages: int = 2000, skip: str |
         seen = cut(seen.union(new.withColumn("wave", F.lit(wave))))
         counts = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("wave") == wave, 1)).alias("fresh")).collect()[0]
         if not counts["fresh"] or counts["n"] >= max_pages:
-            break
-    return seen
+            return seen
+    raise RuntimeError(f"links still lead on after {max_waves} waves")

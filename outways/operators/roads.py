@@ -81,7 +81,8 @@ def shortest(arcs: DataFrame, sources: DataFrame, budget: float | None = None, m
 
     arcs: (a, b, cost), costs not negative or null (closed). Each round relaxes the frontier's arcs
     with one join and one min aggregate, joins what improved into the costs, and cuts the lineage;
-    it ends when nothing improves. Ties in cost go to the smaller predecessor.
+    it ends when nothing improves, and fails where ``max_rounds`` aren't enough. Of several cheapest
+    ways the predecessor with the smallest id is named.
     """
     cut = cut or (lambda df: df.checkpoint())
     limit = F.lit(float("inf") if budget is None else float(budget))
@@ -99,7 +100,13 @@ def shortest(arcs: DataFrame, sources: DataFrame, budget: float | None = None, m
         known = cut(met.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("new")))
         if not known.filter("new").limit(1).count():
             break
-    return known.select("node", "cost", "pred")
+    else:
+        raise RuntimeError(f"costs still fall after {max_rounds} rounds")
+    costs = known.select("node", "cost")
+    through = costs.select(F.col("node").alias("a"), F.col("cost").alias("before")).join(arcs, "a").join(costs.withColumnRenamed("node", "b"), "b").filter(F.col("before") + F.col("step") == F.col("cost"))
+    # The first predecessor found of a start that nothing improved stays none.
+    preds = through.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
+    return known.join(preds, "node", "left").select("node", "cost", F.when(F.col("pred").isNotNull(), F.coalesce("first", "pred")).alias("pred"))
 
 
 def snapped_nodes(points: DataFrame, nodes: DataFrame, metres: float, key: str, k: int = 1) -> DataFrame:
@@ -109,29 +116,67 @@ def snapped_nodes(points: DataFrame, nodes: DataFrame, metres: float, key: str,
     return nearest(points, nodes.select("node", "lat", "lon"), metres, key, "node", k)
 
 
-def path_nodes(known: DataFrame, targets: DataFrame, max_hops: int = 64, cut=None) -> DataFrame:
-    """(target, hop, node): the nodes of the path to each target, from the target back."""
+def path_nodes(known: DataFrame, targets: DataFrame, max_hops: int = 100_000, cut=None) -> DataFrame:
+    """(target, hop, node): the nodes of the path to each target, from the target back.
+
+    One round a hop, as the result holds a row for each; for sums along paths see ``path_sums``. Fails
+    on paths of over ``max_hops``.
+    """
     cut = cut or (lambda df: df.checkpoint())
     at = cut(targets.select(F.col("node").alias("target"), F.lit(0).alias("hop"), "node"))
-    out = at
-    back = known.select("node", "pred").filter("pred is not null")
-    for hop in range(1, max_hops + 1):
+    parts = [at]
+    back = cut(known.select("node", "pred").filter("pred is not null"))
+    for hop in range(1, max_hops + 2):
         at = cut(at.join(back, "node").select("target", F.lit(hop).alias("hop"), F.col("pred").alias("node")))
         if not at.limit(1).count():
             break
-        out = out.union(at)
+        parts.append(at)
+        if len(parts) == 64:
+            parts = [cut(_union(parts))]
+    else:
+        raise RuntimeError(f"a path has over {max_hops} hops")
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
     return out
 
 
-def path_summary(legs: DataFrame) -> DataFrame:
-    """Per target: metres, seconds, steps, elevators, covered metres. legs: target, length, seconds, highway, attrs."""
+def path_sums(known: DataFrame, legs: DataFrame, sums: list[str], max_doublings: int = 60, cut=None) -> DataFrame:
+    """(node, hops, *sums): the sums of each node's way from its source.
+
+    known: (node, pred); legs: (node, *sums) of the leg from pred to node. Sums travel up the tree of
+    predecessors by doubling: after k rounds a node knows its last 2**k legs and the node before
+    them, so long paths take few rounds and no path is written out.
+    """
+    cut = cut or (lambda df: df.checkpoint())
+    legs = legs.select("node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums])
+    at = known.select("node", F.col("pred").alias("up"), F.col("pred").isNotNull().cast("long").alias("hops")).join(legs, "node", "left")
+    at = cut(at.select("node", "up", "hops", *[F.when(F.col("up").isNotNull(), F.col(c)).otherwise(0.0).alias(c) for c in sums]))
+    for _ in range(max_doublings):
+        if not at.filter("up is not null").limit(1).count():
+            return at.drop("up")
+        above = at.select(F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"__{c}") for c in ("hops", *sums)])
+        met = at.join(above, "up", "left")
+        at = cut(met.select("node", F.col("further").alias("up"), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in ("hops", *sums)]))
+    raise RuntimeError("the predecessors form a circle")
+
+
+PATH_SUMS = ("metres", "seconds", "steps", "elevators", "covered_m", "bike_sidewalk_m")
+
+
+def leg_measures() -> list[Column]:
+    """What a leg (length, cost, highway, attrs) adds to a path's summary, by ``PATH_SUMS``."""
     attr = lambda key: F.try_element_at(F.col("attrs"), F.lit(key))
-    count = lambda c: F.count(F.when(c, 1))
-    covered = F.coalesce((attr("covered") == "yes") | (attr("tunnel") == "building_passage"), F.lit(False))
-    return legs.groupBy("target").agg(
-        F.sum("length").alias("metres"), F.sum("seconds").alias("seconds"), count(F.col("highway") == "steps").alias("steps"),
-        count(F.col("highway") == "elevator").alias("elevators"), F.coalesce(F.sum(F.when(covered, F.col("length"))), F.lit(0.0)).alias("covered_m"),
-    )
+    one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
+    long_if = lambda c: F.when(F.coalesce(c, F.lit(False)), F.col("length")).otherwise(0.0)
+    covered = (F.coalesce(attr("covered"), F.lit("")) == "yes") | (F.coalesce(attr("tunnel"), F.lit("")) == "building_passage")
+    walked = (F.col("highway") == "footway") & attr("bicycle").isin("yes", "designated")
+    measures = (F.col("length"), F.col("cost"), one(F.col("highway") == "steps"), one(F.col("highway") == "elevator"), long_if(covered), long_if(walked))
+    return [m.alias(name) for m, name in zip(measures, PATH_SUMS, strict=True)]
 
 
 def barrier_edges(edges: DataFrame, midpoints: DataFrame, metres: float = 25.0) -> DataFrame:

@@ -123,22 +123,24 @@ def coverage(spots: DataFrame) -> DataFrame:
 
 
 def park_sizes(parks: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(id, area_m2, how): a park's size from its page's text, else the smallest polygon around it
-    (unless parks of other names share it), else a polygon of the same name within 300 m.
+    """(id, area_m2, how): a park's size from its page's text, else the smallest polygon around it (where
+    several parks lie in it, only for those of its name), else a polygon of the same name whose
+    box's middle is under 300 m away.
 
     parks: id, ord, name, key, lat, lon, page_text; polygons: poly, pkey, ring, area, plat, plon.
     """
     from outways.operators.near import containing
 
-    number = F.regexp_extract("page_text", r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:ヘクタール|平方メートル|㎡|m2)", 1)
-    hectares = F.regexp_like("page_text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?\s*ヘクタール"))
-    said = F.replace(number, F.lit(","), F.lit("")).try_cast("double") * F.when(hectares, 10000).otherwise(1)
-    parks = parks.withColumn("said", said)
+    stated = F.trim(F.translate(F.coalesce("page_text", F.lit("")), "約,", ""))
+    pattern = r"^([0-9.]+)\s*(ヘクタール|平方メートル|㎡|m2)"
+    value = F.regexp_extract(stated, pattern, 1).try_cast("double")
+    said = (value * F.when(F.regexp_extract(stated, pattern, 2) == "ヘクタール", 10000).otherwise(1)).cast("long").cast("double")
+    parks = parks.withColumn("said", F.nullif(said, F.lit(0.0)))
     held = containing(parks, polygons, "id", "poly", F.col("area")).join(parks.select("id", "key"), "id")
-    names = held.groupBy("poly").agg(F.countDistinct("key").alias("names"))
-    around = held.join(names.filter("names = 1"), "poly").join(polygons.select("poly", "area"), "poly").select("id", F.col("area").alias("around"))
+    shared = held.groupBy("poly").agg(F.count("*").alias("parks"))
+    around = held.join(shared, "poly").join(polygons.select("poly", "pkey", "area"), "poly").filter((F.col("parks") == 1) | (F.col("pkey") == F.col("key"))).select("id", F.col("area").alias("around"))
     near = parks.join(polygons.select("poly", "pkey", "plat", "plon", F.col("area").alias("named_area")), F.col("key") == F.col("pkey"))
-    close = (F.abs(F.col("lat") - F.col("plat")) * 111000 <= 300) & (F.abs(F.col("lon") - F.col("plon")) * 91000 <= 300)
+    close = (F.abs(F.col("lat") - F.col("plat")) * 111000 < 300) & (F.abs(F.col("lon") - F.col("plon")) * 91000 < 300)
     named = near.filter(close).groupBy("id").agg(F.min(F.struct("poly", "named_area")).alias("b")).select("id", F.col("b.named_area").alias("named"))
     out = parks.join(around, "id", "left").join(named, "id", "left")
     how = F.when(F.col("said").isNotNull(), "text").when(F.col("around").isNotNull(), "polygon").when(F.col("named").isNotNull(), "name")

@@ -24,13 +24,13 @@ def services_on(calendar: DataFrame, exceptions: DataFrame, days: DataFrame) ->
     """(day, feed_id, service_id, runs) for each service and asked yyyymmdd ``day``.
 
     An exception of the day decides (the last by ``ord``, where repeated), else the calendar
-    row's span and weekday; blank bounds are open. Days are a small table and are broadcast.
+    row's span and weekday; blank bounds are open.
     """
     order = F.col("ord") if "ord" in exceptions.columns else F.lit(0)
     last = F.max(F.struct(order.alias("o"), "exception_type")).alias("e")
     special = exceptions.groupBy("feed_id", "service_id", F.col("date").alias("day")).agg(last).select("feed_id", "service_id", "day", "e.exception_type")
     services = calendar.select("feed_id", "service_id").union(exceptions.select("feed_id", "service_id")).distinct()
-    asked = services.join(F.broadcast(days.select("day").distinct())).join(calendar, ["feed_id", "service_id"], "left").join(special, ["feed_id", "service_id", "day"], "left")
+    asked = services.crossJoin(days.select("day").distinct()).join(calendar, ["feed_id", "service_id"], "left").join(special, ["feed_id", "service_id", "day"], "left")
     flag = F.element_at(F.array(*[F.col(d) for d in DAYS]), F.weekday(F.to_date("day", "yyyyMMdd")) + 1)
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     regular = (blank("start_date") | (F.col("start_date") <= F.col("day"))) & (blank("end_date") | (F.col("end_date") >= F.col("day"))) & (flag == 1)
@@ -179,8 +179,8 @@ def start_times(access: DataFrame, when: int, departing: DataFrame, window: int
 def representative_trips(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     """(feed_id, route_id, trip_id, stops): the trip with the most stops, at least two; the first on ties."""
     counts = stop_times.groupBy("feed_id", "trip_id").agg(F.count("*").alias("stops")).filter("stops >= 2").join(trips, ["feed_id", "trip_id"])
-    best = F.max(F.struct("stops", (-F.col("trip_id")).alias("minus"))).alias("best")
-    return counts.groupBy("feed_id", "route_id").agg(best).select("feed_id", "route_id", (-F.col("best.minus")).alias("trip_id"), F.col("best.stops").alias("stops"))
+    best = F.min(F.struct((-F.col("stops")).alias("minus"), "trip_id")).alias("best")
+    return counts.groupBy("feed_id", "route_id").agg(best).select("feed_id", "route_id", "best.trip_id", (-F.col("best.minus")).alias("stops"))
 
 
 def network_counts(stop_times: DataFrame, trips: DataFrame) -> DataFrame:

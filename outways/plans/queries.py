@@ -330,17 +330,17 @@ def calendar(spark) -> DataFrame:
 
 
 @query(
-    "WITH days AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS d, o_orderdate AS t FROM orders), ex AS (SELECT o_orderstatus AS service_id, strftime(o_orderdate, '%Y%m%d') AS d, max(CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END) AS e FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL), "
+    "WITH days AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS d, o_orderdate AS t FROM orders), ex AS (SELECT o_orderstatus AS service_id, strftime(o_orderdate, '%Y%m%d') AS d, CASE sum(o_custkey) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS e FROM orders GROUP BY ALL), "
     "cal AS (SELECT * FROM (VALUES ('F', 1, 0, '', ''), ('O', 0, 1, '19950101', '20011231'), ('P', 1, 1, '19960101', '')) v(service_id, wk, we, s, e)) "
     "SELECT d AS day, service_id, CASE WHEN ex.e = 2 THEN false WHEN ex.e = 1 THEN true ELSE (cal.s = '' OR cal.s <= d) AND (cal.e = '' OR cal.e >= d) AND CASE WHEN isodow(t) >= 6 THEN we ELSE wk END = 1 END AS runs "
-    "FROM days CROSS JOIN cal LEFT JOIN ex USING (service_id, d) WHERE d LIKE '199606%'"
+    "FROM days CROSS JOIN cal LEFT JOIN ex USING (service_id, d)"
 )
 def service_runs(spark, sf_dir):
-    """Whether each service runs on each day of a month: exceptions first, then calendar."""
+    """Whether each service runs on each day of the orders: exceptions first, then calendar."""
     orders = pr.table(spark, sf_dir, "orders")
-    exceptions = orders.filter("o_orderkey % 50 = 0").selectExpr("'f' AS feed_id", "o_orderstatus AS service_id", "date_format(o_orderdate, 'yyyyMMdd') AS date", "CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END AS exception_type")
-    exceptions = exceptions.groupBy("feed_id", "service_id", "date").agg(F.max("exception_type").alias("exception_type"))
-    days = orders.selectExpr("date_format(o_orderdate, 'yyyyMMdd') AS day").filter("day like '199606%'").distinct()
+    exceptions = orders.groupBy(F.expr("'f'").alias("feed_id"), F.col("o_orderstatus").alias("service_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"))
+    exceptions = exceptions.agg(F.expr("CASE sum(o_custkey) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END").alias("exception_type"))
+    days = orders.select(F.date_format("o_orderdate", "yyyyMMdd").alias("day")).distinct()
     return timetable.services_on(calendar(spark), exceptions, days).select("day", "service_id", "runs")
 
 
@@ -548,8 +548,8 @@ BUDGET = 900
 
 def arcs(spark, sf_dir) -> DataFrame:
     cost = F.ceil(roads.edge_seconds(MODES["walk"])).cast("double")
-    two_way = roads.both_ways(road_edges(spark, sf_dir).select("a", "b", "k", "length", "highway", "attrs", "walk", "bike", "car", "oneway", "lev_diff", "width_code", "vtcl_slope", "roof", "to_tags"))
-    return two_way.select("a", "b", cost.alias("cost"), "length", "highway", "attrs")
+    two_way = roads.both_ways(road_edges(spark, sf_dir).select("a", "b", "k", "length", "highway", "packed", "attrs", "walk", "bike", "car", "oneway", "lev_diff", "width_code", "vtcl_slope", "roof", "to_tags"))
+    return two_way.select("a", "b", cost.alias("cost"), "length", "highway", "packed", "attrs")
 
 
 ARCS = f"costed AS (SELECT a, b, ceil({cost_sql(MODES['walk'])}) AS cost FROM edges), arcs AS (SELECT a, b, min(cost) AS cost FROM (SELECT a, b, cost FROM costed UNION ALL SELECT b, a, cost FROM costed) WHERE cost IS NOT NULL GROUP BY ALL)"
@@ -594,13 +594,13 @@ def isochrone_area(spark, sf_dir):
     return cells.agg(F.count("*").alias("cells"), F.round(F.count("*") * F.lit((CELL_M / 1000) ** 2), 4).alias("area_km2"), F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
 
 
-#: Cells of two coarse grids over the points, as two overlapping reaches with holes.
-TWO = "two AS (SELECT DISTINCT 'm' || CAST(point_id % 2 AS STRING) AS mode, CAST(floor((lat - 35.8::DOUBLE) / 0.004::DOUBLE) AS BIGINT) AS y, CAST(floor((lon - 139.85::DOUBLE) / 0.004::DOUBLE) AS BIGINT) AS x FROM points WHERE point_id % 3 = 0)"
+#: Cells of all points in two modes, as two overlapping reaches with holes.
+TWO = "two AS (SELECT DISTINCT 'm' || CAST(point_id % 2 AS STRING) AS mode, CAST(floor((lat - 35.8::DOUBLE) / 0.002::DOUBLE) AS BIGINT) AS y, CAST(floor((lon - 139.85::DOUBLE) / 0.002::DOUBLE) AS BIGINT) AS x FROM points)"
 
 
 def two_reaches(spark, sf_dir) -> DataFrame:
-    cell = lambda c, low: F.floor((F.col(c) - low) / 0.004).cast("long")
-    return pr.points(spark, sf_dir).filter("point_id % 3 = 0").select(F.expr("'m' || CAST(point_id % 2 AS STRING)").alias("mode"), cell("lat", 35.8).alias("y"), cell("lon", 139.85).alias("x")).distinct()
+    cell = lambda c, low: F.floor((F.col(c) - low) / 0.002).cast("long")
+    return pr.points(spark, sf_dir).select(F.expr("'m' || CAST(point_id % 2 AS STRING)").alias("mode"), cell("lat", 35.8).alias("y"), cell("lon", 139.85).alias("x")).distinct()
 
 
 FLOOD = (
@@ -617,37 +617,46 @@ def flood_fill(spark, sf_dir):
     return roads.filled(two_reaches(spark, sf_dir))
 
 
-@query(pr.with_ctes("points", "SELECT modes, count(*) AS cells, round(count(*) * 0.16::DOUBLE, 4) AS area_km2 FROM (SELECT y, x, string_agg(DISTINCT mode, '+' ORDER BY mode) AS modes FROM two GROUP BY ALL) GROUP BY 1", TWO))
+@query(pr.with_ctes("points", "SELECT modes, count(*) AS cells, round(count(*) * 0.04::DOUBLE, 4) AS area_km2 FROM (SELECT y, x, string_agg(DISTINCT mode, '+' ORDER BY mode) AS modes FROM two GROUP BY ALL) GROUP BY 1", TWO))
 def overlap_zones(spark, sf_dir):
-    zones = roads.overlap_zones(two_reaches(spark, sf_dir), 400)
+    zones = roads.overlap_zones(two_reaches(spark, sf_dir), 200)
     return zones.select("modes", "cells", F.round("area_km2", 4).alias("area_km2"))
 
 
 @query(
     pr.with_ctes(
         "points spots",
-        "SELECT id, string_agg(DISTINCT mode, '+' ORDER BY mode) AS reach FROM (SELECT id, mode FROM (SELECT id, CAST(floor(lat / 0.004::DOUBLE) AS BIGINT) AS y, CAST(floor(lon / 0.004::DOUBLE) AS BIGINT) AS x FROM spots) s JOIN abs_two t ON abs(s.y - t.y) <= 1 AND abs(s.x - t.x) <= 1) GROUP BY 1",
-        "abs_two AS (SELECT DISTINCT 'm' || CAST(point_id % 2 AS STRING) AS mode, CAST(floor(lat / 0.004::DOUBLE) AS BIGINT) AS y, CAST(floor(lon / 0.004::DOUBLE) AS BIGINT) AS x FROM points WHERE point_id % 101 = 0)",
+        "SELECT id, string_agg(DISTINCT mode, '+' ORDER BY mode) AS reach FROM (SELECT id, mode FROM (SELECT id, CAST(floor(lat / 0.0005::DOUBLE) AS BIGINT) AS y, CAST(floor(lon / 0.0005::DOUBLE) AS BIGINT) AS x FROM spots) s JOIN abs_two t ON abs(s.y - t.y) <= 1 AND abs(s.x - t.x) <= 1) GROUP BY 1",
+        "abs_two AS (SELECT DISTINCT 'm' || CAST(point_id % 2 AS STRING) AS mode, CAST(floor(lat / 0.0005::DOUBLE) AS BIGINT) AS y, CAST(floor(lon / 0.0005::DOUBLE) AS BIGINT) AS x FROM points)",
     )
 )
 def reach_contains(spark, sf_dir):
     """Destinations in or next to a cell of a reach, with the modes that reach them."""
-    cell = lambda c: F.floor(F.col(c) / 0.004).cast("long")
-    starts = pr.points(spark, sf_dir).filter("point_id % 101 = 0")
-    reach = starts.select(F.expr("'m' || CAST(point_id % 2 AS STRING)").alias("mode"), cell("lat").alias("y"), cell("lon").alias("x"), F.lit(0.004).alias("cell_lat"), F.lit(0.004).alias("cell_lon")).distinct()
+    cell = lambda c: F.floor(F.col(c) / 0.0005).cast("long")
+    starts = pr.points(spark, sf_dir)
+    reach = starts.select(F.expr("'m' || CAST(point_id % 2 AS STRING)").alias("mode"), cell("lat").alias("y"), cell("lon").alias("x"), F.lit(0.0005).alias("cell_lat"), F.lit(0.0005).alias("cell_lon")).distinct()
     return spots.reachable(pr.spots(spark, sf_dir), reach).select("id", F.array_join("reach", "+").alias("reach"))
 
 
-@query()
+WAYS = (
+    f"ways AS (SELECT a, b, min(struct_pack(cost := cost, length := length, highway := highway, packed := packed)) AS w FROM (SELECT a, b, cost, length, highway, packed FROM (SELECT *, ceil({cost_sql(MODES['walk'])}) AS cost FROM edges) "
+    f"UNION ALL SELECT b, a, cost, length, highway, packed FROM (SELECT *, ceil({cost_sql(MODES['walk'])}) AS cost FROM edges)) WHERE cost IS NOT NULL GROUP BY 1, 2), "
+    "preds AS (SELECT s.node, min(c.a) AS pred FROM sssp s JOIN arcs c ON c.b = s.node JOIN sssp p ON p.node = c.a WHERE p.cost + c.cost = s.cost AND s.cost > 0 GROUP BY 1), "
+    "legs AS (SELECT node, pred, w.length AS metres, w.cost AS seconds, CASE WHEN w.highway = 'steps' THEN 1.0 ELSE 0.0 END::DOUBLE AS steps, CASE WHEN w.highway = 'elevator' THEN 1.0 ELSE 0.0 END::DOUBLE AS elevators, "
+    "CASE WHEN contains(w.packed, 'covered=yes') THEN w.length ELSE 0 END AS covered_m, CASE WHEN w.highway = 'footway' AND contains(w.packed, 'bicycle=yes') THEN w.length ELSE 0 END AS bike_sidewalk_m FROM preds JOIN ways ON a = pred AND b = node), "
+    "along(node, hops, metres, seconds, steps, elevators, covered_m, bike_sidewalk_m) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE "
+    "UNION ALL SELECT l.node, w.hops + 1, w.metres + l.metres, w.seconds + l.seconds, w.steps + l.steps, w.elevators + l.elevators, w.covered_m + l.covered_m, w.bike_sidewalk_m + l.bike_sidewalk_m FROM along w JOIN legs l ON l.pred = w.node)"
+)
+
+
+@query(sssp_sql("SELECT node, hops, round(metres, 3) AS metres, round(seconds, 3) AS seconds, steps, elevators, round(covered_m, 3) AS covered_m, round(bike_sidewalk_m, 3) AS bike_sidewalk_m FROM along", WAYS))
 def path_summary(spark, sf_dir):
-    """Length, steps, elevators and covered metres of the way to each reached node."""
+    """Length, seconds, steps, elevators and covered metres of the way to each reached node."""
     known = _known(spark, sf_dir)
-    hops = roads.path_nodes(known, known.select("node"), cut=cut)
-    back = known.select(F.col("node"), F.col("pred"))
-    legs = hops.join(back, "node").filter("pred is not null").select("target", F.col("pred").alias("a"), F.col("node").alias("b"))
-    way = arcs(spark, sf_dir).filter("cost is not null").groupBy("a", "b").agg(F.min(F.struct("cost", "length", "highway", F.to_json("attrs").alias("j"))).alias("w"))
-    joined = legs.join(way, ["a", "b"]).select("target", F.col("w.length").alias("length"), F.col("w.cost").alias("seconds"), F.col("w.highway").alias("highway"), F.from_json("w.j", "map<string,string>").alias("attrs"))
-    return roads.path_summary(joined)
+    way = arcs(spark, sf_dir).filter("cost is not null").groupBy("a", "b").agg(F.min(F.struct("cost", "length", "highway", "packed")).alias("w"))
+    legs = known.filter("pred is not null").join(way, (F.col("pred") == F.col("a")) & (F.col("node") == F.col("b"))).select("node", "w.cost", "w.length", "w.highway", names.packed_map(F.col("w.packed")).alias("attrs"))
+    sums = roads.path_sums(known, legs.select("node", *roads.leg_measures()), list(roads.PATH_SUMS), cut=cut)
+    return sums.select("node", "hops", *[F.round(c, 3).alias(c) for c in roads.PATH_SUMS])
 
 
 MIDS = "mids AS (SELECT point_id AS ord, lat, lon, CAST(1 + point_id % 5 AS STRING) AS lev_diff FROM points), mid_edges AS (SELECT DISTINCT a, b, (n.lat + m.lat) / 2 AS lat, (n.lon + m.lon) / 2 AS lon FROM edges JOIN nodes n ON a = n.node JOIN nodes m ON b = m.node WHERE walk = 1 AND car = 0)"

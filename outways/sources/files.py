@@ -24,10 +24,11 @@ def decoded(content: Column, encodings: tuple[str, ...] = ("UTF-8", "windows-31j
 
 def csv_bytes(spark: SparkSession, path: str, schema: str, encodings: tuple[str, ...] = ("UTF-8",)) -> DataFrame:
     """Rows of small CSV files of unknown encoding, with the file's name: decoded whole, one file a row,
-    then parsed by Spark's CSV reader. Files must fit a row."""
+    then parsed by Spark's CSV reader. A line break inside quotes doesn't end a row. Files must fit a row."""
     text = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content"), encodings).alias("text"))
-    lines = text.select("path", F.posexplode(F.split(F.col("text"), "\r?\n")).alias("ord", "line")).filter("ord > 0 and trim(line) <> ''")
-    return lines.select("path", "ord", F.from_csv("line", schema, {"mode": "PERMISSIVE"}).alias("r")).select("path", "ord", "r.*")
+    record = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?+)++'
+    lines = text.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(record), F.lit(0))).alias("ord", "line")).filter("ord > 0 and trim(line) <> ''")
+    return lines.select("path", "ord", F.from_csv("line", schema, {"mode": "PERMISSIVE", "escape": "\""}).alias("r")).select("path", "ord", "r.*")
 
 
 def geojson_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:

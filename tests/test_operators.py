@@ -49,12 +49,12 @@ def test_park_size_prefers_text_then_polygon_then_name(spark):
     square = [(139.9, 35.85), (139.902, 35.85), (139.902, 35.852), (139.9, 35.852)]
     polygons = spark.createDataFrame([(1, "a", square, 500.0, 35.851, 139.901), (2, "d", [(140.0, 36.0), (140.001, 36.0), (140.0, 36.001)], 70.0, 35.9, 139.95)], "poly int, pkey string, ring array<struct<lon double, lat double>>, area double, plat double, plon double")
     parks = spark.createDataFrame(
-        [(1, "a", 35.851, 139.901, "面積 1.5ヘクタール"), (2, "b", 35.8511, 139.9011, None), (3, "d", 35.9001, 139.9501, ""), (4, "e", 30.0, 130.0, "")],
+        [(1, "a", 35.851, 139.901, "約1.5ヘクタール"), (5, "a", 35.8512, 139.9012, "about 9 ヘクタール"), (2, "b", 35.8511, 139.9011, None), (3, "d", 35.9001, 139.9501, ""), (4, "e", 30.0, 130.0, "")],
         "id int, key string, lat double, lon double, page_text string",
     )
     got = {r["id"]: (r["area_m2"], r["how"]) for r in spots.park_sizes(parks, polygons).collect()}
-    # The polygon around 1 and 2 is shared by parks of two names, so it sizes neither.
-    assert got == {1: (15000.0, "text"), 2: (None, None), 3: (70.0, "name"), 4: (None, None)}
+    # Several parks lie in the polygon around 1, 2 and 5: it sizes those of its name.
+    assert got == {1: (15000.0, "text"), 5: (500.0, "polygon"), 2: (None, None), 3: (70.0, "name"), 4: (None, None)}
 
 
 def test_details_overlay(spark):
@@ -239,4 +239,9 @@ def test_forecast_and_advice(spark):
     body = '[{"timeSeries":[{"areas":[{"weathers":["雨"]}]},{"areas":[{"pops":["10","60"]}]},{"areas":[{"temps":["x","31","35"]}]}]}]'
     fc = spark.range(1).select(feeds.forecast(F.lit(body)).alias("f"))
     row = fc.select("f", feeds.advice(F.lit(False), F.col("f.weather"), F.col("f.pops"), F.col("f.temp_max")).alias("a"), feeds.advice(F.lit(True), F.col("f.weather"), F.col("f.pops"), F.col("f.temp_max")).alias("b")).collect()[0]
-    assert row["f"]["temp_max"] == 35 and row["a"] == ["rain", "heat"] and row["b"] == ["indoors"]
+    assert row["f"]["temp_max"] == 35
+    assert [n["level"] for n in row["a"]] == ["warn", "warn"] and row["a"][0]["text"].startswith("今日の天気は「雨」です") and row["a"][1]["text"].startswith("最高気温35℃の猛暑日")
+    assert [(n["level"], n["text"]) for n in row["b"]] == [("info", "屋内なので、雨の日でも過ごせます")]
+    told = lambda *a: spark.range(1).select(feeds.advice(*[F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)).cast("array<string>") for x in a]).alias("a")).first()["a"]
+    assert [n["level"] for n in told(False, "晴れ", ["10", "x", "50"], 31)] == ["warn", "info"] and "降水確率が50%" in told(False, "晴れ", ["50"], 3)[0]["text"]
+    assert told(False, "晴れ", ["40"], 30) == [] and told(None, "晴れ", ["90"], 40) == [] and told(False, "くもり", [], 2) == []
