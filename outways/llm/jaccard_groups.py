@@ -297,7 +297,9 @@ def surviving(opened: DataFrame, groups: DataFrame, nodes: DataFrame, percent: i
         return words[..., :half] ^ words[..., half:]
 
     def compare(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        # Plain arrays, one each a query with hits: many small frames would hold far more memory.
+        hits: list[np.ndarray] = []
+        asked: list[tuple[int, int, int]] = []
         if len(own) and len(queries):
             widths = own["bits"].map(len).to_numpy()
             sizes, ids, comps = (own[c].to_numpy() for c in ("n", "node", "comp"))
@@ -315,10 +317,15 @@ def surviving(opened: DataFrame, groups: DataFrame, nodes: DataFrame, percent: i
                     fine = ((100 + percent) * apart <= (100 - percent) * (sizes[rows] + n)) & (ids[rows] < query) & (comps[rows] != query_comp)
                     fine &= 100 * np.minimum(sizes[rows], n) >= percent * np.maximum(sizes[rows], n)
                     if fine.any():
-                        hit = rows[fine]
-                        found.append(pd.DataFrame({"query": query, "query_comp": query_comp, "grp": own["grp"].iloc[0], "chunk": own["chunk"].iloc[0], "node": ids[hit], "comp": comps[hit]}))
-        columns = ["query", "query_comp", "grp", "chunk", "node", "comp"]
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="i8") for c in columns})
+                        hits.append(rows[fine])
+                        asked.append((query, query_comp, len(hits[-1])))
+        if not hits:
+            return pd.DataFrame({c: pd.Series(dtype="i8") for c in ("query", "query_comp", "grp", "chunk", "node", "comp")})
+        hit, of = np.concatenate(hits), np.array(asked, "i8")
+        times = of[:, 2]
+        return pd.DataFrame(
+            {"query": np.repeat(of[:, 0], times), "query_comp": np.repeat(of[:, 1], times), "grp": own["grp"].iloc[0], "chunk": own["chunk"].iloc[0], "node": ids[hit], "comp": comps[hit]}
+        )
 
     left, right = in_parts(opened, held, queries)
     return left.cogroup(right).applyInPandas(compare, "query long, query_comp long, grp long, chunk int, node long, comp long")
