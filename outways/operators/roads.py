@@ -76,37 +76,39 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back)
 
 
-def shortest(arcs: DataFrame, sources: DataFrame, budget: float | None = None, max_rounds: int = 10_000, cut=None) -> DataFrame:
-    """(node, cost, pred): cheapest cost from any source (node, cost) up to ``budget``.
-
-    arcs: (a, b, cost), costs not negative or null (closed). Each round relaxes the frontier's arcs
-    with one join and one min aggregate, joins what improved into the costs, and cuts the lineage;
-    it ends when nothing improves, and fails where ``max_rounds`` aren't enough. Of several cheapest
-    ways the predecessor with the smallest id is named.
+def shortest(arcs: DataFrame, sources: DataFrame, budget: float | None = None, max_rounds: int = 10_000, cut=None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, node, cost, pred): cheapest cost from any source (*by, node, cost) up to ``budget``.
+
+    arcs: (a, b, cost), costs not negative or null (closed). ``by``: columns of the sources that keep
+    searches apart; all run in the same rounds. Each round relaxes the frontier's arcs with one join
+    and one min aggregate, joins what improved into the costs, and cuts the lineage; it ends when
+    nothing improves, and fails where ``max_rounds`` aren't enough. Of several cheapest ways the
+    predecessor with the smallest id is named.
     """
     cut = cut or (lambda df: df.checkpoint())
     limit = F.lit(float("inf") if budget is None else float(budget))
     node_type = arcs.schema["a"].dataType
-    first = sources.groupBy("node").agg(F.min(F.col("cost").cast("double")).alias("cost")).filter(F.col("cost") <= limit)
-    known = cut(first.select("node", "cost", F.lit(None).cast(node_type).alias("pred"), F.lit(True).alias("new")))
+    keys = [*by, "node"]
+    first = sources.groupBy(*keys).agg(F.min(F.col("cost").cast("double")).alias("cost")).filter(F.col("cost") <= limit)
+    known = cut(first.select(*keys, "cost", F.lit(None).cast(node_type).alias("pred"), F.lit(True).alias("new")))
     # Every round reads the arcs: cut once, they aren't derived again each time.
     arcs = cut(arcs.filter("cost is not null").groupBy("a", "b").agg(F.min(F.col("cost").cast("double")).alias("step")))
     for _ in range(max_rounds):
-        frontier = known.filter("new").select(F.col("node").alias("a"), "cost")
-        offered = frontier.join(arcs, "a").select(F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("a").alias("pred")).filter(F.col("cost") <= limit)
-        offered = offered.groupBy("node").agg(F.min(F.struct("cost", "pred")).alias("o"))
-        met = known.join(offered, "node", "full")
+        frontier = known.filter("new").select(*by, F.col("node").alias("a"), "cost")
+        offered = frontier.join(arcs, "a").select(*by, F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("a").alias("pred")).filter(F.col("cost") <= limit)
+        offered = offered.groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"))
+        met = known.join(offered, keys, "full")
         better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
-        known = cut(met.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("new")))
+        known = cut(met.select(*keys, F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("new")))
         if not known.filter("new").limit(1).count():
             break
     else:
         raise RuntimeError(f"costs still fall after {max_rounds} rounds")
-    costs = known.select("node", "cost")
-    through = costs.select(F.col("node").alias("a"), F.col("cost").alias("before")).join(arcs, "a").join(costs.withColumnRenamed("node", "b"), "b").filter(F.col("before") + F.col("step") == F.col("cost"))
-    # The first predecessor found of a start that nothing improved stays none.
-    preds = through.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
-    return known.join(preds, "node", "left").select("node", "cost", F.when(F.col("pred").isNotNull(), F.coalesce("first", "pred")).alias("pred"))
+    costs = known.select(*keys, "cost")
+    through = costs.select(*by, F.col("node").alias("a"), F.col("cost").alias("before")).join(arcs, "a").join(costs.withColumnRenamed("node", "b"), [*by, "b"]).filter(F.col("before") + F.col("step") == F.col("cost"))
+    # A start that nothing improved has no predecessor.
+    preds = through.groupBy(*by, F.col("b").alias("node")).agg(F.min("a").alias("first"))
+    return known.join(preds, keys, "left").select(*keys, "cost", F.when(F.col("pred").isNotNull(), F.coalesce("first", "pred")).alias("pred"))
 
 
 def snapped_nodes(points: DataFrame, nodes: DataFrame, metres: float, key: str, k: int = 1) -> DataFrame:
@@ -116,6 +118,12 @@ def snapped_nodes(points: DataFrame, nodes: DataFrame, metres: float, key: str,
     return nearest(points, nodes.select("node", "lat", "lon"), metres, key, "node", k)
 
 
+def usable_nodes(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The nodes (node, lat, lon) that an open arc (a, b, cost) touches."""
+    touched = arcs.filter("cost is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(touched, "node", "left_semi")
+
+
 def path_nodes(known: DataFrame, targets: DataFrame, max_hops: int = 100_000, cut=None) -> DataFrame:
     """(target, hop, node): the nodes of the path to each target, from the target back.
 
@@ -132,36 +140,37 @@ def path_nodes(known: DataFrame, targets: DataFrame, max_hops: int = 100_000, cu
             break
         parts.append(at)
         if len(parts) == 64:
-            parts = [cut(_union(parts))]
+            parts = [cut(union_all(parts))]
     else:
         raise RuntimeError(f"a path has over {max_hops} hops")
-    return _union(parts)
+    return union_all(parts)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
     return out
 
 
-def path_sums(known: DataFrame, legs: DataFrame, sums: list[str], max_doublings: int = 60, cut=None) -> DataFrame:
-    """(node, hops, *sums): the sums of each node's way from its source.
+def path_sums(known: DataFrame, legs: DataFrame, sums: list[str], max_doublings: int = 60, cut=None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, node, hops, *sums): the sums of each node's way from its source.
 
-    known: (node, pred); legs: (node, *sums) of the leg from pred to node. Sums travel up the tree of
+    known: (*by, node, pred); legs: (*by, node, *sums) of the leg from pred to node. Sums travel up the tree of
     predecessors by doubling: after k rounds a node knows its last 2**k legs and the node before
     them, so long paths take few rounds and no path is written out.
     """
     cut = cut or (lambda df: df.checkpoint())
-    legs = legs.select("node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums])
-    at = known.select("node", F.col("pred").alias("up"), F.col("pred").isNotNull().cast("long").alias("hops")).join(legs, "node", "left")
-    at = cut(at.select("node", "up", "hops", *[F.when(F.col("up").isNotNull(), F.col(c)).otherwise(0.0).alias(c) for c in sums]))
+    keys = [*by, "node"]
+    legs = legs.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums])
+    at = known.select(*keys, F.col("pred").alias("up"), F.col("pred").isNotNull().cast("long").alias("hops")).join(legs, keys, "left")
+    at = cut(at.select(*keys, "up", "hops", *[F.when(F.col("up").isNotNull(), F.col(c)).otherwise(0.0).alias(c) for c in sums]))
     for _ in range(max_doublings):
         if not at.filter("up is not null").limit(1).count():
             return at.drop("up")
-        above = at.select(F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"__{c}") for c in ("hops", *sums)])
-        met = at.join(above, "up", "left")
-        at = cut(met.select("node", F.col("further").alias("up"), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in ("hops", *sums)]))
+        above = at.select(*by, F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"__{c}") for c in ("hops", *sums)])
+        met = at.join(above, [*by, "up"], "left")
+        at = cut(met.select(*keys, F.col("further").alias("up"), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in ("hops", *sums)]))
     raise RuntimeError("the predecessors form a circle")
 
 
@@ -173,7 +182,7 @@ def leg_measures() -> list[Column]:
     attr = lambda key: F.try_element_at(F.col("attrs"), F.lit(key))
     one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     long_if = lambda c: F.when(F.coalesce(c, F.lit(False)), F.col("length")).otherwise(0.0)
-    covered = (F.coalesce(attr("covered"), F.lit("")) == "yes") | (F.coalesce(attr("tunnel"), F.lit("")) == "building_passage")
+    covered = (F.coalesce(attr("covered"), F.lit("")) == "yes") | (F.coalesce(attr("tunnel"), F.lit("")) != "")
     walked = (F.col("highway") == "footway") & attr("bicycle").isin("yes", "designated")
     measures = (F.col("length"), F.col("cost"), one(F.col("highway") == "steps"), one(F.col("highway") == "elevator"), long_if(covered), long_if(walked))
     return [m.alias(name) for m, name in zip(measures, PATH_SUMS, strict=True)]

@@ -70,10 +70,10 @@ def next_departures(labels: DataFrame, departing: DataFrame, window: int = BOARD
 
 
 def downstream(boarded: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Arrivals at later stops of the boarded trips: (from_place, place_id, arr, feed_id, trip_id, route_id, dep)."""
+    """Arrivals at later stops of the boarded trips: (from_place, from_t, place_id, arr, feed_id, trip_id, route_id, dep)."""
     later = stop_times.select("feed_id", "trip_id", F.col("idx").alias("to_idx"), F.col("place_id").alias("to_place"), F.col("arr").alias("to_arr"))
     met = boarded.join(later, ["feed_id", "trip_id"]).filter((F.col("to_idx") > F.col("idx")) & F.col("to_arr").isNotNull())
-    return met.select(F.col("place_id").alias("from_place"), F.col("to_place").alias("place_id"), F.col("to_arr").alias("arr"), "feed_id", "trip_id", "route_id", "dep")
+    return met.select(F.col("place_id").alias("from_place"), F.col("t").alias("from_t"), F.col("to_place").alias("place_id"), F.col("to_arr").alias("arr"), "feed_id", "trip_id", "route_id", "dep")
 
 
 def nearby_transfers(places: DataFrame, metres: float = TRANSFER_M, speed: float = 80.0) -> DataFrame:
