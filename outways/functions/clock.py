@@ -41,3 +41,9 @@ def rollover(times: Column) -> Column:
         return F.concat(done, F.array(F.when((F.size(done) > 0) & (t < last), t + short * day).otherwise(t).cast("long")))
 
     return F.aggregate(times, F.array().cast("array<long>"), step)
+
+
+def short_to_seconds(text: Column) -> Column:
+    """``HH:MM`` to seconds; null for other texts."""
+    parts = F.split(F.trim(text), ":")
+    return F.when(F.size(parts) >= 2, F.get(parts, 0).try_cast("int") * 3600 + F.get(parts, 1).try_cast("int") * 60)

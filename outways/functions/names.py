@@ -41,6 +41,21 @@ def spot_name_key(name: Column) -> Column:
     return _without(F.translate(F.translate(text, "ケ", "ヶ"), "・", ""), SPOT_WORDS)
 
 
+def park_name_key(name: Column) -> Column:
+    """Key of a park's name: brackets stay, its owner's name goes."""
+    from outways.functions.labels import PARK_WORDS
+
+    text = F.translate(F.translate(F.coalesce(name, F.lit("")), "　 ", ""), FULL_WIDTH, HALF_WIDTH)
+    return _without(F.translate(text, "ケ", "ヶ"), PARK_WORDS)
+
+
+def page_name_key(name: Column) -> Column:
+    """Key of a page's title: as of a place, small tsu as well, only the city's own name dropped."""
+    text = F.translate(F.translate(F.coalesce(name, F.lit("")), "　 ", ""), FULL_WIDTH, HALF_WIDTH)
+    text = F.regexp_replace(text, r"[（(].*?[）)]", "")
+    return F.trim(_without(F.translate(F.translate(text, "ケツ", "ヶッ"), "・", ""), ("流山市立", "流山市")))
+
+
 def packed_map(text: Column) -> Column:
     """``k=v;k=v`` to a map; parts without ``=`` are left out, the first of repeated keys stays."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: p.contains("="))

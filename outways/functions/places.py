@@ -32,10 +32,10 @@ PARK_BANDS = ((600, ("major", "normal", "unknown", "minor")), (1500, ("major", "
 
 
 def _first_keyword(text: Column, otherwise: Column) -> Column:
-    found = otherwise
-    for word, kind in reversed(NAME_KINDS):
-        found = F.when(text.contains(word), kind).otherwise(found)
-    return found
+    """The kind of the first keyword in the text. A filter over a constant list: as a chain of conditions it would
+    be written out at each use of the kind, past what compiles."""
+    rules = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(kind).alias("kind")) for word, kind in NAME_KINDS])
+    return F.coalesce(F.get(F.filter(rules, lambda r: text.contains(r["word"])), F.lit(0))["kind"], otherwise)
 
 
 def facility_kind(name: Column, poi: Column, given: Column) -> Column:

@@ -146,11 +146,13 @@ def obstacles(legs: DataFrame) -> DataFrame:
     the distance is to the mark that was kept.
     """
     label = F.create_map(*[F.lit(x) for item in STEP_LABELS.items() for x in item])
+    mark = lambda kind, text, source: F.struct(F.lit(kind).alias("kind"), (text if isinstance(text, Column) else F.lit(text)).alias("label"), F.lit(source).alias("source"))
+    step = F.try_element_at(label, F.col("lev_diff"))
     kinds = F.array(
-        F.when(F.col("highway") == "steps", F.struct(F.lit("steps").alias("kind"), F.lit("階段").alias("label"), F.lit("OpenStreetMap").alias("source"))),
-        F.when(F.try_element_at(label, F.col("lev_diff")).isNotNull(), F.struct(F.lit("step"), F.try_element_at(label, F.col("lev_diff")), F.lit("ほこナビ"))),
-        F.when(F.col("width_code") == "1", F.struct(F.lit("narrow"), F.lit("幅 1m 未満（ベビーカーですれ違えない）"), F.lit("ほこナビ"))),
-        F.when(F.col("vtcl_slope").isin("5", "6", "7", "8"), F.struct(F.lit("steep"), F.lit("8% を超える坂"), F.lit("ほこナビ"))),
+        F.when(F.col("highway") == "steps", mark("steps", "階段", "OpenStreetMap")),
+        F.when(step.isNotNull(), mark("step", step, "ほこナビ")),
+        F.when(F.col("width_code") == "1", mark("narrow", "幅 1m 未満（ベビーカーですれ違えない）", "ほこナビ")),
+        F.when(F.col("vtcl_slope").isin("5", "6", "7", "8"), mark("steep", "8% を超える坂", "ほこナビ")),
     )
     each = legs.select("pair", "i", "lat", "lon", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("pair", "i", "lat", "lon", "k.kind", "k.label", "k.source")
     marks = each.groupBy("pair", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon", "label", "source"))).alias("marks"))
