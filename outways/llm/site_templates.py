@@ -327,10 +327,6 @@ def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     return found.groupBy("host", "hash", "around").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
 
 
-def _seeds(hosts: pd.Series) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(h) for h in hosts]
-
-
 def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text, n_chars, templates_removed (subtrees deleted by their counts, outermost
     ones) for each page."""
@@ -351,24 +347,23 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, broadcast: int =
     rows = _rows(pages)
     if recurring.count() <= broadcast:
         # Checked: at most ``broadcast`` numbers, one for each template of a host.
-        held = recurring.toPandas()
-        known = np.sort(np.array(_seeds(held["host"]), "u8") ^ held["hash"].to_numpy("i8").view("u8"))
-        known = spark.sparkContext.broadcast(known)
+        keys = recurring.select(F.col("hash").bitwiseXOR(F.xxhash64("host")).alias("key")).toPandas()["key"]
+        known = spark.sparkContext.broadcast(np.sort(keys.to_numpy("i8").view("u8")))
 
         def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table = known.value
             for batch in batches:
                 found = []
-                for seed, source in zip(_seeds(batch["host"]), batch["html"], strict=True):
+                for seed, source in zip(batch["seed"].to_numpy("i8").view("u8"), batch["html"], strict=True):
                     page = Page(source)
                     mine = subtree_hashes(page)
-                    keys = np.array([x for _, x, _ in mine], "u8") ^ np.uint64(seed)
+                    keys = np.array([x for _, x, _ in mine], "u8") ^ seed
                     at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
                     hit = table[at] == keys if len(table) and len(keys) else np.zeros(len(keys), bool)
                     found.append(read(page, {mine[i][0] for i in np.flatnonzero(hit)}))
                 yield batch[["page_id", "url"]].assign(text=[t for t, _ in found], templates_removed=[n for _, n in found])
 
-        out = rows.select("page_id", "url", "html", "host").mapInPandas(texts, schema)
+        out = rows.select("page_id", "url", "html", F.xxhash64("host").alias("seed")).mapInPandas(texts, schema)
     else:
         # Too many: each page's deletions go to it by a join.
         doomed = subtrees(pages).join(recurring, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("element").alias("doomed"))
