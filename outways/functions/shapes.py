@@ -33,33 +33,48 @@ def _point(foot: Column) -> Column:
     return F.struct(foot["lon"].alias("lon"), foot["lat"].alias("lat"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value derived once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ride_slice(shape: Column, from_lat: Column, from_lon: Column, to_lat: Column, to_lon: Column, seconds: Column) -> Column:
     """The ridden part of a trip's shape; null where a stop lies too far from it, or the part is too long for
     the time. Of all pairs of segments in order that with the least sum of distances is taken."""
-    boards, alights = geo.snapped(shape, from_lat, from_lon), geo.snapped(shape, to_lat, to_lon)
     metres = lambda feet: F.transform(feet, lambda f: f["m"])
-    pair = geo.best_pair(metres(boards), metres(alights))
-    first, last = F.get(boards, pair["board"]), F.get(alights, pair["alight"])
-    part = without_repeats(between(shape, _point(first), pair["board"], _point(last), pair["alight"]))
-    near = F.greatest(first["m"], last["m"]) <= SHAPE_SNAP_M
-    slow = ~F.coalesce((seconds > 0) & (geo.line_length_m(part) / seconds > SHAPE_MAX_MPS), F.lit(False))
-    return F.when((F.size(shape) >= 2) & near & slow & (F.size(part) >= 2), part)
+
+    def ends(feet: Column) -> Column:
+        pair = geo.best_pair(metres(feet["b"]), metres(feet["a"]))
+        return bound(pair, lambda p: F.struct(p["board"].alias("i"), p["alight"].alias("j"), F.get(feet["b"], p["board"]).alias("first"), F.get(feet["a"], p["alight"]).alias("last")))
+
+    def told(e: Column) -> Column:
+        near = F.greatest(e["first"]["m"], e["last"]["m"]) <= SHAPE_SNAP_M
+        part = without_repeats(between(shape, _point(e["first"]), e["i"], _point(e["last"]), e["j"]))
+        slow = lambda p: ~F.coalesce((seconds > 0) & (geo.line_length_m(p) / seconds > SHAPE_MAX_MPS), F.lit(False))
+        return F.when(near, bound(part, lambda p: F.when((F.size(p) >= 2) & slow(p), p)))
+
+    feet = F.struct(geo.snapped(shape, from_lat, from_lon).alias("b"), geo.snapped(shape, to_lat, to_lon).alias("a"))
+    return F.when(F.size(shape) >= 2, bound(bound(feet, ends), told))
 
 
 def rail_slice(line: Column, from_lat: Column, from_lon: Column, to_lat: Column, to_lon: Column) -> Column:
     """(far, part): the part of a rail line between two stations, turned where it runs the other way, and the
     larger of the stations' distances to it; null where that is over ``RAIL_SNAP_M``. ``part`` is
     null where it is a detour."""
-    boards, alights = geo.snapped(line, from_lat, from_lon), geo.snapped(line, to_lat, to_lon)
     nearest = lambda feet: F.array_min(F.transform(feet, lambda f, i: F.struct(f["m"].alias("m"), i.alias("i"), f["lon"].alias("lon"), f["lat"].alias("lat"))))
-    a, b = nearest(boards), nearest(alights)
-    forth = between(line, _point(a), a["i"], _point(b), b["i"])
-    back = F.reverse(between(line, _point(b), b["i"], _point(a), a["i"]))
-    part = without_repeats(F.when(a["i"] <= b["i"], forth).otherwise(back))
     straight = geo.haversine(from_lat, from_lon, to_lat, to_lon)
-    detour = (straight > RAIL_LEAST_M) & (geo.line_length_m(part) > straight * RAIL_DETOUR)
-    far = F.greatest(a["m"], b["m"])
-    return F.when(far <= RAIL_SNAP_M, F.struct(far.alias("far"), F.when((F.size(part) >= 2) & ~detour, part).alias("part")))
+
+    def told(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        forth = between(line, _point(a), a["i"], _point(b), b["i"])
+        back = F.reverse(between(line, _point(b), b["i"], _point(a), a["i"]))
+        part = bound(F.when(a["i"] <= b["i"], forth).otherwise(back), without_repeats)
+        detour = lambda p: (straight > RAIL_LEAST_M) & (geo.line_length_m(p) > straight * RAIL_DETOUR)
+        kept = bound(part, lambda p: F.when((F.size(p) >= 2) & ~detour(p), p))
+        far = F.greatest(a["m"], b["m"])
+        return F.when(far <= RAIL_SNAP_M, F.struct(far.alias("far"), kept.alias("part")))
+
+    return bound(F.struct(nearest(geo.snapped(line, from_lat, from_lon)).alias("a"), nearest(geo.snapped(line, to_lat, to_lon)).alias("b")), told)
 
 
 def is_spike(prev: Column, here: Column, following: Column) -> Column:

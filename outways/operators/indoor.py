@@ -37,14 +37,17 @@ def rooted(stops: DataFrame, cut=None, max_rounds: int = 40) -> DataFrame:
     cut = cut or (lambda df: df.checkpoint())
     parents = stops.select("stop_id", F.nullif(F.col("parent_station"), F.lit("")).alias("up"))
     known = parents.select(F.col("stop_id").alias("up"), F.lit(True).alias("known"))
-    at = parents.join(known, "up", "left").select("stop_id", F.when(F.col("known"), F.col("up")).alias("up"))
-    at = cut(at.select("stop_id", F.coalesce("up", "stop_id").alias("root")))
+    parents = cut(parents.join(known, "up", "left").select("stop_id", F.when(F.col("known"), F.col("up")).alias("up")))
+    at = cut(parents.select("stop_id", F.coalesce("up", "stop_id").alias("root")))
     for _ in range(max_rounds):
         further = at.join(at.select(F.col("stop_id").alias("root"), F.col("root").alias("beyond")), "root")
         after = cut(further.select("stop_id", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved")))
         at = after.select("stop_id", "root")
         if not after.filter("moved").limit(1).count():
-            return stops.join(at, "stop_id")
+            break
+    # On a circle some root has a parent.
+    if not at.join(parents.filter("up is not null").select(F.col("stop_id").alias("root")), "root", "left_semi").limit(1).count():
+        return stops.join(at, "stop_id")
     raise RuntimeError("the parents of the stops form a circle")
 
 
