@@ -99,6 +99,25 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
+def _words_of(hex_text: Column) -> Column:
+    """The 32-bit words of a text of eight hexadecimal digits each."""
+    digits = lambda k: F.substr(hex_text, k * 8 + 1, F.lit(8))
+    return F.transform(F.sequence(F.lit(0), (F.length(hex_text) / 8).cast("int") - 1), lambda k: F.conv(digits(k), 16, 10).cast("long"))
+
+
+def changed(fingerprint: Column, paragraph: Column, times: int) -> Column:
+    """A stored fingerprint with a paragraph (a line, without its break) inserted ``times`` times, or deleted
+    where ``times`` is negative; the text itself isn't needed, and the place doesn't matter."""
+    part = lambda i: F.split_part(fingerprint, F.lit(":"), F.lit(i))
+    added = lambda old, own: F.zip_with(old, own, lambda a, b: (a + b * times).bitwiseAND(F.lit(MASK32)))
+    pieces = F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(1))
+    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
+    pair = lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR)))
+    own = unpacked(F.array(*[pair(i) for i in range(COUNTERS // 2)]))
+    number = F.conv(part(2), 16, 10).cast("long") + F.size(pieces) * times
+    return F.concat(counters_hex(added(_words_of(part(1)), _words_of(equality_lanes(F.array(paragraph))))), F.lit(":"), F.lower(F.hex(number)), F.lit(":"), counters_hex(added(_words_of(part(3)), own)))
+
+
 def _previous_blocks(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, block): the first document of each block of ids, and the block before it, the
     last one for the first. Two levels, so that no window holds more than one row in
