@@ -8,9 +8,10 @@ opened next, until the leaves opened hold ``share`` times as many entries as the
 by their exact distance.
 
 The trees are the only thing on the driver: ``trees * 2**depth`` hyperplanes, at most
-``2**MAX_DEPTH`` per tree. A leaf is worked on in chunks of bounded numbers of vectors and of
-queries, so a leaf that a common vector fills is no hot group; each chunk hands on the best
-``k`` of each query only.
+``2**MAX_DEPTH`` per tree. Vectors are dealt once, to chunks of bounded size with the numbers of their
+leaves; a query goes to each chunk with a bitmap of the leaves it opened, and meets there the
+vectors in these. Chunks are dealt by hash, so a leaf that a common vector fills is no hot group; each
+hands on the best ``k`` of each query only.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part. Repeated ids are one candidate, with their nearest vector. Ties go to the smaller
@@ -27,14 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outways.llm.store import written
 
 TREES = 8
 SAMPLE_ROWS = 16_384
 MAX_DEPTH = 11
 LEAF_ROWS = 512
 #: Entries opened, as a multiple of the vectors; the trees overlap, so 1.0 opens some 6 in 10 vectors.
-SHARE = 2.0
-CHUNK_ROWS, CHUNK_QUERIES = 4_096, 2_048
+SHARE = 1.0
+CHUNK_ROWS, CHUNK_QUERIES, BATCH_QUERIES = 16_384, 16_384, 64
 
 
 def hyperplanes(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +98,13 @@ def opened(query: np.ndarray, trees: list, depth: int, sizes: np.ndarray, budget
     return found
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest vectors of each query but its own, ties to the smaller id."""
+def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, met: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """The k nearest vectors of each query but its own, ties to the smaller id; of those that it ``met``
+    (queries by vectors), where given."""
     rough = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * queries @ vectors.T
     rough[query_ids[:, None] == ids[None]] = np.inf
+    if met is not None:
+        rough[~met] = np.inf
     # Rounding in the products can't push a true one out of the k nearest by so much.
     kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
     slack = 1e-9 * ((queries**2).sum(1) + (vectors**2).sum(1).max())
@@ -140,47 +145,51 @@ def searched(
     rng = np.random.default_rng(seed)
     forest = [hyperplanes(sample, depth, rng) for _ in range(trees)]
 
+    width = 2**depth
+
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 v = np.stack(batch["v"].to_numpy())
-                for t, (normals, offsets) in enumerate(forest):
-                    yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "tree": t, "leaf": leaf_of(v, normals, offsets, depth)})
+                held = np.stack([leaf_of(v, normals, offsets, depth) for normals, offsets in forest], axis=1)
+                yield batch.assign(leaves=list(held.astype("i4")))
 
-    placed = rows.mapInPandas(leaves, "vec_id long, v array<double>, tree int, leaf int")
-    sizes = np.zeros((trees, 2**depth), "i8")
-    for r in placed.groupBy("tree", "leaf").count().collect():  # trees * 2**depth rows at most
+    placed = written(rows.mapInPandas(leaves, "vec_id long, v array<double>, leaves array<int>"), "forest-leaves")
+    sizes = np.zeros((trees, width), "i8")
+    # trees * 2**depth rows at most.
+    for r in placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"], r["leaf"]] = r["count"]
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(i, v, t, leaf) for i, v in zip(batch["vec_id"], batch["v"], strict=True) for t, leaf in opened(np.asarray(v), forest, depth, sizes, share * total)]
-            yield pd.DataFrame(found, columns=["query_id", "q", "tree", "leaf"])
-
-    asking = asked.mapInPandas(visits, "query_id long, q array<double>, tree int, leaf int")
-    load = {(r["tree"], r["leaf"]): r["count"] for r in asking.groupBy("tree", "leaf").count().collect()}
-    plan = [(t, leaf, max(1, -(-int(sizes[t, leaf]) // CHUNK_ROWS)), -(-n // CHUNK_QUERIES)) for (t, leaf), n in load.items()]
-    parts = spark.createDataFrame(plan, "tree int, leaf int, row_chunks int, query_chunks int") if plan else None
-    if parts is None:
-        return spark.createDataFrame([], result)
-    # At most trees * 2**depth rows.
-    parts = F.broadcast(parts)
-    dealt = lambda df, own, other, key: df.join(parts, ["tree", "leaf"]).select(
-        *df.columns, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own[:-1]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])
-    )
-    left = dealt(placed, "row_chunks", "query_chunks", "vec_id")
-    right = dealt(asking, "query_chunks", "row_chunks", "query_id")
-    keys = ["tree", "leaf", "row_chunk", "query_chunk"]
+            maps = []
+            for v in batch["v"]:
+                bits = np.zeros(trees * width, bool)
+                bits[[t * width + leaf for t, leaf in opened(np.asarray(v), forest, depth, sizes, share * total)]] = True
+                maps.append(np.packbits(bits).tobytes())
+            yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "bits": maps})
+
+    asking = written(asked.mapInPandas(visits, "query_id long, q array<double>, bits binary"), "forest-queries")
+    chunks, blocks = -(-total // CHUNK_ROWS), max(1, -(-asking.count() // CHUNK_QUERIES))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = placed.select("vec_id", "v", "leaves", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"), every(blocks, "block"))
+    right = asking.select("query_id", "q", "bits", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(chunks, "chunk")).withColumn("chunk", F.col("chunk").cast("long"))
+    keys = ["chunk", "block"]
 
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": pd.Series(dtype="i8"), "vec_id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
-        v, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
-        q, query_ids = np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
         found = []
-        for at in range(0, len(q), 256):
-            found += nearest(q[at : at + 256], query_ids[at : at + 256], v, ids, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        if len(rows) and len(queries):
+            v, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+            held = np.stack(rows["leaves"].to_numpy()).astype("i8") + np.arange(trees) * width
+            q, query_ids = np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
+            bits = np.unpackbits(np.stack([np.frombuffer(b, "u1") for b in queries["bits"]]), axis=1)[:, : trees * width].astype(bool)
+            for at in range(0, len(q), BATCH_QUERIES):
+                part = slice(at, at + BATCH_QUERIES)
+                met = np.zeros((len(q[part]), len(v)), bool)
+                for t in range(trees):
+                    met |= bits[part][:, held[:, t]]
+                found += nearest(q[part], query_ids[part], v, ids, k, met)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
