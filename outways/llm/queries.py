@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, quality_rules, site_templates, toxic_grammar, warc_fixity
+from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, piece_spans, quality_rules, site_templates, toxic_grammar, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "templates_removed")
 
 
+def op11_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_spans.round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fixity": op1_merkle_fixity,
     "op2_multiset_hash": op2_multiset_hash,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ensemble": op8_rule_ensemble,
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_site_templates": op10_site_templates,
+    "op11_piece_spans": op11_piece_spans,
 }
 
 _RECORD = (
