@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Stretches remembered by a task.
-KNOWN = 800_000
+KNOWN = 400_000
 #: Bytes of text encoded before a batch of rows is handed on.
 BATCH_BYTES = 4_000_000
 #: Fixed values of the model format: fields of its messages and kinds of pieces.
@@ -268,9 +268,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype("i4")))
 
 
-def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
+def encoded(documents: DataFrame, model: str | None = None, decode: bool = False) -> DataFrame:
     """(doc_id, ids, starts, ends): the pieces of each whole text, and the bytes of the text's UTF-8 form
-    that each stands for. ``model`` is a path that all executors see; the public one if None."""
+    that each stands for; with ``decode`` also ``decoded``, the text that these ids decode to. ``model``
+    is a path that all executors see; the public one if None."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
@@ -280,13 +281,16 @@ def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
             cuts = np.flatnonzero(np.diff(sizes[:-1] // BATCH_BYTES, prepend=-1))
             for at, to in zip(cuts, [*cuts[1:], len(texts)], strict=True):
                 done = pieces.encoded([t or "" for t in texts[at:to].to_pylist()])
-                yield pa.record_batch([keys[at:to], *(_lists([d[k] for d in done]) for k in range(3))], names=["doc_id", "ids", "starts", "ends"])
+                out = [keys[at:to], *(_lists([d[k] for d in done]) for k in range(3))]
+                if decode:
+                    out.append(pa.array([pieces.decoded(ids.tolist()) for ids, _, _ in done], pa.string()))
+                yield pa.record_batch(out, names=["doc_id", "ids", "starts", "ends", "decoded"][: len(out)])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ENCODED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, DECODED if decode else ENCODED)
 
 
 def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
-    """The rows of ``encoded`` with the text that their ids decode to."""
+    """(doc_id, ids, decoded): the texts of stored ids."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
@@ -294,13 +298,13 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
             texts = [pieces.decoded(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []) for ids in batch.column("ids")]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    return rows.select("doc_id", "ids", "starts", "ends").mapInArrow(decode, DECODED)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(documents: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: digests of each text's ids and of what these
     decode to, and the bytes of the text that the pieces' spans cover."""
-    return decoded(encoded(documents, model), model).select(
+    return encoded(documents, model, decode=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -78,3 +78,9 @@ def test_query_on_odd_rows(spark):
         want.append((doc_id, len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids)), len((text or "").encode())))
     assert sorted(map(tuple, got)) == sorted(want)
     assert piece_spans.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stored_ids_decode(spark):
+    ids = library().encode("it is 漢 here")
+    rows = spark.createDataFrame([(1, ids), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in piece_spans.decoded(rows).orderBy("doc_id").collect()] == ["it is 漢 here", "", ""]
