@@ -254,7 +254,7 @@ def _searcher(n_docs: int, n_words: int, k: int):
         doc_ids, m = np.asarray(documents["doc_ids"], "i8"), norm(np.asarray(documents["lengths"], "i8"))
         items: dict[int, list] = {}
         for row in group[group["term"].notna()].itertuples():
-            postings = Postings(row.weight, row.df, row.lasts, row.widths, np.asarray(row.peaks), row.peak_tf, row.peak_n, row.body, norm)
+            postings = Postings(int(row.weight), row.df, row.lasts, row.widths, np.asarray(row.peaks), row.peak_tf, row.peak_n, row.body, norm)
             for asked in row.items:
                 items.setdefault(asked["item_id"], []).append((postings, asked["times"]))
         found = [(item, int(doc_ids[doc]), score) for item, lists in items.items() for score, doc in best(lists, m, k)]
@@ -294,7 +294,7 @@ def search(found_in: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     # One row per term of an item.
     weights = lists.groupBy("term").agg(F.sum("df").alias("all")).select("term", weigh("all").alias("weight")).filter("weight > 0")
     asking = lists.join(weights, "term").join(wanted, "term")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     documents = found_in.filter("term IS NULL").select("*", every)
     rows = asking.unionByName(documents, allowMissingColumns=True).drop("words")
     # Shards of which an item holds no term come alone and find nothing.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outways.llm import forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, piece_spans, quality_rules, site_templates, toxic_grammar, warc_fixity
+from outways.llm import block_max, forest_search, host_reputation, jaccard_groups, multiset_hash, packing, pfair_mix, piece_spans, quality_rules, site_templates, toxic_grammar, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_spans.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fixity": op1_merkle_fixity,
     "op2_multiset_hash": op2_multiset_hash,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_site_templates": op10_site_templates,
     "op11_piece_spans": op11_piece_spans,
+    "op12_block_max": op12_block_max,
 }
 
 _RECORD = (
@@ -124,5 +129,16 @@ SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{a}{b}'" f
   CASE {" ".join(f"WHEN {_fits(a, b)} THEN '{v}'" for a, b, v in _RULES)} WHEN low > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
   n AS n_labelled, bad AS n_bad, round(mean, 6) AS bad_rate, round(low, 6) AS bad_rate_bound FROM bounded"""
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12 = f"""WITH words AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+docs AS (SELECT d, doc_id, len(terms) AS n, terms FROM words WHERE len(terms) > 0),
+size AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), size),
+scored AS (SELECT item_id, doc_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN docs USING (d), size GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
 #: Where DuckDB can say the same thing.
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1, "op7_host_reputation": _OP7}
+ORACLES: dict[str, str] = {"op12_block_max": _OP12, "op1_merkle_fixity": _OP1, "op7_host_reputation": _OP7}
