@@ -56,7 +56,7 @@ class BoxTree:
                 order.extend(leaf)
         order = np.array(order, "i8")
         self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
-        self.starts, self.ends = np.array(starts), np.append(starts[1:], len(order))
+        self.starts, self.ends = np.array(starts, "i8"), np.array([*starts[1:], len(order)], "i8")
         lo, hi = np.minimum.reduceat(self.vectors, starts), np.maximum.reduceat(self.vectors, starts)
         low, high = np.minimum.reduceat(self.labels, starts), np.maximum.reduceat(self.labels, starts)
         boxes, self.children, base = [(lo, hi, low, high)], [None] * len(starts), 0
