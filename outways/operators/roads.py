@@ -76,41 +76,156 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back)
 
 
-def shortest(arcs: DataFrame, sources: DataFrame, budget: float | None = None, max_rounds: int = 10_000, cut=None, by: tuple[str, ...] = ()) -> DataFrame:
+#: Rows up to which a frontier, or the nodes it can offer, are broadcast; beyond it both sides are shuffled by key.
+SMALL_ROWS = 200_000
+#: Parts of the known costs that are kept side by side before they are merged into one.
+PARTS = 16
+
+
+def shortest(
+    arcs: DataFrame, sources: DataFrame, budget: float | None = None, max_rounds: int = 10_000, cut=None, by: tuple[str, ...] = (), delta: float | None = None,
+    keep: Column | None = None, carry: tuple[str, ...] = (),
+) -> DataFrame:
     """(*by, node, cost, pred): cheapest cost from any source (*by, node, cost) up to ``budget``.
 
     arcs: (a, b, cost), costs not negative or null (closed). ``by``: columns of the sources that keep
-    searches apart; all run in the same rounds. Each round relaxes the frontier's arcs with one join
-    and one min aggregate, joins what improved into the costs, and cuts the lineage; it ends when
-    nothing improves, and fails where ``max_rounds`` aren't enough. Of several cheapest ways the
-    predecessor with the smallest id is named.
+    searches apart; all run in the same rounds. Labels are set in buckets of ``delta`` seconds (all at once where it is
+    None): a round relaxes only what is new in the bucket, the rest of the frontier waits until no label of
+    an earlier bucket can change. Only the frontier and its offers move: what is known is appended to in
+    parts, looked up for the offered nodes alone, and merged when there are ``PARTS`` of them. The search
+    ends when nothing is left to relax, and fails where ``max_rounds`` aren't enough.
+
+    ``keep``: a condition on an offer (cost, the arc's other columns, and the columns ``carry`` that each source
+    hands on along its ways); offers that fail it are dropped, see ``goal_bounds``.
+
+    Of several cheapest ways the predecessor with the smallest id is named; over an arc of cost 0 that of the
+    round in which the cost was found, so that predecessors never form a circle.
     """
     cut = cut or (lambda df: df.checkpoint())
     limit = F.lit(float("inf") if budget is None else float(budget))
     node_type = arcs.schema["a"].dataType
-    keys = [*by, "node"]
-    first = sources.groupBy(*keys).agg(F.min(F.col("cost").cast("double")).alias("cost")).filter(F.col("cost") <= limit)
-    known = cut(first.select(*keys, "cost", F.lit(None).cast(node_type).alias("pred"), F.lit(True).alias("new")))
-    # Every round reads the arcs: cut once, they aren't derived again each time.
-    arcs = cut(arcs.filter("cost is not null").groupBy("a", "b").agg(F.min(F.col("cost").cast("double")).alias("step")))
+    keys, on = [*by, "node"], [c for c in arcs.columns if c not in ("a", "b", "cost")]
+    handed = [F.first(c).alias(c) for c in carry]
+    first = sources.groupBy(*keys).agg(F.min(F.col("cost").cast("double")).alias("cost"), *handed).filter(F.col("cost") <= limit)
+    frontier = cut(first.select(*keys, "cost", F.lit(None).cast(node_type).alias("pred"), *carry))
+    # Every round reads the arcs: dealt by their start and cut once, they aren't derived or moved again.
+    best_arc = F.min(F.struct(F.col("cost").cast("double").alias("step"), *on)).alias("w")
+    arcs = cut(arcs.filter("cost is not null").groupBy("a", "b").agg(best_arc).select("a", "b", "w.*").repartition("a"))
+    # No frontier of n rows can offer more than n times so many.
+    fan = arcs.groupBy("a").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts, waiting, n = [frontier], None, frontier.count()
+    upto = delta
     for _ in range(max_rounds):
-        frontier = known.filter("new").select(*by, F.col("node").alias("a"), "cost")
-        offered = frontier.join(arcs, "a").select(*by, F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("a").alias("pred")).filter(F.col("cost") <= limit)
-        offered = offered.groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"))
-        met = known.join(offered, keys, "full")
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
-        known = cut(met.select(*keys, F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("new")))
-        if not known.filter("new").limit(1).count():
+        if not n and waiting is not None:
+            # The bucket is settled; what waits and is still the best goes on with the next one.
+            left = waiting.join(_current(parts, keys), keys).filter(F.col("cost") == F.col("known")).drop("known").distinct()
+            lowest = left.agg(F.min("cost")).first()[0]
+            if lowest is None:
+                break
+            upto = (math.floor(lowest / delta) + 1) * delta
+            frontier, waiting = cut(left.filter(F.col("cost") < upto)), cut(left.filter(F.col("cost") >= upto))
+            n = frontier.count()
+        if not n:
             break
+        moving = frontier.select(*by, F.col("node").alias("a"), "cost", *carry)
+        met = arcs.join(F.broadcast(moving) if n <= SMALL_ROWS else moving, "a").withColumn("cost", F.col("cost") + F.col("step")).filter(F.col("cost") <= limit)
+        if keep is not None:
+            met = met.filter(keep)
+        offered = met.select(*by, F.col("b").alias("node"), "cost", F.col("a").alias("pred"), *carry).groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"), *handed)
+        offered = offered.select(*keys, "o.cost", "o.pred", *carry)
+        known = _current(parts, keys, offered if n * fan <= SMALL_ROWS else None)
+        better = cut(offered.join(known, keys, "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known"))
+        parts.append(better)
+        if len(parts) > PARTS:
+            parts = [cut(_merged(parts, keys, carry))]
+        if delta is None:
+            frontier = better
+        else:
+            frontier, later = better.filter(F.col("cost") < upto), better.filter(F.col("cost") >= upto)
+            waiting = later if waiting is None else waiting.union(later)
+        n = frontier.count()
     else:
         raise RuntimeError(f"costs still fall after {max_rounds} rounds")
+    known = cut(_merged(parts, keys, carry).select(*keys, "cost", "pred"))
     costs = known.select(*keys, "cost")
-    through = costs.select(*by, F.col("node").alias("a"), F.col("cost").alias("before")).join(arcs, "a").join(costs.withColumnRenamed("node", "b"), [*by, "b"]).filter(F.col("before") + F.col("step") == F.col("cost"))
+    through = costs.select(*by, F.col("node").alias("a"), F.col("cost").alias("before")).join(arcs.filter("step > 0"), "a").join(costs.withColumnRenamed("node", "b"), [*by, "b"]).filter(F.col("before") + F.col("step") == F.col("cost"))
     # A start that nothing improved has no predecessor.
     preds = through.groupBy(*by, F.col("b").alias("node")).agg(F.min("a").alias("first"))
     return known.join(preds, keys, "left").select(*keys, "cost", F.when(F.col("pred").isNotNull(), F.coalesce("first", "pred")).alias("pred"))
 
 
+def _current(parts: list[DataFrame], keys: list[str], of: DataFrame | None = None) -> DataFrame:
+    """(*keys, known): the least cost so far; of the keys of ``of`` alone, where it is small."""
+    rows = union_all([p.select(*keys, "cost") for p in parts])
+    if of is not None:
+        rows = rows.join(F.broadcast(of.select(*keys)), keys, "left_semi")
+    return rows.groupBy(*keys).agg(F.min("cost").alias("known"))
+
+
+def _merged(parts: list[DataFrame], keys: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """The best label of each key; a label found later is strictly better than those before."""
+    return union_all(parts).groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"), *[F.first(c).alias(c) for c in carry]).select(*keys, "o.cost", "o.pred", *carry)
+
+
+def landmarks(nodes: DataFrame, arcs: DataFrame, n: int = 4, cut=None) -> DataFrame:
+    """(node, there array, back array): seconds from each of ``n`` landmarks to the node and from the node to each,
+    null where there is no way. Landmarks are the outermost nodes: north, south, east and west, then their diagonals.
+
+    nodes: node, lat, lon; arcs: a, b, cost. Two searches over the graph, made once for all later ones.
+    """
+    cut = cut or (lambda df: df.checkpoint())
+    turns = [F.struct(x.alias("x"), F.col("node")) for x in (F.col("lat"), -F.col("lat"), F.col("lon"), -F.col("lon"), F.col("lat") + F.col("lon"), F.col("lat") - F.col("lon"), F.col("lon") - F.col("lat"), -F.col("lat") - F.col("lon"))]
+    picked = usable_nodes(nodes, arcs).agg(*[F.max(t)["node"].alias(f"n{i}") for i, t in enumerate(turns[:n])])
+    sources = picked.select(F.posexplode(F.array(*picked.columns)).alias("landmark", "node")).withColumn("cost", F.lit(0.0))
+    sources = cut(sources)
+    forth = shortest(arcs.select("a", "b", "cost"), sources, cut=cut, by=("landmark",))
+    turned = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")
+    back = shortest(turned, sources, cut=cut, by=("landmark",))
+
+    def row(found: DataFrame, name: str) -> DataFrame:
+        """One row a node: its costs by landmark, in order."""
+        costs = F.map_from_entries(F.collect_list(F.struct("landmark", "cost")))
+        of = found.groupBy("node").agg(costs.alias("m"))
+        return of.select("node", F.array(*[F.try_element_at("m", F.lit(i)) for i in range(n)]).alias(name))
+
+    return cut(row(forth, "there").join(row(back, "back"), "node", "full"))
+
+
+def goal_bounds(wanted: DataFrame, marks: DataFrame) -> DataFrame:
+    """(start, ahead array, behind array): how far a search from each start need go, landmark by landmark.
+
+    wanted: (pair, start, node, extra): the starts and end nodes of each pair, with the seconds from an end node on. A
+    way by a landmark is an upper bound of each pair's seconds, u; a label (n, cost) can only lie on a
+    pair's best way to e if cost + extra + d(n, e) <= u, and d(n, e) >= d(L, e) - d(L, n) as well as
+    d(n, L) - d(e, L). So ``ahead`` is the largest u - extra - d(L, e) of a start's ends and ``behind`` the largest
+    u - extra + d(e, L); null where a bound is missing, which then closes nothing.
+    """
+    at = marks.select("node", "there", "back")
+    both = wanted.join(at.select(F.col("node").alias("start"), F.col("back").alias("s_back")), "start", "left").join(at, "node", "left")
+    by_mark = F.array_min(F.zip_with("s_back", "there", lambda x, y: x + y))
+    upper = both.withColumn("u", by_mark + F.col("extra")).groupBy("pair").agg(F.min("u").alias("u"))
+    met = both.join(upper, "pair")
+    # A little slack for sums that round otherwise.
+    room = F.col("u") * (1 + 1e-9) + 1e-6 - F.col("extra")
+    ahead, behind = F.transform("there", lambda d: room - d), F.transform("back", lambda d: room + d)
+    n = F.greatest(F.size("there"), F.size("back"), F.lit(1))
+    rows = met.select("start", F.explode(F.sequence(F.lit(1), n)).alias("i"), ahead.alias("ahead"), behind.alias("behind"))
+    at_i = lambda c: F.try_element_at(F.col(c), F.col("i"))
+    # One missing bound leaves the whole start unbounded at that landmark.
+    most = lambda c: F.when(F.count("*") == F.count(at_i(c)), F.max(at_i(c))).alias(c)
+    each = rows.groupBy("start", "i").agg(most("ahead"), most("behind"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "ahead", "behind")))
+    return each.groupBy("start").agg(ordered.alias("o")).select("start", F.col("o.ahead").alias("ahead"), F.col("o.behind").alias("behind"))
+
+
+def within_bounds() -> Column:
+    """The condition on an offer over an arc whose end has ``there`` and ``back``, from a start with ``ahead`` and ``behind``."""
+    cost = F.col("cost")
+    open_ahead = F.forall(F.zip_with("ahead", "there", lambda room, d: F.coalesce(cost <= room + d, F.lit(True))), lambda x: x)
+    open_behind = F.forall(F.zip_with("behind", "back", lambda room, d: F.coalesce(cost <= room - d, F.lit(True))), lambda x: x)
+    return F.coalesce(open_ahead, F.lit(True)) & F.coalesce(open_behind, F.lit(True))
+
+
 def snapped_nodes(points: DataFrame, nodes: DataFrame, metres: float, key: str, k: int = 1) -> DataFrame:
     """(key, node, metres, rank) of the nearest nodes strictly within ``metres`` of each point."""
     from outways.operators.near import nearest

@@ -57,16 +57,32 @@ def indexed(stop_times: DataFrame) -> DataFrame:
     return stop_times.withColumn("idx", F.row_number().over(order) - 1).withColumn("arr", F.coalesce("arr", "dep"))
 
 
-def next_departures(labels: DataFrame, departing: DataFrame, window: int = BOARDING_WINDOW, stroller: bool = False) -> DataFrame:
+def lines(departing: DataFrame) -> DataFrame:
+    """(place_id, feed_id, route_id): which routes leave a place."""
+    return departing.select("place_id", "feed_id", "route_id").distinct()
+
+
+def next_departures(labels: DataFrame, departing: DataFrame, window: int = BOARDING_WINDOW, stroller: bool = False, of: DataFrame | None = None) -> DataFrame:
     """For each label (place_id, t) the first departure of each route from t on, within the window.
 
+    Labels, one row for each route of their place (``of``: ``lines``, where a caller has them), and departures
+    are sorted together by place, route and time; a label takes the last departure that a walk backwards in
+    time has met. So the rows met are labels by routes plus departures, never labels by departures.
+
     Trips without room for a stroller (wheelchair '2') are passed over for one; blank ones stay.
     """
     if stroller:
         departing = departing.filter(~F.coalesce(F.col("wheelchair"), F.lit("")).eqNullSafe("2"))
-    met = labels.join(departing, "place_id").filter((F.col("dep") >= F.col("t")) & (F.col("dep") <= F.col("t") + window))
-    first = F.min(F.struct("dep", "trip_id", "idx")).alias("first")
-    return met.groupBy("place_id", "t", "feed_id", "route_id").agg(first).select("place_id", "t", "feed_id", "route_id", "first.dep", "first.trip_id", "first.idx")
+    here = labels.select("place_id", "t").distinct()
+    line = ["place_id", "feed_id", "route_id"]
+    asked = here.join(lines(departing) if of is None else of, "place_id")
+    ride = F.struct("dep", "trip_id", "idx")
+    leaving = departing.join(here.select("place_id").distinct(), "place_id", "left_semi").select(*line, F.col("dep").cast("int").alias("at"), ride.alias("ride"))
+    events = leaving.unionByName(asked.select(*line, F.col("t").cast("int").alias("at")), allowMissingColumns=True)
+    # At one time departures come before the labels they serve, the smallest trip last.
+    back = Window.partitionBy(*line).orderBy(F.desc("at"), F.col("ride").isNull(), F.desc("ride")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("first", F.last("ride", ignorenulls=True).over(back)).filter(F.col("ride").isNull() & (F.col("first.dep") <= F.col("at") + window))
+    return met.select("place_id", F.col("at").alias("t"), "feed_id", "route_id", "first.dep", "first.trip_id", "first.idx")
 
 
 def downstream(boarded: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -101,10 +117,11 @@ def reachable_places(access: DataFrame, when: int, stop_times: DataFrame, depart
     cut = cut or (lambda df: df.checkpoint())
     limit = F.lit(when + budget if budget is not None else 2**31 - 1)
     departing, transfers, timed = cut(departing), cut(transfers), cut(indexed(stop_times))  # every round reads them
+    of = cut(lines(departing))
     best = cut(access.groupBy("place_id").agg((F.min("seconds") + when).cast("int").alias("t")).filter(F.col("t") <= limit).withColumn("round", F.lit(0)))
     for turn in range(1, rounds + 1):
         fresh = best.filter(F.col("round") == turn - 1).select("place_id", "t")
-        rides = downstream(next_departures(fresh, departing, stroller=stroller), timed).select("place_id", F.col("arr").alias("t"))
+        rides = downstream(next_departures(fresh, departing, stroller=stroller, of=of), timed).select("place_id", F.col("arr").alias("t"))
         walks = fresh.join(transfers, fresh["place_id"] == transfers["a"]).select(F.col("b").alias("place_id"), (F.col("t") + F.col("seconds")).alias("t"))
         new = rides.union(walks).groupBy("place_id").agg(F.min("t").cast("int").alias("t")).filter(F.col("t") <= limit).withColumn("round", F.lit(turn))
         ranked = best.union(new.select("place_id", "t", "round")).groupBy("place_id").agg(F.min(F.struct("t", "round")).alias("b"))
@@ -126,10 +143,11 @@ def search_labels(access: DataFrame, when: int, stop_times: DataFrame, departing
         start.select(F.lit(0).alias("round"), "place_id", "t", none(place).alias("from_place"), F.lit("access").alias("how"), none(feed).alias("feed_id"), none(trip).alias("trip_id"), none(route).alias("route_id"), none("int").alias("dep"))
     )
     departing, transfers, timed = cut(departing), cut(transfers), cut(indexed(stop_times))  # every round reads them
+    of = cut(lines(departing))
     for turn in range(1, rounds + 1):
         best = labels.groupBy("place_id").agg(F.min("t").alias("best"))
         fresh = labels.filter(F.col("round") == turn - 1).select("place_id", "t")
-        rides = downstream(next_departures(fresh, departing, stroller=stroller), timed).select("place_id", F.col("arr").cast("int").alias("t"), "from_place", F.lit("ride").alias("how"), "feed_id", "trip_id", "route_id", F.col("dep").cast("int").alias("dep"))
+        rides = downstream(next_departures(fresh, departing, stroller=stroller, of=of), timed).select("place_id", F.col("arr").cast("int").alias("t"), "from_place", F.lit("ride").alias("how"), "feed_id", "trip_id", "route_id", F.col("dep").cast("int").alias("dep"))
         walks = fresh.join(transfers, fresh["place_id"] == transfers["a"]).select(F.col("b").alias("place_id"), (F.col("t") + F.col("seconds")).cast("int").alias("t"), F.col("a").alias("from_place"), F.lit("walk").alias("how"), none(feed).alias("feed_id"), none(trip).alias("trip_id"), none(route).alias("route_id"), F.col("t").alias("dep"))
         new = rides.union(walks).groupBy("place_id").agg(F.min(F.struct("t", "how", "feed_id", "trip_id", "from_place", "route_id", "dep")).alias("b"))
         new = new.join(best, "place_id", "left").filter(F.col("best").isNull() | (F.col("b.t") < F.col("best")))

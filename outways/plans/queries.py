@@ -546,10 +546,17 @@ for _name, _profile, _mode in (("edge_cost_walk", MODES["walk"], "walk"), ("edge
 BUDGET = 900
 
 
-def arcs(spark, sf_dir) -> DataFrame:
-    cost = F.ceil(roads.edge_seconds(MODES["walk"])).cast("double")
-    two_way = roads.both_ways(road_edges(spark, sf_dir).select("a", "b", "k", "length", "highway", "packed", "attrs", "walk", "bike", "car", "oneway", "lev_diff", "width_code", "vtcl_slope", "roof", "to_tags"))
-    return two_way.select("a", "b", cost.alias("cost"), "length", "highway", "packed", "attrs")
+def costed_edges(spark, sf_dir, profile: Profile = MODES["walk"]) -> DataFrame:
+    """Edges with whole seconds on foot; tags are read once, not for each rule that asks for one."""
+    edges = cut(road_edges(spark, sf_dir).select("a", "b", "length", "highway", "packed", "attrs", "walk", "bike", "car", "lev_diff", "width_code", "vtcl_slope", "roof", "to_tags"))
+    cost = F.ceil(roads.edge_seconds(profile)).cast("double")
+    return edges.select("a", "b", cost.alias("cost"), "length", "highway", "packed", "attrs")
+
+
+def arcs(spark, sf_dir, profile: Profile = MODES["walk"]) -> DataFrame:
+    """The edges both ways, as all lead both ways on foot."""
+    costed = cut(costed_edges(spark, sf_dir, profile))
+    return costed.union(costed.select(F.col("b").alias("a"), F.col("a").alias("b"), *costed.columns[2:]))
 
 
 ARCS = f"costed AS (SELECT a, b, ceil({cost_sql(MODES['walk'])}) AS cost FROM edges), arcs AS (SELECT a, b, min(cost) AS cost FROM (SELECT a, b, cost FROM costed UNION ALL SELECT b, a, cost FROM costed) WHERE cost IS NOT NULL GROUP BY ALL)"

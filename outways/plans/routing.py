@@ -92,12 +92,12 @@ EGRESS = f"egress AS (SELECT place_id, CAST(trunc(m * 1.3::DOUBLE / 80.0::DOUBLE
 def _journey_round(i: int) -> str:
     """Labels after round i: as ``journeys.labels``, with the rides so far carried along."""
     return (
-        f"f{i} AS (SELECT start, place_id, t, sig, rt, legs FROM l{i - 1} WHERE round = {i - 1}), "
+        f"f{i} AS (SELECT start, place_id, t, sig, rt, legs, leave FROM l{i - 1} WHERE round = {i - 1}), "
         f"b{i} AS (SELECT * FROM (SELECT f.place_id, f.t, d.feed_id, d.route_id, d.dep, d.trip_id, d.idx, row_number() OVER (PARTITION BY f.place_id, f.t, d.feed_id, d.route_id ORDER BY d.dep, d.trip_id, d.idx) AS r FROM (SELECT DISTINCT place_id, t FROM f{i}) f JOIN departing d USING (place_id) WHERE d.dep BETWEEN f.t AND f.t + 10800) WHERE r = 1), "
-        f"o{i} AS (SELECT f.start, t.place_id, struct_pack(t := CAST(coalesce(t.arr, t.dep) AS INT), how := 'ride', feed := b.feed_id, trip := b.trip_id, from_place := f.place_id, route := b.route_id) AS o FROM f{i} f JOIN b{i} b USING (place_id, t) JOIN timed t ON t.feed_id = b.feed_id AND t.trip_id = b.trip_id AND t.idx > b.idx AND coalesce(t.arr, t.dep) IS NOT NULL "
-        f"UNION ALL SELECT f.start, x.b, struct_pack(t := CAST(f.t + x.seconds AS INT), how := 'walk', feed := '', trip := 0::BIGINT, from_place := f.place_id, route := 0::BIGINT) FROM f{i} f JOIN transfers x ON f.place_id = x.a), "
+        f"o{i} AS (SELECT f.start, t.place_id, struct_pack(t := CAST(coalesce(t.arr, t.dep) AS INT), how := 'ride', feed := b.feed_id, trip := b.trip_id, from_place := f.place_id, route := b.route_id, dep := CAST(b.dep AS INT)) AS o FROM f{i} f JOIN b{i} b USING (place_id, t) JOIN timed t ON t.feed_id = b.feed_id AND t.trip_id = b.trip_id AND t.idx > b.idx AND coalesce(t.arr, t.dep) IS NOT NULL "
+        f"UNION ALL SELECT f.start, x.b, struct_pack(t := CAST(f.t + x.seconds AS INT), how := 'walk', feed := '', trip := 0::BIGINT, from_place := f.place_id, route := 0::BIGINT, dep := CAST(f.t AS INT)) FROM f{i} f JOIN transfers x ON f.place_id = x.a), "
         f"n{i} AS (SELECT start, place_id, min(o) AS o FROM o{i} GROUP BY ALL), h{i} AS (SELECT start, place_id, min(t) AS best FROM l{i - 1} GROUP BY ALL), "
-        f"l{i} AS (SELECT start, round, place_id, t, sig, rt, legs FROM l{i - 1} UNION ALL SELECT n.start, {i}, n.place_id, n.o.t, CASE WHEN n.o.how = 'ride' THEN list_append(f.sig, n.o.route || '/' || n.o.trip) ELSE f.sig END, CASE WHEN n.o.how = 'ride' THEN list_append(f.rt, n.o.route) ELSE f.rt END, f.legs + 1 "
+        f"l{i} AS (SELECT start, round, place_id, t, sig, rt, legs, leave FROM l{i - 1} UNION ALL SELECT n.start, {i}, n.place_id, n.o.t, CASE WHEN n.o.how = 'ride' THEN list_append(f.sig, n.o.route || '/' || n.o.trip) ELSE f.sig END, CASE WHEN n.o.how = 'ride' THEN list_append(f.rt, n.o.route) ELSE f.rt END, f.legs + 1, coalesce(f.leave, n.o.dep) "
         f"FROM n{i} n JOIN f{i} f ON f.start = n.start AND f.place_id = n.o.from_place LEFT JOIN h{i} h ON h.start = n.start AND h.place_id = n.place_id WHERE h.best IS NULL OR n.o.t < h.best)"
     )
 
@@ -106,10 +106,10 @@ JOURNEYS = ", ".join(
     [
         q.TIMED, q.TRANSFERS, q.ACCESS, EGRESS,
         f"starts AS (SELECT DISTINCT start FROM (SELECT {WHEN} AS start UNION ALL SELECT dep - seconds FROM access JOIN departing USING (place_id) WHERE seconds <= 1200 AND dep - seconds BETWEEN {WHEN} AND {WHEN} + 10800) ORDER BY start LIMIT 12)",
-        "l0 AS (SELECT start, 0 AS round, place_id, CAST(start + seconds AS INT) AS t, []::VARCHAR[] AS sig, []::BIGINT[] AS rt, 0 AS legs FROM starts, (SELECT place_id, min(seconds) AS seconds FROM access WHERE seconds <= 1200 GROUP BY 1))",
+        "l0 AS (SELECT start, 0 AS round, place_id, CAST(start + seconds AS INT) AS t, []::VARCHAR[] AS sig, []::BIGINT[] AS rt, CAST(seconds >= 60 AS INT) AS legs, CASE WHEN seconds >= 60 THEN start END AS leave FROM starts, (SELECT place_id, min(seconds) AS seconds FROM access WHERE seconds <= 1200 GROUP BY 1))",
         *[_journey_round(i) for i in (1, 2, 3)],
-        "found AS (SELECT start AS depart, round, place_id, CAST(t + seconds AS INT) AS arrive, array_to_string(sig, '>') AS signature, rt, legs, len(sig) - 1 AS transfers FROM l3 JOIN egress USING (place_id) WHERE seconds <= 1200 AND len(sig) > 0)",
-        "once AS (SELECT *, arrive - depart AS duration FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY arrive, legs, depart DESC, place_id, round) AS r FROM found) WHERE r = 1)",
+        "found AS (SELECT start, CAST(leave AS INT) AS depart, round, place_id, CAST(t + seconds AS INT) AS arrive, array_to_string(sig, '>') AS signature, rt, legs + CAST(seconds > 60 AS INT) AS legs, len(sig) - 1 AS transfers FROM l3 JOIN egress USING (place_id) WHERE seconds <= 1200 AND len(sig) > 0)",
+        "once AS (SELECT *, arrive - depart AS duration FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY arrive, legs, depart DESC, place_id, round, start) AS r FROM found) WHERE r = 1)",
         "plans AS (SELECT * FROM once WHERE duration <= (SELECT min(duration) FROM once) * 2.5 + 900 AND arrive <= (SELECT min(arrive) FROM once) + 5400 ORDER BY arrive, duration, signature LIMIT 5)",
     ]
 )
@@ -133,14 +133,14 @@ KIND = "CASE WHEN route_type IN (0, 1, 2, 5, 7, 12) THEN 'train' WHEN route_type
 @q.query(
     pr.with_ctes(
         "stop_times trips places routes",
-        "SELECT 'total' AS card, signature, arrive FROM (SELECT * FROM plans ORDER BY arrive, signature LIMIT 1) UNION ALL SELECT kind, signature, arrive FROM (SELECT k.kind, p.signature, p.arrive, row_number() OVER (PARTITION BY k.kind ORDER BY p.arrive, p.duration, p.signature) AS r FROM plans p JOIN kinds k USING (signature) WHERE k.n = 1) WHERE r = 1",
+        "SELECT 'total' AS card, signature, arrive FROM (SELECT * FROM plans ORDER BY arrive, duration, signature LIMIT 1) UNION ALL SELECT kind, signature, arrive FROM (SELECT k.kind, p.signature, p.arrive, row_number() OVER (PARTITION BY k.kind ORDER BY p.arrive, p.duration, p.signature) AS r FROM plans p JOIN kinds k USING (signature) WHERE k.n = 1) WHERE r = 1",
         JOURNEYS + f", kinds AS (SELECT signature, count(DISTINCT kind) AS n, any_value(kind) AS kind FROM (SELECT signature, {KIND} AS kind FROM (SELECT signature, unnest(rt) AS route_id FROM plans) JOIN routes USING (route_id)) WHERE kind IS NOT NULL GROUP BY 1)",
     )
 )
 def journey_cards(spark, sf_dir):
     """The journeys that are shown: the earliest, the first by train alone and the first by bus alone."""
     plans = q.cut(journeys.decorated(_plans(spark, sf_dir), pr.table(spark, sf_dir, "customer").selectExpr(*pr.ROUTES)))
-    return journeys.cards(plans)
+    return journeys.cards(plans).drop("ask")
 
 
 # --- stations -------------------------------------------------------------------------------------

@@ -160,15 +160,20 @@ def test_journeys_of_a_morning(spark):
     access, egress = spark.createDataFrame([("A", 100)], "place_id string, seconds int"), spark.createDataFrame([("C", 50)], "place_id string, seconds int")
     none = spark.createDataFrame([], "a string, b string, seconds int")
     found = journeys.search_many(access, egress, 800, stop_times, departing, none)
-    rows = [(r["depart"], r["arrive"], r["transfers"], r["signature"]) for r in found.collect()]
-    assert rows == [(1400, 2550, 1, "r2/t2>r3/t3"), (900, 2550, 1, "r1/t1>r3/t3")]
+    rows = [(r["depart"], r["arrive"], r["transfers"], r["signature"], len(r["legs"])) for r in found.collect()]
+    # The walk of 100 s is a leg, that of 50 s at the end isn't.
+    assert rows == [(1400, 2550, 1, "r2/t2>r3/t3", 3), (900, 2550, 1, "r1/t1>r3/t3", 3)]
     strollers = journeys.search_many(access, egress, 800, stop_times, departing, none, stroller=True).collect()
     assert [r["signature"] for r in strollers] == ["r1/t1>r3/t3"]
     routes = spark.createDataFrame([("r1", 3), ("r2", 2), ("r3", 3), ("r4", 3)], "route_id string, route_type int")
     plans = journeys.decorated(found, routes).cache()
     assert {r["signature"]: r["kinds"] for r in plans.collect()} == {"r1/t1>r3/t3": ["bus"], "r2/t2>r3/t3": ["train", "bus"]}
-    walk = spark.createDataFrame([(2550,)], "arrive int")
-    assert {r["card"]: r["signature"] for r in journeys.cards(plans, walk).collect()} == {"bus": "r1/t1>r3/t3", "total": "r1/t1>r3/t3"}
+    walk = spark.createDataFrame([(0, 2550)], "ask int, arrive int")
+    # The first journey and the walk arrive at one time: the journey stays.
+    assert {r["card"]: r["signature"] for r in journeys.cards(plans, walk).collect()} == {"bus": "r1/t1>r3/t3", "walk": "walk", "total": "r2/t2>r3/t3"}
+    near = journeys.search_many(access.withColumn("seconds", F.lit(40)), egress, 800, stop_times, departing, none).collect()
+    # A first walk under a minute is left out, so that the journey departs with the ride.
+    assert [(r["start"], r["depart"], len(r["legs"])) for r in near] == [(1460, 1500, 2), (960, 1000, 2)]
     assert [r["seconds"] for r in journeys.with_extra(access, spark.createDataFrame([("A", 30)], "place_id string, extra int")).collect()] == [130]
 
 
