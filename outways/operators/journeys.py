@@ -1,8 +1,9 @@
 """Journeys by timetable over many questions and departure times at once.
 
-A question (``ask``) is a pair of ends with a way of travelling; all questions and all their times to leave
-(``starts``) are searched in the same rounds, and what boards at the same place and time is expanded once for
-all of them. A label is the earliest arrival of a start at a place by a round.
+A question (``ask``) is a pair of ends with a way of travelling. Its search hangs on where, when and how it
+begins alone (``src``), which many questions may share; all searches and all their times to leave
+(``starts``) run in the same rounds, and what boards at the same place and time is expanded once for all of
+them. A label is the earliest arrival of a start at a place by a round.
 """
 
 from __future__ import annotations
@@ -20,34 +21,37 @@ STRETCH = 1.6
 FIRST_WALK_S, LAST_WALK_S = 60, 60
 RELAXED = "段差を避けたまま乗れる便が見つからず、条件をゆるめて探しています"
 LEG = "array<struct<how:string,from_place:string,to_place:string,route:string,trip:string,dep:int,arr:int>>"
-KEY = ["ask", "start"]
-
-
-def starts_of(asks: DataFrame, access: DataFrame, departing: DataFrame, window: int = timetable.BOARDING_WINDOW, limit: int = 12) -> DataFrame:
-    """(ask, start, stroller): the first ``limit`` useful times to leave of each ask (ask, when, stroller): now, and
-    what just catches a departure of a place it walks to (access: ask, place_id, seconds)."""
-    caught = access.join(asks.select("ask", "when"), "ask").join(departing.select("place_id", "dep"), "place_id")
-    caught = caught.select("ask", (F.col("dep") - F.col("seconds")).cast("int").alias("start"), "when").filter(F.col("start").between(F.col("when"), F.col("when") + window))
-    times = asks.select("ask", F.col("when").cast("int").alias("start")).unionByName(caught.select("ask", "start")).distinct()
-    order = Window.partitionBy("ask").orderBy("start")
+KEY = ["src", "start"]
+#: What of a search decides how it goes on: no trips without room for a stroller, and whose transfers it walks.
+WAY = ["stroller", "tier"]
+
+
+def starts_of(searches: DataFrame, access: DataFrame, departing: DataFrame, window: int = timetable.BOARDING_WINDOW, limit: int = 12) -> DataFrame:
+    """(src, start, stroller, tier): the first ``limit`` useful times to leave of each search (src, when, stroller,
+    tier): now, and what just catches a departure of a place it walks to (access: src, place_id, seconds)."""
+    caught = access.join(searches.select("src", "when"), "src").join(departing.select("place_id", "dep"), "place_id")
+    caught = caught.select("src", (F.col("dep") - F.col("seconds")).cast("int").alias("start"), "when").filter(F.col("start").between(F.col("when"), F.col("when") + window))
+    times = searches.select("src", F.col("when").cast("int").alias("start")).unionByName(caught.select("src", "start")).distinct()
+    order = Window.partitionBy("src").orderBy("start")
     first = times.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= limit).drop("__r")
-    return first.join(asks.select("ask", "stroller"), "ask")
+    return first.join(searches.select("src", *WAY), "src")
 
 
 def labels(starts: DataFrame, access: DataFrame, stop_times: DataFrame, departing: DataFrame, transfers: DataFrame, rounds: int = 3, cut=None) -> DataFrame:
-    """(ask, start, stroller, round, place_id, t, how, from_place, feed_id, trip_id, route_id, dep): where a start is
+    """(src, start, stroller, tier, round, place_id, t, how, from_place, feed_id, trip_id, route_id, dep): where a start is
     when, and how it got there. Ties go to the smaller (how, feed, trip, place)."""
     cut = cut or (lambda df: df.checkpoint())
     types = {"from_place": access.schema["place_id"].dataType, "feed_id": stop_times.schema["feed_id"].dataType, "trip_id": stop_times.schema["trip_id"].dataType, "route_id": departing.schema["route_id"].dataType, "dep": "int"}
     none = lambda name: F.lit(None).cast(types[name]).alias(name)
-    first = starts.select(*KEY, "stroller").join(access.groupBy("ask", "place_id").agg(F.min("seconds").alias("seconds")), "ask")
-    columns = [*KEY, "stroller", "round", "place_id", "t", "how", "from_place", "feed_id", "trip_id", "route_id", "dep"]
-    found = cut(first.select(*KEY, "stroller", F.lit(0).alias("round"), "place_id", (F.col("start") + F.col("seconds")).cast("int").alias("t"), F.lit("access").alias("how"), *[none(c) for c in columns[7:]]))
+    first = starts.select(*KEY, *WAY).join(access.groupBy("src", "place_id").agg(F.min("seconds").alias("seconds")), "src")
+    columns = [*KEY, *WAY, "round", "place_id", "t", "how", "from_place", "feed_id", "trip_id", "route_id", "dep"]
+    found = cut(first.select(*KEY, *WAY, F.lit(0).alias("round"), "place_id", (F.col("start") + F.col("seconds")).cast("int").alias("t"), F.lit("access").alias("how"), *[none(c) for c in columns[8:]]))
     departing, transfers, timed = cut(departing), cut(transfers), cut(timetable.indexed(stop_times))  # every round reads them
     of = cut(timetable.lines(departing))
+    by_tier = transfers.withColumnRenamed("a", "from_place")
     kinds = [bool(r[0]) for r in found.select("stroller").distinct().collect()]  # at most two rows
     for turn in range(1, rounds + 1):
-        fresh = found.filter(F.col("round") == turn - 1).select(*KEY, "stroller", F.col("place_id").alias("from_place"), F.col("t").alias("from_t"))
+        fresh = found.filter(F.col("round") == turn - 1).select(*KEY, *WAY, F.col("place_id").alias("from_place"), F.col("t").alias("from_t"))
         rides = None
         for stroller in kinds:
             own = fresh.filter(F.col("stroller") == stroller)
@@ -56,27 +60,27 @@ def labels(starts: DataFrame, access: DataFrame, stop_times: DataFrame, departin
             rides = ridden if rides is None else rides.unionByName(ridden)
         if rides is None:
             break
-        rides = rides.select(*KEY, "stroller", "place_id", F.col("arr").cast("int").alias("t"), F.lit("ride").alias("how"), "from_place", "feed_id", "trip_id", "route_id", F.col("dep").cast("int").alias("dep"))
-        walks = fresh.join(transfers, fresh["from_place"] == transfers["a"])
-        walks = walks.select(*KEY, "stroller", F.col("b").alias("place_id"), (F.col("from_t") + F.col("seconds")).cast("int").alias("t"), F.lit("walk").alias("how"), "from_place", none("feed_id"), none("trip_id"), none("route_id"), F.col("from_t").alias("dep"))
-        offered = rides.union(walks).groupBy(*KEY, "stroller", "place_id").agg(F.min(F.struct("t", "how", "feed_id", "trip_id", "from_place", "route_id", "dep")).alias("b"))
+        rides = rides.select(*KEY, *WAY, "place_id", F.col("arr").cast("int").alias("t"), F.lit("ride").alias("how"), "from_place", "feed_id", "trip_id", "route_id", F.col("dep").cast("int").alias("dep"))
+        walks = fresh.join(by_tier, ["from_place", "tier"]) if "tier" in by_tier.columns else fresh.join(by_tier, "from_place")
+        walks = walks.select(*KEY, *WAY, F.col("b").alias("place_id"), (F.col("from_t") + F.col("seconds")).cast("int").alias("t"), F.lit("walk").alias("how"), "from_place", none("feed_id"), none("trip_id"), none("route_id"), F.col("from_t").alias("dep"))
+        offered = rides.union(walks).groupBy(*KEY, *WAY, "place_id").agg(F.min(F.struct("t", "how", "feed_id", "trip_id", "from_place", "route_id", "dep")).alias("b"))
         best = found.groupBy(*KEY, "place_id").agg(F.min("t").alias("best"))
         new = offered.join(best, [*KEY, "place_id"], "left").filter(F.col("best").isNull() | (F.col("b.t") < F.col("best")))
-        found = cut(found.union(new.select(*KEY, "stroller", F.lit(turn).alias("round"), "place_id", *[F.col(f"b.{c}") for c in columns[5:]])))
+        found = cut(found.union(new.select(*KEY, *WAY, F.lit(turn).alias("round"), "place_id", *[F.col(f"b.{c}") for c in columns[6:]])))
     return found
 
 
 def journeys(found: DataFrame, egress: DataFrame, rounds: int = 3) -> DataFrame:
-    """(ask, start, round, place_id, depart, arrive, legs): a journey for each label of an end place (ask,
+    """(ask, src, start, round, place_id, depart, arrive, legs): a journey for each label of an end place (ask, src,
     place_id, seconds) with a ride. Legs are followed back by one self join a round; the walks at both ends are
     legs where they are long enough to be shown, and a journey departs with its first leg."""
     step = found.select(*[F.col(c).alias(f"p_{c}") for c in found.columns])
-    path = found.join(egress.withColumnRenamed("seconds", "egress"), ["ask", "place_id"]).select(
-        *KEY, "round", "place_id", F.col("t").alias("end_t"), (F.col("t") + F.col("egress")).cast("int").alias("arrive"), F.col("round").alias("at_round"), F.col("place_id").alias("at_place"), F.array().cast(LEG).alias("legs")
+    path = found.join(egress.withColumnRenamed("seconds", "egress"), ["src", "place_id"]).select(
+        "ask", *KEY, "round", "place_id", F.col("t").alias("end_t"), (F.col("t") + F.col("egress")).cast("int").alias("arrive"), F.col("round").alias("at_round"), F.col("place_id").alias("at_place"), F.array().cast(LEG).alias("legs")
     )
     text = lambda c: F.col(c).cast("string")
     for _ in range(rounds + 1):
-        same = (F.col("ask") == F.col("p_ask")) & (F.col("start") == F.col("p_start")) & (F.col("at_round") == F.col("p_round")) & (F.col("at_place") == F.col("p_place_id"))
+        same = (F.col("src") == F.col("p_src")) & (F.col("start") == F.col("p_start")) & (F.col("at_round") == F.col("p_round")) & (F.col("at_place") == F.col("p_place_id"))
         first = F.col("p_how") == "access"
         leg = F.struct(
             F.when(first, "walk").otherwise(F.col("p_how")).alias("how"), text("p_from_place").alias("from_place"), text("at_place").alias("to_place"), text("p_route_id").alias("route"), text("p_trip_id").alias("trip"),
@@ -85,12 +89,12 @@ def journeys(found: DataFrame, egress: DataFrame, rounds: int = 3) -> DataFrame:
         shown = F.coalesce(~first | (F.col("p_t") - F.col("start") >= FIRST_WALK_S), F.lit(False))
         # A path that has come to its first walk has no place to go on from.
         path = path.join(step, same, "left").select(
-            *KEY, "round", "place_id", "end_t", "arrive", (F.col("at_round") - 1).alias("at_round"), F.col("p_from_place").alias("at_place"), F.when(shown, F.concat(F.array(leg), "legs")).otherwise(F.col("legs")).alias("legs")
+            "ask", *KEY, "round", "place_id", "end_t", "arrive", (F.col("at_round") - 1).alias("at_round"), F.col("p_from_place").alias("at_place"), F.when(shown, F.concat(F.array(leg), "legs")).otherwise(F.col("legs")).alias("legs")
         )
     last = F.struct(F.lit("walk").alias("how"), text("place_id").alias("from_place"), F.lit(None).cast("string").alias("to_place"), F.lit(None).cast("string").alias("route"), F.lit(None).cast("string").alias("trip"), F.col("end_t").alias("dep"), F.col("arrive").alias("arr"))
     whole = path.withColumn("legs", F.when(F.col("arrive") - F.col("end_t") > LAST_WALK_S, F.concat("legs", F.array(last))).otherwise(F.col("legs")))
     rode = F.exists("legs", lambda leg: leg["how"] == "ride")
-    return whole.filter(rode).select(*KEY, "round", "place_id", F.col("legs")[0]["dep"].alias("depart"), "arrive", "legs")
+    return whole.filter(rode).select("ask", *KEY, "round", "place_id", F.col("legs")[0]["dep"].alias("depart"), "arrive", "legs")
 
 
 def pruned(found: DataFrame, limit: int = 5) -> DataFrame:
@@ -109,19 +113,20 @@ def pruned(found: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def search_asks(asks: DataFrame, access: DataFrame, egress: DataFrame, stop_times: DataFrame, departing: DataFrame, transfers: DataFrame, rounds: int = 3, limit: int = 5, cut=None) -> DataFrame:
-    """The best journeys of the next three hours of every ask (ask, when, stroller): (ask, rank, start, depart, arrive,
-    duration, transfers, signature, legs, ...). access, egress: ask, place_id, seconds."""
+    """The best journeys of the next three hours of every ask (ask, src, when, stroller, tier): (ask, rank, start, depart,
+    arrive, duration, transfers, signature, legs, ...). access: src, place_id, seconds; egress: ask, place_id,
+    seconds; transfers: a, b, seconds and, where they differ by it, tier."""
     cut = cut or (lambda df: df.checkpoint())
-    access, egress = cut(access), cut(egress)
-    starts = cut(starts_of(asks, access, departing))
+    access, egress = cut(access), cut(egress.join(asks.select("ask", "src"), "ask"))
+    searches = asks.select("src", "when", *WAY).distinct()
+    starts = cut(starts_of(searches, access, departing))
     return pruned(journeys(labels(starts, access, stop_times, departing, transfers, rounds, cut), egress, rounds), limit)
 
 
 def search_many(access: DataFrame, egress: DataFrame, when: int, stop_times: DataFrame, departing: DataFrame, transfers: DataFrame, rounds: int = 3, limit: int = 5, stroller: bool = False, cut=None) -> DataFrame:
     """The same for one ask: access, egress: place_id, seconds."""
-    ask = access.sparkSession.range(1).select(F.lit(0).alias("ask"), F.lit(when).alias("when"), F.lit(stroller).alias("stroller"))
-    of = lambda ends: ends.withColumn("ask", F.lit(0))
-    return search_asks(ask, of(access), of(egress), stop_times, departing, transfers, rounds, limit, cut).orderBy("rank")
+    ask = access.sparkSession.range(1).select(F.lit(0).alias("ask"), F.lit(0).alias("src"), F.lit(when).alias("when"), F.lit(stroller).alias("stroller"), F.lit("normal").alias("tier"))
+    return search_asks(ask, access.withColumn("src", F.lit(0)), egress.withColumn("ask", F.lit(0)), stop_times, departing, transfers, rounds, limit, cut).orderBy("rank")
 
 
 def with_extra(times: DataFrame, extra: DataFrame) -> DataFrame:

@@ -78,8 +78,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 #: Rows up to which a frontier, or the nodes it can offer, are broadcast; beyond it both sides are shuffled by key.
 SMALL_ROWS = 200_000
-#: Parts of the known costs that are kept side by side before they are merged into one.
-PARTS = 16
+#: Parts of the known costs that are kept side by side before the later ones are merged.
+PARTS = 4
 
 
 def shortest(
@@ -92,8 +92,9 @@ def shortest(
     searches apart; all run in the same rounds. Labels are set in buckets of ``delta`` seconds (all at once where it is
     None): a round relaxes only what is new in the bucket, the rest of the frontier waits until no label of
     an earlier bucket can change. Only the frontier and its offers move: what is known is appended to in
-    parts, looked up for the offered nodes alone, and merged when there are ``PARTS`` of them. The search
-    ends when nothing is left to relax, and fails where ``max_rounds`` aren't enough.
+    parts and looked up for the offered nodes alone; of over ``PARTS`` parts the later, small ones are merged, and
+    the first with them only once they hold half as much. The search ends when nothing is left to relax, and fails
+    where ``max_rounds`` aren't enough.
 
     ``keep``: a condition on an offer (cost, the arc's other columns, and the columns ``carry`` that each source
     hands on along its ways); offers that fail it are dropped, see ``goal_bounds``.
@@ -113,8 +114,8 @@ def shortest(
     arcs = cut(arcs.filter("cost is not null").groupBy("a", "b").agg(best_arc).select("a", "b", "w.*").repartition("a"))
     # No frontier of n rows can offer more than n times so many.
     fan = arcs.groupBy("a").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    parts, waiting, n = [frontier], None, frontier.count()
-    upto = delta
+    n = frontier.count()
+    parts, sizes, waiting, upto = [frontier], [n], None, delta
     for _ in range(max_rounds):
         if not n and waiting is not None:
             # The bucket is settled; what waits and is still the best goes on with the next one.
@@ -133,17 +134,19 @@ def shortest(
             met = met.filter(keep)
         offered = met.select(*by, F.col("b").alias("node"), "cost", F.col("a").alias("pred"), *carry).groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"), *handed)
         offered = offered.select(*keys, "o.cost", "o.pred", *carry)
-        known = _current(parts, keys, offered if n * fan <= SMALL_ROWS else None)
+        known = _current(parts, keys, offered if n * fan <= SMALL_ROWS < sum(sizes) else None)
         better = cut(offered.join(known, keys, "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known"))
         parts.append(better)
+        fresh = better.count()
+        sizes.append(fresh)
         if len(parts) > PARTS:
-            parts = [cut(_merged(parts, keys, carry))]
+            at = 0 if 2 * sum(sizes[1:]) >= sizes[0] else 1
+            parts, sizes = [*parts[:at], cut(_merged(parts[at:], keys, carry))], [*sizes[:at], sum(sizes[at:])]
         if delta is None:
-            frontier = better
+            frontier, n = better, fresh
         else:
             frontier, later = better.filter(F.col("cost") < upto), better.filter(F.col("cost") >= upto)
-            waiting = later if waiting is None else waiting.union(later)
-        n = frontier.count()
+            waiting, n = later if waiting is None else waiting.union(later), frontier.count()
     else:
         raise RuntimeError(f"costs still fall after {max_rounds} rounds")
     known = cut(_merged(parts, keys, carry).select(*keys, "cost", "pred"))
@@ -191,20 +194,33 @@ def landmarks(nodes: DataFrame, arcs: DataFrame, n: int = 4, cut=None) -> DataFr
     return cut(row(forth, "there").join(row(back, "back"), "node", "full"))
 
 
-def goal_bounds(wanted: DataFrame, marks: DataFrame) -> DataFrame:
+def pair_bounds(wanted: DataFrame, marks: DataFrame, stretch: float | None = None, slack: float = 120.0) -> DataFrame:
+    """(pair, u): an upper bound of each pair's seconds, by a way over a landmark; with ``stretch`` no more than so
+    many times the lower bound of the way, and ``slack``: a guess, which a way found within it proves right."""
+    met = _marked_ends(wanted, marks)
+    upper = F.array_min(F.zip_with("s_back", "there", lambda x, y: x + y))
+    if stretch is not None:
+        ahead, behind = F.array_max(F.zip_with("there", "s_there", lambda x, y: x - y)), F.array_max(F.zip_with("s_back", "back", lambda x, y: x - y))
+        upper = F.least(upper, F.greatest(ahead, behind, F.lit(0.0)) * stretch + slack)
+    return met.groupBy("pair").agg(F.min(upper + F.col("extra")).alias("u"))
+
+
+def _marked_ends(wanted: DataFrame, marks: DataFrame) -> DataFrame:
+    at = marks.select("node", "there", "back")
+    starts = at.select(F.col("node").alias("start"), F.col("there").alias("s_there"), F.col("back").alias("s_back"))
+    return wanted.join(starts, "start", "left").join(at, "node", "left")
+
+
+def goal_bounds(wanted: DataFrame, bounds: DataFrame, marks: DataFrame) -> DataFrame:
     """(start, ahead array, behind array): how far a search from each start need go, landmark by landmark.
 
-    wanted: (pair, start, node, extra): the starts and end nodes of each pair, with the seconds from an end node on. A
-    way by a landmark is an upper bound of each pair's seconds, u; a label (n, cost) can only lie on a
-    pair's best way to e if cost + extra + d(n, e) <= u, and d(n, e) >= d(L, e) - d(L, n) as well as
-    d(n, L) - d(e, L). So ``ahead`` is the largest u - extra - d(L, e) of a start's ends and ``behind`` the largest
-    u - extra + d(e, L); null where a bound is missing, which then closes nothing.
+    wanted: (pair, start, node, extra): the starts and end nodes of each pair, with the seconds from an end node on;
+    bounds: (pair, u). A label (n, cost) can only lie on a pair's way to e within u if cost + extra + d(n, e) <= u,
+    and d(n, e) >= d(L, e) - d(L, n) as well as d(n, L) - d(e, L). So ``ahead`` is the largest u - extra - d(L, e) of
+    a start's ends and ``behind`` the largest u - extra + d(e, L); null where a bound is missing, which then
+    closes nothing.
     """
-    at = marks.select("node", "there", "back")
-    both = wanted.join(at.select(F.col("node").alias("start"), F.col("back").alias("s_back")), "start", "left").join(at, "node", "left")
-    by_mark = F.array_min(F.zip_with("s_back", "there", lambda x, y: x + y))
-    upper = both.withColumn("u", by_mark + F.col("extra")).groupBy("pair").agg(F.min("u").alias("u"))
-    met = both.join(upper, "pair")
+    met = _marked_ends(wanted, marks).join(bounds, "pair")
     # A little slack for sums that round otherwise.
     room = F.col("u") * (1 + 1e-9) + 1e-6 - F.col("extra")
     ahead, behind = F.transform("there", lambda d: room - d), F.transform("back", lambda d: room + d)

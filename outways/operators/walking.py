@@ -41,7 +41,11 @@ def reachable_points(origins: DataFrame, candidates: DataFrame, nodes: DataFrame
     return met.select("origin", "candidate", F.col("total").cast("int").alias("seconds"))
 
 
-def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float, attempts=ATTEMPTS, budget: float | None = None, cut=None) -> tuple[DataFrame, DataFrame]:
+#: How much longer than its lower bound a way is taken to be at first; beyond that only an upper bound holds.
+GUESSES = (1.25, None)
+
+
+def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float, attempts=ATTEMPTS, budget: float | None = None, cut=None, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The way of each pair: (pair, start, node, cost, attempt), and the searches behind them (start, node,
     cost, pred).
 
@@ -49,6 +53,10 @@ def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float
     on to the next attempt, with more and farther nodes: the nearest may lie on an island. The way
     from the last node to the destination is walked at ``speed`` metres a minute. Ties go to the
     nearer start, then the smaller node.
+
+    With ``marks`` (``roads.landmarks``) a search goes only where a way of one of its pairs within a guessed bound can
+    lie; a way found within the guess is the best, and pairs without one are searched again within the
+    proven bound. Without ``marks`` a search goes everywhere within ``budget``.
     """
     cut = cut or (lambda df: df.checkpoint())
     usable = cut(roads.usable_nodes(nodes, arcs).select("node", "lat", "lon"))
@@ -58,20 +66,34 @@ def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float
         origins = left.select("o_lat", "o_lon").distinct().withColumn("origin", F.struct("o_lat", "o_lon"))
         goals = left.select("d_lat", "d_lon").distinct().withColumn("goal", F.struct("d_lat", "d_lon"))
         starts = near.nearest(origins.select("origin", F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon")), usable, metres, "origin", "node", k)
-        ends = near.nearest(goals.select("goal", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon")), usable, metres, "goal", "node", k)
+        ends = cut(near.nearest(goals.select("goal", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon")), usable, metres, "goal", "node", k))
         starts = cut(starts.filter(F.col("rank") <= tries).select("origin", F.col("node").alias("start"), "rank"))
-        sources = starts.select("start", F.col("start").alias("node")).distinct().withColumn("cost", F.lit(0.0))
-        known = roads.shortest(arcs, sources, budget, cut=cut, by=("start",))
-        met = left.withColumn("origin", F.struct("o_lat", "o_lon")).withColumn("goal", F.struct("d_lat", "d_lon"))
-        met = met.join(starts, "origin").join(ends.select("goal", "node", F.col("metres").alias("snap")), "goal").join(known, ["start", "node"])
-        best = F.min(F.struct((F.col("cost") + F.col("snap") / speed * 60).alias("total"), "rank", "node", "start", "cost")).alias("b")
-        won = cut(met.groupBy("pair").agg(best).select("pair", "b.start", "b.node", "b.cost", F.lit(turn + 1).alias("attempt")))
-        found = won if found is None else found.unionByName(won)
-        searches = known if searches is None else searches.unionByName(known)
-        left = cut(left.join(won, "pair", "left_anti"))
-        if not left.limit(1).count():
-            break
-    return found, searches.dropDuplicates(["start", "node"])
+        for guess in GUESSES if marks is not None else (None,):
+            asked = left.withColumn("origin", F.struct("o_lat", "o_lon")).withColumn("goal", F.struct("d_lat", "d_lon")).join(starts, "origin")
+            sources = asked.select("start", F.col("start").alias("node")).distinct().withColumn("cost", F.lit(0.0))
+            met = asked.join(ends.withColumnRenamed("metres", "snap").drop("rank"), "goal").withColumn("extra", F.col("snap") / speed * 60)
+            if marks is None:
+                known = roads.shortest(arcs, sources, budget, cut=cut, by=("start",))
+            else:
+                wanted = cut(met.select("pair", "start", "node", "extra"))
+                bounds = cut(roads.pair_bounds(wanted, marks, guess))
+                marked = arcs.join(marks.withColumnRenamed("node", "b"), "b", "left")
+                known = roads.shortest(marked, sources.join(roads.goal_bounds(wanted, bounds, marks), "start", "left"), budget, cut=cut, by=("start",), keep=roads.within_bounds(), carry=("ahead", "behind"))
+            best = F.min(F.struct((F.col("cost") + F.col("extra")).alias("total"), "rank", "node", "start", "cost")).alias("b")
+            won = met.join(known, ["start", "node"]).groupBy("pair").agg(best)
+            if guess is not None:
+                won = won.join(bounds, "pair").filter(F.col("b.total") <= F.col("u"))
+            won = cut(won.select("pair", "b.start", "b.node", "b.cost", F.lit(turn + 1).alias("attempt")))
+            found = won if found is None else found.unionByName(won)
+            searches = known if searches is None else searches.unionByName(known)
+            left = cut(left.join(won, "pair", "left_anti"))
+            if not left.limit(1).count():
+                break
+        else:
+            continue
+        break
+    # A bounded search may know a node by a detour alone; the best of all searches from a start counts.
+    return found, searches.groupBy("start", "node").agg(F.min(F.struct("cost", "pred")).alias("o")).select("start", "node", "o.cost", "o.pred")
 
 
 def straight_m(pairs: DataFrame) -> Column:
