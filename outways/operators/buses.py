@@ -83,56 +83,114 @@ def _spike(p, here, q) -> bool:
     return _metres(p, here) + _metres(here, q) > max(shapes.SPIKE_MIN_M, shapes.SPIKE_RATIO * _metres(p, q))
 
 
-def repaired(visits: DataFrame, candidates: DataFrame) -> DataFrame:
+def _faulty(seen: DataFrame) -> DataFrame:
+    """(feed_id, p_ord) of the patterns that a repair would change: with a detour, or an end far from the next stop.
+
+    seen: feed_id, p_ord, i, stop, lat, lon of the stops that still stand.
+    """
+    from outways.functions import geo
+
+    at = seen.withColumn("pattern", F.struct("feed_id", "p_ord"))
+    detours = spikes(at).groupBy("pattern").agg(F.max("spike").alias("spike"), F.count("*").alias("n"))
+    order = Window.partitionBy("pattern").orderBy("i")
+    hops = at.withColumn("m", geo.haversine(F.col("lat"), F.col("lon"), F.lead("lat").over(order), F.lead("lon").over(order))).filter("m is not null")
+    ends = hops.groupBy("pattern").agg(F.greatest(F.min_by("m", "i"), F.max_by("m", "i")).alias("end"), F.greatest(F.lit(END_MIN_M), END_RATIO * shapes.upper_median(F.collect_list("m"))).alias("limit"))
+    found = detours.join(ends, "pattern").filter((F.col("n") >= 3) & (F.col("spike") | (F.col("end") > F.col("limit"))))
+    return found.select("pattern.feed_id", "pattern.p_ord")
+
+
+def _closest(options: list, fits, length) -> tuple | None:
+    """Of the options that fit the one with the shortest way, the first of equals."""
+    fitting = [o for o in options if fits(o[:2])]
+    return min(fitting, key=lambda o: length(o[:2])) if fitting else None
+
+
+def _end_limit(points: list) -> float:
+    hops = sorted(map(_metres, points, points[1:]))
+    return max(END_MIN_M, END_RATIO * hops[len(hops) // 2])
+
+
+def mended(stops: list, at: dict, options: dict) -> dict:
+    """What becomes of the stops of one pattern: stop to its new (lat, lon, source), or to None where it is dropped.
+
+    The first end is looked at, then the inner stops from the left, each between the last one that stands and the
+    next, then the last end. Only whole patterns of three stops or more say anything.
+    """
+    at, news = dict(at), {}
+
+    def put(stop, option) -> None:
+        at[stop], news[stop] = option[:2], option
+
+    def look_at_end(stop, other, standing) -> None:
+        limit = _end_limit([at[s] for s in standing])
+        if _metres(at[stop], at[other]) > limit:
+            near = lambda c: _metres(at[other], c)
+            if option := _closest(options.get(stop, []), lambda c: near(c) < limit, near):
+                put(stop, option)
+
+    if len(stops) < 3:
+        return news
+    look_at_end(stops[0], stops[1], stops)
+    standing, coming = [stops[0]], list(reversed(stops[1:]))
+    while len(coming) > 1:
+        stop, before, after = coming.pop(), at[standing[-1]], at[coming[-1]]
+        if _spike(before, at[stop], after):
+            option = _closest(options.get(stop, []), lambda c, p=before, q=after: not _spike(p, c, q), lambda c, p=before, q=after: _metres(p, c) + _metres(c, q))
+            if option is None:
+                news[stop] = None
+                if len(standing) + len(coming) < 3:
+                    return news
+                continue
+            put(stop, option)
+        standing.append(stop)
+    look_at_end(coming[0], standing[-1], [*standing, coming[0]])
+    return news
+
+
+def repaired(visits: DataFrame, candidates: DataFrame, cut=None) -> DataFrame:
     """(feed_id, stop, lat, lon, source, outcome): each stop's coordinates after repair; outcome is kept, moved
     or dropped.
 
     visits: feed_id, p_ord (order of patterns), i, stop, lat, lon, source; candidates: stop, rank, lat, lon,
-    source. Along each pattern in turn a stop that is a detour moves to the candidate that is least
-    of one, or is dropped where none helps; a stop at an end only moves, where the next is too far. A
-    stop that one pattern moved is seen so by the next: this is a sequence within a feed, whose
-    patterns are some hundreds, so a feed is one group.
+    source. Along each pattern in turn a stop that is a detour moves to the candidate that is least of one, or is
+    dropped where none helps; a stop at an end only moves, where the next is too far. A stop that one pattern
+    changed is seen so by the later ones of its feed.
+
+    Patterns hang together by shared stops alone, so all that no earlier pattern can still touch are mended in the
+    same round, each in a task of its own; patterns in order before a feed's first faulty one need nothing. There are
+    at most as many rounds as a feed has faulty patterns.
     """
-    known = candidates.groupBy("stop").agg(F.array_sort(F.collect_list(F.struct("rank", "lat", "lon", "source"))).alias("options"))
-    rows = visits.join(known, "stop", "left")
+    cut = cut or (lambda df: df.checkpoint())
+    visits = cut(visits)
+    known = cut(candidates.groupBy("stop").agg(F.array_sort(F.collect_list(F.struct("rank", "lat", "lon", "source"))).alias("options")))
+    latest = F.max_by(F.struct("lat", "lon", "source"), F.struct("p_ord", "i")).alias("s")
+    state = cut(visits.groupBy("feed_id", "stop").agg(latest).select("feed_id", "stop", "s.*", F.lit("kept").alias("outcome")))
+    waiting = visits.select("feed_id", "p_ord", "i", "stop")
+    kind = dict(visits.dtypes)
+    schema = f"feed_id {kind['feed_id']}, stop {kind['stop']}, n_lat double, n_lon double, n_source string, n_outcome string"
 
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["p_ord", "i"])
+    def mend(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
         at = {r.stop: (r.lat, r.lon) for r in group.itertuples()}
-        source = dict(zip(group["stop"], group["source"], strict=True))
-        options = {r.stop: [(o["lat"], o["lon"], o["source"]) for o in r.options] if r.options is not None else [] for r in group.itertuples()}
-        outcome = dict.fromkeys(at, "kept")
-
-        def moved(stop, worth) -> bool:
-            best = max(((worth((lat, lon)), -k) for k, (lat, lon, _) in enumerate(options[stop])), default=(0, 0))
-            if best[0] <= 0:
-                return False
-            lat, lon, source[stop] = options[stop][-best[1]]
-            at[stop], outcome[stop] = (lat, lon), "moved"
-            return True
-
-        for _, pattern in group.groupby("p_ord", sort=True):
-            seq, i = [s for s in pattern["stop"] if outcome[s] != "dropped"], 0
-            while i < len(seq) and len(seq) >= 3:
-                hops = sorted(_metres(at[a], at[b]) for a, b in zip(seq, seq[1:]))
-                limit = max(END_MIN_M, END_RATIO * hops[len(hops) // 2])
-                stop = seq[i]
-                if i in (0, len(seq) - 1):
-                    other = at[seq[1] if i == 0 else seq[-2]]
-                    if _metres(at[stop], other) > limit:
-                        moved(stop, lambda c, o=other, m=limit: m - _metres(o, c))
-                    i += 1
-                    continue
-                p, q = at[seq[i - 1]], at[seq[i + 1]]
-                if not _spike(p, at[stop], q) or moved(stop, lambda c, p=p, q=q: 0 if _spike(p, c, q) else 1 / (1 + _metres(p, c) + _metres(c, q))):
-                    i += 1
-                else:
-                    outcome[stop] = "dropped"
-                    seq = [s for k, s in enumerate(seq) if k != i]
-        return pd.DataFrame([(group["feed_id"].iloc[0], s, *at[s], source[s], outcome[s]) for s in at], columns=["feed_id", "stop", "lat", "lon", "source", "outcome"])
-
-    kind = dict(visits.dtypes)
-    return rows.groupBy("feed_id").applyInPandas(repair, f"feed_id {kind['feed_id']}, stop {kind['stop']}, lat double, lon double, source string, outcome string")
+        options = {r.stop: [(o["lat"], o["lon"], o["source"]) for o in r.options] for r in group.itertuples() if r.options is not None}
+        news = mended(group["stop"].tolist(), at, options)
+        return pd.DataFrame([(group["feed_id"].iloc[0], s, *(n or (None, None, None)), "moved" if n else "dropped") for s, n in news.items()], columns=["feed_id", "stop", "n_lat", "n_lon", "n_source", "n_outcome"])
+
+    while True:
+        seen = cut(waiting.join(state.filter("outcome <> 'dropped'"), ["feed_id", "stop"]))
+        faulty = cut(_faulty(seen))
+        if not faulty.limit(1).count():
+            return state
+        first = faulty.groupBy("feed_id").agg(F.min("p_ord").alias("first"))
+        waiting = cut(waiting.join(first, "feed_id").filter(F.col("p_ord") >= F.col("first")).drop("first"))
+        foremost = F.min("p_ord").over(Window.partitionBy("feed_id", "stop"))
+        free = waiting.withColumn("__f", foremost == F.col("p_ord")).groupBy("feed_id", "p_ord").agg(F.min("__f").alias("free")).filter("free").drop("free")
+        turn = cut(free.join(faulty, ["feed_id", "p_ord"], "left_semi"))
+        news = cut(seen.join(turn, ["feed_id", "p_ord"], "left_semi").join(known, "stop", "left").groupBy("feed_id", "p_ord").applyInPandas(mend, schema))
+        moved = F.col("n_outcome") == "moved"
+        now = {c: F.when(moved, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "source")}
+        state = cut(state.join(news, ["feed_id", "stop"], "left").select("feed_id", "stop", *[x.alias(c) for c, x in now.items()], F.coalesce("n_outcome", "outcome").alias("outcome")))
+        waiting = waiting.join(turn, ["feed_id", "p_ord"], "left_anti")
 
 
 def holidays(lines: DataFrame, start: str, end: str) -> DataFrame:

@@ -147,7 +147,7 @@ def repaired_stops(spark, sf_dir):
     feeds = pr.table(spark, sf_dir, "orders").join(pr.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("pattern"), F.col("c_nationkey").alias("feed_id"))
     rows = visits(spark, sf_dir).join(feeds, "pattern").select("feed_id", F.col("pattern").alias("p_ord"), "i", "stop", "lat", "lon", F.lit("osm").alias("source"))
     options = rows.select("stop").distinct().select("stop", F.lit(1).alias("rank"), F.lit(35.81).alias("lat"), (F.lit(139.9) + F.col("stop") % 7 / 1000).alias("lon"), F.lit("gtfs").alias("source")).filter("stop % 18 = 0")
-    return buses.repaired(rows, options).groupBy("feed_id", "outcome").agg(F.count("*").alias("stops"))
+    return buses.repaired(rows, options, q.cut).groupBy("feed_id", "outcome").agg(F.count("*").alias("stops"))
 
 
 @q.query(
@@ -191,7 +191,7 @@ def rail_lines(spark, sf_dir):
     refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
     ways = pr.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_distinct(refs).alias("refs")).join(pr.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     ways = ways.select(F.col("l_orderkey").alias("way"), F.col("l_orderkey").alias("ord"), "refs", F.create_map(F.lit("railway"), F.lit("rail"), F.lit("name"), F.concat(F.lit("L"), (F.col("o_custkey") % 97).cast("string"))).alias("tags"))
-    return rails.rail_lines(ways, pr.nodes(spark, sf_dir)).select("name", "chain", F.size("line").alias("points"), "length_m")
+    return rails.rail_lines(ways, pr.nodes(spark, sf_dir), q.cut).select("name", "chain", F.size("line").alias("points"), "length_m")
 
 
 def _overlay(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -149,7 +149,7 @@ def test_stitched_ways_equal_repeated_passes(spark):
     rnd = random.Random(4)
     for _ in range(200):
         ways = [[rnd.randrange(8), 100 + k, rnd.randrange(8)] for k in range(rnd.randrange(1, 9))]
-        assert rails.stitched(ways) == greedy(ways)
+        assert [refs for _, refs in rails.stitched(ways)] == greedy(ways)
     ways = spark.createDataFrame([(1, 1, [1, 2], {"railway": "rail", "name": "L"}), (2, 2, [3, 2], {"railway": "rail", "name": "L"}), (3, 3, [3, 4], {"railway": "rail", "name": "L", "service": "yard"}), (4, 4, [1, 2], {"railway": "rail"})], "way int, ord int, refs array<long>, tags map<string,string>")
     nodes = spark.createDataFrame([(i, 35.0, 139.0 + i / 100) for i in range(1, 5)], "node long, lat double, lon double")
     (line,) = rails.rail_lines(ways, nodes).collect()
@@ -189,6 +189,59 @@ def test_stops_that_jump_are_moved_or_dropped(spark):
     assert got["s2"] == ("moved", "gtfs") and got["s4"][0] == "dropped" and got["s0"] == ("kept", "osm") and len(got) == 7
 
 
+def in_turn(visits, options):
+    """Stops after repair by the rule as it is stated: pattern by pattern, a position at a time."""
+    m, state = buses._metres, {s: [lat, lon, src, "kept"] for _, _, s, lat, lon, src in visits}
+    for pattern in sorted({v[0] for v in visits}):
+        seq, i = [v[2] for v in sorted(visits) if v[0] == pattern and state[v[2]][3] != "dropped"], 0
+        at = lambda s: tuple(state[s][:2])
+        while i < len(seq) >= 3:
+            hops = sorted(m(at(a), at(b)) for a, b in zip(seq, seq[1:], strict=False))
+            limit, end = max(3000.0, 6.0 * hops[len(hops) // 2]), i in (0, len(seq) - 1)
+            if end:
+                other = at(seq[1] if i == 0 else seq[-2])
+                wrong, score = m(at(seq[i]), other) > limit, {k: m(other, o[:2]) for k, o in enumerate(options.get(seq[i], [])) if m(other, o[:2]) < limit}
+            else:
+                p, n = at(seq[i - 1]), at(seq[i + 1])
+                wrong, score = buses._spike(p, at(seq[i]), n), {k: m(p, o[:2]) + m(o[:2], n) for k, o in enumerate(options.get(seq[i], [])) if not buses._spike(p, o[:2], n)}
+            if wrong and score:
+                state[seq[i]] = [*options[seq[i]][min(score, key=lambda k: (score[k], k))], "moved"]
+            elif wrong and not end:
+                state[seq[i]][3] = "dropped"
+                seq.pop(i)
+                continue
+            i += 1
+    return {s: tuple(v) for s, v in state.items()}
+
+
+def test_repair_in_rounds_equals_one_pattern_at_a_time(spark):
+    rnd = random.Random(12)
+    rows, want, options = [], {}, {}
+    for s in range(60):
+        options[f"s{s}"] = [(35.0 + rnd.random() / 50, 139.0 + rnd.random() / 50, f"o{k}") for k in range(rnd.randrange(3))]
+    for feed in ("f", "g", "h"):
+        where = {f"s{s}": (35.0 + rnd.random() / 50 + (rnd.random() < 0.25) * 0.3, 139.0 + rnd.random() / 50) for s in range(60)}
+        visits = [(p, i, s, *where[s], "osm") for p in range(14) for i, s in enumerate(rnd.sample(sorted(where), rnd.randrange(1, 8)))]
+        rows += [(feed, *v) for v in visits]
+        want |= {(feed, s): v for s, v in in_turn(visits, options).items()}
+    table = spark.createDataFrame(rows, "feed_id string, p_ord int, i int, stop string, lat double, lon double, source string")
+    listed = spark.createDataFrame([(s, k, *o) for s, of in options.items() for k, o in enumerate(of)], "stop string, rank int, lat double, lon double, source string")
+    got = {(r["feed_id"], r["stop"]): (r["lat"], r["lon"], r["source"], r["outcome"]) for r in buses.repaired(table, listed).collect()}
+    assert got == want and {v[3] for v in want.values()} == {"kept", "moved", "dropped"}
+
+
+def test_parts_of_one_name_are_stitched_apart(spark):
+    links = spark.createDataFrame([("a", i, i + 1) for i in range(50, 0, -1)] + [("a", 100, 101), ("b", 1, 100)], "k string, u long, v long")
+    roots = {(r["k"], r["node"]): r["root"] for r in rails.connected(links, ["k"]).collect()}
+    assert {roots["a", i] for i in range(1, 52)} == {1} and roots["a", 101] == 100 and roots["b", 100] == 1
+    rnd = random.Random(13)
+    ways = [[10 * (k % 4) + rnd.randrange(6), 100 + k, 10 * (k % 4) + rnd.randrange(6)] for k in range(40)]
+    table = spark.createDataFrame([(k, k, w, {"railway": "rail", "name": "L"}) for k, w in enumerate(ways)], "way int, ord int, refs array<long>, tags map<string,string>")
+    nodes = spark.createDataFrame([(n, 35.0 + n / 1000, 139.0) for n in {n for w in ways for n in w}], "node long, lat double, lon double")
+    got = {r["chain"]: [round((p["lat"] - 35) * 1000) for p in r["line"]] for r in rails.rail_lines(table, nodes).collect()}
+    assert [got[c] for c in sorted(got)] == greedy(ways)
+
+
 def test_holidays_coordinates_and_files(spark, tmp_path):
     lines = spark.createDataFrame([("﻿国民の祝日,名",), ("2024/1/1,元日",), ("2024/2/30,x",), ("2025/1/1,y",), ("",)], "value string")
     assert [str(r["day"]) for r in buses.holidays(lines, "2024-01-01", "2024-12-31").collect()] == ["2024-01-01"]
