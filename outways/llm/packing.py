@@ -162,8 +162,8 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int) -> list[l
     documents with bins whose turn is still to come: a document moves over; one goes for a longer
     one, or two for a longer one; one or none comes back for two. What a bin gives goes to a bin it took
     from, where it fits. A turn takes the exchange that fills most of the bin's room until there
-    is none. Every exchange moves length from an emptier to a fuller bin, so the sum of squared
-    fills rises, bins run empty and are gone, and a sweep without an exchange ends the search.
+    is none. Only exchanges that raise the sum of squared fills are taken, so the search ends: with a
+    sweep that finds none. Bins that have run empty by then are gone.
     """
     bins = [list(b) for b in bins if b]
     while True:
@@ -201,30 +201,38 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int) -> list[l
 def _best_exchange(own: list[int], room: int, stock: Lengths, home: dict[int, int], fill: list[int], lengths: list[int]) -> tuple[list[int], list[int], int] | None:
     """(items to take, items to give, bin to give to) that fills most of a bin's room."""
     gain, best = 0, None
+    filled = stock.capacity - room
     by_length = {lengths[i]: i for i in own}
     singles = [(0, []), *((n, [i]) for n, i in by_length.items())]
     twos = [(lengths[x] + lengths[y], [x, y]) for k, x in enumerate(own) for y in own[k + 1 :]]
     for given, items in [*singles, *sorted(twos, key=lambda t: t[0])]:
-        n = stock.largest(given + gain + 1, min(given + room, stock.capacity))
-        if n is not None:
-            taken = stock.last(n)
-            gain, best = n - given, ([taken], items, home[taken])
-            if gain == room:
-                return best
+        high = min(given + room, stock.capacity)
+        while (n := stock.largest(given + gain + 1, high)) is not None:
+            # What moves is n - given; the squares rise if this bin gets fuller than the other was.
+            item = next((i for i in reversed(stock.at[n]) if fill[home[i]] < filled + n - given), None)
+            if item is not None:
+                gain, best = n - given, ([item], items, home[item])
+                break
+            high = n - 1
+        if gain == room:
+            return best
     for given, items in singles:
         low = given + gain + 1
         high = given + room
         while low <= high and (two := stock.pair(low, high)):
             first = stock.last(two[1])
             second = stock.last(two[0], first)
-            givers = {home[i]: fill[home[i]] for i in (first, second)}
+            left = {home[i]: fill[home[i]] for i in (first, second)}
             for i in (first, second):
-                givers[home[i]] -= lengths[i]
-            giver = next((b for b, left in givers.items() if left + given <= stock.capacity), None)
-            if giver is None:
-                high = sum(two) - 1  # the given one fits in neither: a smaller pair
+                left[home[i]] -= lengths[i]
+            giver = next((b for b, held in left.items() if held + given <= stock.capacity), None)
+            more = sum(two) - given
+            if giver is not None:
+                left[giver] += given
+            if giver is None or (filled + more) ** 2 - filled**2 + sum(held**2 - fill[b] ** 2 for b, held in left.items()) <= 0:
+                high = sum(two) - 1  # the given one fits in neither, or the squares would fall: a smaller pair
                 continue
-            gain, best = sum(two) - given, ([first, second], items, giver)
+            gain, best = more, ([first, second], items, giver)
             break
         if gain == room:
             break

@@ -38,6 +38,30 @@ def test_search_saves_bins_on_lengths_that_fit_badly(low, high):
     assert len(better) < len(first) and energy(better) > energy(first)
 
 
+def test_every_exchange_raises_the_sum_of_squares(monkeypatch):
+    seen, plain = [], packing._best_exchange
+
+    def watched(own, room, stock, home, fill, lengths):
+        seen.append(sum(f * f for f in fill))
+        found = plain(own, room, stock, home, fill, lengths)
+        if found is None:
+            seen.append(None)
+        return found
+
+    monkeypatch.setattr(packing, "_best_exchange", watched)
+    rnd = random.Random(9)
+    for _ in range(60):
+        low = rnd.randrange(10, 900)
+        lengths = [rnd.randint(low, rnd.randint(low + 1, 2047)) for _ in range(rnd.randrange(2, 160))]
+        seen.clear()
+        bins = packing.improved(packing.best_fit(lengths, 2048), lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+        # Between two looks at the fills lies one exchange, unless the first look found none.
+        for before, after in zip(seen, seen[1:]):
+            if before is not None and after is not None:
+                assert after > before
+
+
 @pytest.mark.parametrize(
     ("lengths", "bins", "left"),
     [
