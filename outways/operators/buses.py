@@ -156,8 +156,8 @@ def repaired(visits: DataFrame, candidates: DataFrame, cut=None) -> DataFrame:
     dropped where none helps; a stop at an end only moves, where the next is too far. A stop that one pattern
     changed is seen so by the later ones of its feed.
 
-    Patterns hang together by shared stops alone, so all that no earlier pattern can still touch are mended in the
-    same round, each in a task of its own; patterns in order before a feed's first faulty one need nothing. There are
+    Patterns hang together by shared stops alone, so all that no earlier pattern can still touch are done in the
+    same round, each a group of its own; patterns in order before a feed's first faulty one need nothing. There are
     at most as many rounds as a feed has faulty patterns.
     """
     cut = cut or (lambda df: df.checkpoint())
@@ -182,15 +182,15 @@ def repaired(visits: DataFrame, candidates: DataFrame, cut=None) -> DataFrame:
         if not faulty.limit(1).count():
             return state
         first = faulty.groupBy("feed_id").agg(F.min("p_ord").alias("first"))
-        waiting = cut(waiting.join(first, "feed_id").filter(F.col("p_ord") >= F.col("first")).drop("first"))
-        foremost = F.min("p_ord").over(Window.partitionBy("feed_id", "stop"))
-        free = waiting.withColumn("__f", foremost == F.col("p_ord")).groupBy("feed_id", "p_ord").agg(F.min("__f").alias("free")).filter("free").drop("free")
-        turn = cut(free.join(faulty, ["feed_id", "p_ord"], "left_semi"))
-        news = cut(seen.join(turn, ["feed_id", "p_ord"], "left_semi").join(known, "stop", "left").groupBy("feed_id", "p_ord").applyInPandas(mend, schema))
+        foremost = F.min("p_ord").over(Window.partitionBy("feed_id", "stop")) == F.col("p_ord")
+        left = waiting.join(first, "feed_id").filter(F.col("p_ord") >= F.col("first")).drop("first").withColumn("foremost", foremost)
+        waiting = cut(left.withColumn("free", F.min("foremost").over(Window.partitionBy("feed_id", "p_ord"))).drop("foremost"))
+        turn = waiting.filter("free").select("feed_id", "p_ord").distinct().join(faulty, ["feed_id", "p_ord"], "left_semi")
+        news = seen.join(turn, ["feed_id", "p_ord"], "left_semi").join(known, "stop", "left").groupBy("feed_id", "p_ord").applyInPandas(mend, schema)
         moved = F.col("n_outcome") == "moved"
         now = {c: F.when(moved, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "source")}
         state = cut(state.join(news, ["feed_id", "stop"], "left").select("feed_id", "stop", *[x.alias(c) for c, x in now.items()], F.coalesce("n_outcome", "outcome").alias("outcome")))
-        waiting = waiting.join(turn, ["feed_id", "p_ord"], "left_anti")
+        waiting = waiting.filter("not free").drop("free")
 
 
 def holidays(lines: DataFrame, start: str, end: str) -> DataFrame:
