@@ -10,11 +10,14 @@ has two hashes:
 
 A text hash may delete anywhere; within ``article`` or ``main`` only lists, tables, figures and blocks
 with a link or a form's control, counted once per different article, so that sentences which
-many articles share stay. A shape hash deletes only outside the article, and on pages without one
-only blocks whose whole text is links; no subtree that holds an article is ever a template.
+many articles share stay. A shape hash says nothing of the text, so it deletes only outside the article, only
+blocks that are short or hold no more text than the page's articles do (what a page says at length is its own), and on pages
+without an article only blocks whose whole text is links; no subtree that holds an article is ever a template.
 
 What counting cannot know (hosts of few pages, boxes met once) is left to the elements' names:
-``NAMING`` tags and ``BOILERPLATE`` classes go as well, and scripts and the like (``UNSEEN``) always do. Of the rest the article is taken, or the body
+``NAMING`` tags and ``BOILERPLATE`` classes go as well, inside an article only where the name is a whole class and
+the element has a link or a form's control or is named by one of the ``SURE`` words, and scripts and the like
+(``UNSEEN``) always do. Of the rest the article is taken, or the body
 where a page has no article or the article holds little of what is left.
 
 Pages are parsed twice, once to count and once to extract, and their html is never shuffled unless
@@ -45,6 +48,8 @@ from outways.llm.store import written
 LEAST_PAGES = 5
 #: An article with a smaller share of the page's remaining characters isn't the page's text.
 LEAST_ARTICLE = 0.25
+#: A recurring shape beside an article goes with up to so many characters, or with as many as the article has.
+SHORT_BOX = 140
 #: Up to so many templates (8 bytes each) are sent to every task; beyond, deletions are joined by page.
 BROADCAST_TEMPLATES = 4_000_000
 
@@ -53,6 +58,8 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?
 TAG_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"([^\s=>/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 DIGITS = re.compile(r"\d+")
+#: A slash before the end of a tag that isn't the end of an unquoted value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noframes".split())
@@ -79,6 +86,8 @@ WORDS = (
 BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?:{WORDS})(?:$|[\s_-])", re.I)
 #: The same as one whole class, which names an article or main as well.
 BOILERPLATE_CLASS = re.compile(rf"(?:^|\s)(?:{WORDS})(?:$|\s)", re.I)
+#: Words that name no part of an article, whatever stands in it.
+SURE = re.compile(r"(?:^|\s)(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|masthead|footer|sidebar|cookie|cookies|consent|notices|popup|modal|overlay|subscribe|newsletter|signup|share|sharing|comment|comments|respond|pagination|pager|widget|toolbar|login|copyright|skip-link)(?:$|\s)", re.I)
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 OPEN, TEXT, CLOSE = 0, 1, 2
 
@@ -154,7 +163,7 @@ class Page:
             self.sources.append(source)
             self.attributes.append(attributes_of(source) if source else {})
             events.append((OPEN, element))
-            if tag in VOID or source.endswith("/"):
+            if tag in VOID or SELF_CLOSED.search(source):
                 events.append((CLOSE, element))
                 continue
             if tag in RAW:
@@ -173,8 +182,21 @@ class Page:
         close(1)
         events.append((CLOSE, 0))
 
-    def named(self, element: int) -> bool:
-        """Whether the element's tag or attributes say that it isn't the article's."""
+    def linking(self) -> list[bool]:
+        """Whether each element has a link or a form's control in it."""
+        found, stack = [tag in LINKING for tag in self.tags], []
+        for kind, what in self.events:
+            if kind == OPEN:
+                stack.append(what)
+            elif kind == CLOSE:
+                stack.pop()
+                if found[what] and stack:
+                    found[stack[-1]] = True
+        return found
+
+    def named(self, element: int, inside: bool = False, linked: bool = True) -> bool:
+        """Whether the element's tag or attributes say that it isn't the article's; ``inside`` an article, and
+        whether it is ``linked``."""
         tag, attributes = self.tags[element], self.attributes[element]
         if tag in NAMING:
             return True
@@ -182,7 +204,9 @@ class Page:
             return False
         if "hidden" in attributes or HIDING.search(attributes.get("style", "")):
             return True
-        words = BOILERPLATE_CLASS if tag in ("article", "main") else BOILERPLATE
+        words = BOILERPLATE_CLASS if inside or tag in ("article", "main") else BOILERPLATE
+        if inside and not linked:
+            words = SURE
         return tag not in HEADINGS and any(words.search(attributes.get(key, "")) for key in ("class", "id", "role"))
 
 
@@ -197,6 +221,7 @@ def subtree_hashes(page: Page) -> list[tuple[int, int, int]]:
     tags = page.tags
     inside, linked, plain = [0] * len(tags), [False] * len(tags), [False] * len(tags)  # plain: text outside of links
     holds = [False] * len(tags)  # an article or main
+    chars = [0] * len(tags)  # of text, white space left out
     text_hash: list[int] = [0] * len(tags)
     shape_hash: list[int] = [0] * len(tags)
     parts: list[list] = []
@@ -207,6 +232,8 @@ def subtree_hashes(page: Page) -> list[tuple[int, int, int]]:
             words = what.split()
             if words:
                 parts[-1].append(" ".join(words))
+                if tags[stack[-1]] not in UNSEEN:
+                    chars[stack[-1]] += sum(map(len, words))
                 plain[stack[-1]] = plain[stack[-1]] or tags[stack[-1]] not in RAW
         elif kind == OPEN:
             own = tags[what] in ("article", "main")
@@ -226,13 +253,14 @@ def subtree_hashes(page: Page) -> list[tuple[int, int, int]]:
             if stack:
                 outer = stack[-1]
                 parts[-1].append(text_hash[what])
+                chars[outer] += chars[what]
                 if len(shapes[-1]) == 2 or shapes[-1][-1] != shape_hash[what]:
                     shapes[-1].append(shape_hash[what])
                 linked[outer] = linked[outer] or linked[what]
                 plain[outer] = plain[outer] or (plain[what] and tag != "a")
                 holds[outer] = holds[outer] or holds[what]
     found = []
-    has_article = holds[0]
+    article_chars = max(SHORT_BOX, sum(chars[i] for i, tag in enumerate(tags) if tag in ("article", "main") and not inside[i]))
     for i, tag in enumerate(tags):
         if holds[i] or tag in WHOLE or tag in VOID or tag not in BLOCKS:
             continue
@@ -241,7 +269,7 @@ def subtree_hashes(page: Page) -> list[tuple[int, int, int]]:
                 found.append((i, text_hash[i], text_hash[inside[i]]))
             continue
         found.append((i, text_hash[i], text_hash[0]))
-        if has_article or (linked[i] and not plain[i]):
+        if (holds[0] and chars[i] <= article_chars) or (linked[i] and not plain[i]):
             found.append((i, shape_hash[i], text_hash[0]))
     return found
 
@@ -251,6 +279,7 @@ def blocks(page: Page, deleted: Callable[[int], bool] = lambda element: False, b
     everything: list[tuple[bool, str]] = []  # (in an article, text)
     open_text: list[str] = []
     skipped, depth, articles = 0, 0, 0
+    linked = page.linking()
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(open_text)).split())
@@ -265,7 +294,7 @@ def blocks(page: Page, deleted: Callable[[int], bool] = lambda element: False, b
             continue
         tag = page.tags[what]
         if kind == OPEN:
-            if skipped or tag in UNSEEN or deleted(what) or (by_name and page.named(what)):
+            if skipped or tag in UNSEEN or deleted(what) or (by_name and page.named(what, depth > 0, linked[what])):
                 if not skipped and tag in BLOCKS:
                     end()
                 skipped += 1

@@ -56,3 +56,34 @@ def test_pages_of_one_id_keep_their_own_deletions(spark):
     rows = [(7, f"http://h.org/{i}", f"<div><a href='/'>home</a></div><p>own {i}</p>") for i in range(6)] + [(7, "http://h.org/x", "<p>x</p><div><a href='/'>homely</a></div>")]
     got = sorted(r["text"] for r in site_templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast=0).collect())
     assert got == [*[f"own {i}" for i in range(6)], "x"]
+
+
+def _texts(spark, pages):
+    rows = spark.createDataFrame([(i, f"https://host.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in site_templates.extracted(rows).collect()}
+
+
+def test_a_long_text_beside_a_short_article_stays(spark):
+    body = lambda i: f"<html><body><nav><a href=/>home</a></nav><div class='post-body'><p>{' '.join(f'word{i}x{k}' for k in range(60))}</p></div><article class='card'><p>teaser {i}</p></article></body></html>"
+    for pages in (4, 6, 9):
+        got = _texts(spark, [body(i) for i in range(pages)])
+        assert all(f"word{i}x59" in got[i] for i in range(pages)) and not any("home" in t for t in got.values())
+
+
+def test_boxes_of_changing_words_beside_a_long_article_go(spark):
+    page = lambda i: f"<html><body><div class='hint'><p>tip {i} of the day {i * 7}</p></div><article><p>{' '.join(f'w{i}n{k}' for k in range(40))}</p></article></body></html>"
+    got = _texts(spark, [page(i) for i in range(7)])
+    assert all("tip" not in t and f"w{i}n39" in t for i, t in got.items())
+
+
+def test_sections_of_an_article_stay_whatever_their_name(spark):
+    parts = "<section id='discussion'><h2>Discussion</h2><p>long words</p></section><div class='related-work'><p>earlier work</p></div><p class='notice'>take care</p><div class='social-history'><p>of a town</p></div>"
+    gone = "<div class='comments'><p>nice</p></div><div class='related'><a href=/x>more</a></div><div class='newsletter'>join</div>"
+    (text,) = _texts(spark, [f"<html><body><article data-u=/x/><p>start</p>{parts}{gone}</article></body></html>"]).values()
+    assert text == "start\n\nDiscussion\n\nlong words\n\nearlier work\n\ntake care\n\nof a town"
+
+
+def test_only_a_slash_of_its_own_closes_a_tag():
+    page = site_templates.Page("<div data-u=/x/>in</div><div data-u='/x/'/>out<br/>")
+    opened = [page.tags[w] for k, w in page.events if k == site_templates.OPEN]
+    assert opened == ["#root", "div", "div", "br"] and page.events[2:4] == [(site_templates.TEXT, "in"), (site_templates.CLOSE, 1)] and page.events[5] == (site_templates.CLOSE, 2)
