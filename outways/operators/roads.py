@@ -99,8 +99,9 @@ def shortest(
     ``keep``: a condition on an offer (cost, the arc's other columns, and the columns ``carry`` that each source
     hands on along its ways); offers that fail it are dropped, see ``goal_bounds``.
 
-    Of several cheapest ways the predecessor with the smallest id is named; over an arc of cost 0 that of the
-    round in which the cost was found, so that predecessors never form a circle.
+    A small frontier goes two arcs a round. Of several cheapest ways the predecessor with the smallest id is named;
+    over an arc of cost 0 that of the round and step in which the cost was found, so that predecessors never
+    form a circle.
     """
     cut = cut or (lambda df: df.checkpoint())
     limit = F.lit(float("inf") if budget is None else float(budget))
@@ -128,13 +129,23 @@ def shortest(
             n = frontier.count()
         if not n:
             break
-        moving = frontier.select(*by, F.col("node").alias("a"), "cost", *carry)
-        met = arcs.join(F.broadcast(moving) if n <= SMALL_ROWS else moving, "a").withColumn("cost", F.col("cost") + F.col("step")).filter(F.col("cost") <= limit)
-        if keep is not None:
-            met = met.filter(keep)
-        offered = met.select(*by, F.col("b").alias("node"), "cost", F.col("a").alias("pred"), *carry).groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"), *handed)
-        offered = offered.select(*keys, "o.cost", "o.pred", *carry)
-        known = _current(parts, keys, offered if n * fan <= SMALL_ROWS < sum(sizes) else None)
+        small = n * fan <= SMALL_ROWS
+
+        def offers(of: DataFrame, bounded: bool) -> DataFrame:
+            moving = of.select(*by, F.col("node").alias("a"), "cost", *carry)
+            met = arcs.join(F.broadcast(moving) if bounded else moving, "a").withColumn("cost", F.col("cost") + F.col("step")).filter(F.col("cost") <= limit)
+            if keep is not None:
+                met = met.filter(keep)
+            found = met.select(*by, F.col("b").alias("node"), "cost", F.col("a").alias("pred"), *carry).groupBy(*keys).agg(F.min(F.struct("cost", "pred")).alias("o"), *handed)
+            return found.select(*keys, "o.cost", "o.pred", *carry)
+
+        offered = offers(frontier, n <= SMALL_ROWS)
+        if small and delta is None:
+            # What so few rows can offer is bounded too: it goes on at once, in the same round. At equal cost the nearer wins.
+            hop = lambda of, i: of.withColumn("hop", F.lit(i))
+            both = hop(offered, 0).unionByName(hop(offers(offered, True), 1)).groupBy(*keys).agg(F.min(F.struct("cost", "hop", "pred")).alias("o"), *handed)
+            offered = both.select(*keys, "o.cost", "o.pred", *carry)
+        known = _current(parts, keys, offered if small and n * fan * fan <= SMALL_ROWS < sum(sizes) else None)
         better = cut(offered.join(known, keys, "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known"))
         parts.append(better)
         fresh = better.count()

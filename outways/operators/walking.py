@@ -68,7 +68,7 @@ def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float
         starts = near.nearest(origins.select("origin", F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon")), usable, metres, "origin", "node", k)
         ends = cut(near.nearest(goals.select("goal", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon")), usable, metres, "goal", "node", k))
         starts = cut(starts.filter(F.col("rank") <= tries).select("origin", F.col("node").alias("start"), "rank"))
-        for guess in GUESSES if marks is not None else (None,):
+        for guess in GUESSES if marks is not None and not turn else (None,):
             asked = left.withColumn("origin", F.struct("o_lat", "o_lon")).withColumn("goal", F.struct("d_lat", "d_lon")).join(starts, "origin")
             sources = asked.select("start", F.col("start").alias("node")).distinct().withColumn("cost", F.lit(0.0))
             met = asked.join(ends.withColumnRenamed("metres", "snap").drop("rank"), "goal").withColumn("extra", F.col("snap") / speed * 60)
