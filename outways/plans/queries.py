@@ -546,19 +546,16 @@ for _name, _profile, _mode in (("edge_cost_walk", MODES["walk"], "walk"), ("edge
 BUDGET = 900
 
 
-def costed_edges(spark, sf_dir, profile: Profile = MODES["walk"], mode: str = "walk") -> DataFrame:
+def costed_edges(spark, sf_dir) -> DataFrame:
     """Edges with whole seconds; tags are read once, not for each rule that asks for one."""
     edges = cut(road_edges(spark, sf_dir).select("a", "b", "length", "highway", "packed", "attrs", "walk", "bike", "car", "lev_diff", "width_code", "vtcl_slope", "roof", "to_tags"))
-    cost = F.ceil(roads.edge_seconds(profile, mode)).cast("double")
+    cost = F.ceil(roads.edge_seconds(MODES["walk"])).cast("double")
     return edges.select("a", "b", cost.alias("cost"), "length", "highway", "packed", "attrs")
 
 
-def arcs(spark, sf_dir, profile: Profile = MODES["walk"], mode: str = "walk") -> DataFrame:
-    """The edges both ways; all lead both ways but to cars."""
-    if mode == "car":
-        two_way = roads.both_ways(cut(road_edges(spark, sf_dir)))
-        return cut(two_way.select("a", "b", F.ceil(roads.edge_seconds(profile, mode)).cast("double").alias("cost"), "length", "highway", "packed", "attrs"))
-    costed = cut(costed_edges(spark, sf_dir, profile, mode))
+def arcs(spark, sf_dir) -> DataFrame:
+    """The edges both ways, as all lead both ways on foot."""
+    costed = cut(costed_edges(spark, sf_dir))
     return costed.union(costed.select(F.col("b").alias("a"), F.col("a").alias("b"), *costed.columns[2:]))
 
 
