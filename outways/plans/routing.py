@@ -85,36 +85,6 @@ def walk_route(spark, sf_dir):
     return ends.select("pair", "start", "node", F.col("cost").cast("int").alias("seconds"))
 
 
-def _place_pairs(spark, sf_dir) -> DataFrame:
-    """Each place with the next but one by number as its goal."""
-    at = pr.places(spark, sf_dir).select("place_id", "lat", "lon")
-    goal = at.select((F.col("place_id") - 2).alias("place_id"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
-    return at.join(goal, "place_id").select(F.col("place_id").alias("pair"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "d_lat", "d_lon")
-
-
-def _pairs_attempt_sql(i: int, metres: int, k: int, tries: int, pairs: str) -> tuple[str, ...]:
-    near = lambda side, keep: f"SELECT * FROM (SELECT p.pair, n.node, d, row_number() OVER (PARTITION BY p.pair ORDER BY d, n.node) AS rank FROM {pairs} p, usable n, LATERAL (SELECT {pr.haversine_sql(f'p.{side}_lat', f'p.{side}_lon', 'n.lat', 'n.lon')} AS d) WHERE d < {metres}) WHERE rank <= {keep}"
-    return (
-        f"p_starts{i} AS ({near('o', tries)})", _search_sql(f"p_search{i}", f"p_starts{i}", None), f"p_ends{i} AS ({near('d', k)})",
-        f"p_won{i} AS (SELECT pair, unnest(arg_min(struct_pack(start := s.start, node := e.node, cost := s.cost), struct_pack(total := s.cost + e.d / 80.0::DOUBLE * 60, rank := h.rank, node := e.node, start := s.start))) FROM p_starts{i} h JOIN p_ends{i} e USING (pair) JOIN p_search{i} s ON s.start = h.node AND s.node = e.node GROUP BY 1)",
-    )
-
-
-@q.query(
-    _routed(
-        "SELECT pair, start, node, CAST(trunc(cost) AS INT) AS seconds FROM (SELECT * FROM p_won1 UNION ALL SELECT * FROM p_won2)",
-        USABLE, "all_pairs AS (SELECT a.place_id AS pair, a.lat AS o_lat, a.lon AS o_lon, b.lat AS d_lat, b.lon AS d_lon FROM places a JOIN places b ON b.place_id = a.place_id + 2)",
-        *_pairs_attempt_sql(1, 400, 8, 2, "all_pairs"), "left_pairs AS (SELECT * FROM all_pairs ANTI JOIN p_won1 USING (pair))", *_pairs_attempt_sql(2, 800, 32, 6, "left_pairs"),
-        tables="edges nodes places",
-    )
-)
-def pair_routes(spark, sf_dir):
-    """The ways between many pairs of places, each search bounded by landmarks."""
-    nodes, arcs = q.cut(pr.nodes(spark, sf_dir)), q.cut(_node_arcs(spark, sf_dir))
-    ends, _ = walking.route_ends(_place_pairs(spark, sf_dir), nodes, arcs, SPEED, cut=q.cut, marks=roads.landmarks(nodes, arcs, cut=q.cut))
-    return ends.select("pair", "start", "node", F.col("cost").cast("int").alias("seconds"))
-
-
 GOAL_D = pr.haversine_sql(f"{GOAL_LAT}::DOUBLE", f"{GOAL_LON}::DOUBLE", "lat", "lon")
 EGRESS = f"egress AS (SELECT place_id, CAST(trunc(m * 1.3::DOUBLE / 80.0::DOUBLE * 60) AS INT) AS seconds FROM (SELECT place_id, {GOAL_D} AS m FROM places) WHERE m <= 1500 ORDER BY m, place_id LIMIT 30)"
 
