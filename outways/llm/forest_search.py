@@ -10,7 +10,7 @@ by their exact distance.
 The trees are the only thing on the driver: ``trees * 2**depth`` hyperplanes, at most
 ``2**MAX_DEPTH`` per tree. Vectors are dealt once, to chunks of bounded size with the numbers of their
 leaves; a query goes to each chunk with a bitmap of the leaves it opened, and meets there the
-vectors in these. Chunks are dealt by hash, so a leaf that a common vector fills is no hot group; each
+vectors in these; distances to these alone are computed. Chunks are dealt by hash, so a leaf that a common vector fills is no hot group; each
 hands on the best ``k`` of each query only.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
@@ -98,25 +98,33 @@ def opened(query: np.ndarray, trees: list, depth: int, sizes: np.ndarray, budget
     return found
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, met: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """The k nearest vectors of each query but its own, ties to the smaller id; of those that it ``met``
-    (queries by vectors), where given."""
-    rough = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * queries @ vectors.T
-    rough[query_ids[:, None] == ids[None]] = np.inf
-    if met is not None:
-        rough[~met] = np.inf
-    # Rounding in the products can't push a true one out of the k nearest by so much.
-    kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-    slack = 1e-9 * ((queries**2).sum(1) + (vectors**2).sum(1).max())
+def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(((vectors - query) ** 2).sum(1))
+
+
+def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, met: np.ndarray) -> list[tuple[int, int, float]]:
+    """The k nearest vectors of each query but its own, ties to the smaller id, of those that it ``met`` (queries by
+    vectors). No distance to another vector is computed."""
     found = []
-    for i in range(len(queries)):
-        near = np.flatnonzero((rough[i] <= kth[i] + slack[i]) & np.isfinite(rough[i]))
-        exact = np.sqrt(((vectors[near] - queries[i]) ** 2).sum(1))
-        order = np.lexsort((ids[near], exact))[:k]
-        found += [(int(query_ids[i]), int(ids[near[j]]), float(exact[j])) for j in order]
+    for i, query_id in enumerate(query_ids):
+        rows = np.flatnonzero(met[i] & (ids != query_id))
+        exact = distances(queries[i], vectors[rows])
+        if len(rows) > k:
+            near = np.flatnonzero(exact <= np.partition(exact, k - 1)[k - 1])
+            rows, exact = rows[near], exact[near]
+        order = np.lexsort((ids[rows], exact))[:k]
+        found += [(int(query_id), int(ids[rows[j]]), float(exact[j])) for j in order]
     return found
 
 
+def meetings(bits: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which vectors each query meets: those in a leaf that it opened. bits: queries by leaves; held: vectors by trees."""
+    met = np.zeros((len(bits), len(held)), bool)
+    for leaves in held.T:
+        met |= bits[:, leaves]
+    return met
+
+
 def usable(vectors: DataFrame, column: str) -> DataFrame:
     """(vec_id, v array<double>): the vectors that take part."""
     v = F.col(column).cast("array<double>")
@@ -185,10 +193,7 @@ def searched(
             bits = np.unpackbits(np.stack([np.frombuffer(b, "u1") for b in queries["bits"]]), axis=1)[:, : trees * width].astype(bool)
             for at in range(0, len(q), BATCH_QUERIES):
                 part = slice(at, at + BATCH_QUERIES)
-                met = np.zeros((len(q[part]), len(v)), bool)
-                for t in range(trees):
-                    met |= bits[part][:, held[:, t]]
-                found += nearest(q[part], query_ids[part], v, ids, k, met)
+                found += nearest(q[part], query_ids[part], v, ids, k, meetings(bits[part], held))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
