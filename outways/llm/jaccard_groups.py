@@ -48,6 +48,8 @@ COMMON_IN_TASK, COMMON_LEAST = 4, 16
 #: Tokens that a task counts at once.
 COUNT_TOKENS = 2_000_000
 CHUNK_SETS = 256
+#: Tokens that the sets of a chunk hold, and that the sets asking it in one part hold, on average; long texts make smaller chunks.
+CHUNK_TOKENS, PART_TOKENS = 512 * 1024, 1024 * 1024
 #: Up to so many ids (64 MB) choose texts by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 4_000_000
 
@@ -259,7 +261,7 @@ def families(shared: DataFrame) -> DataFrame:
 
 
 def opened_chunks(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(query, query_comp, grp, chunk): nodes and the chunks that the token-group matrix lets them open.
+    """(query, query_comp, query_n, grp, chunk): nodes and the chunks that the token-group matrix lets them open.
 
     groups: (node, n, comp, grp, size). A pair is tried once, from its larger node.
     """
@@ -270,7 +272,7 @@ def opened_chunks(shared: DataFrame, groups: DataFrame, percent: int) -> DataFra
     matrix = members.groupBy("token", "grp", "chunk").agg(*bounds)
     asking = members.select("token", F.col("node").alias("query"), F.col("n").alias("query_n"), F.col("comp").alias("query_comp"))
     fits = F.expr(f"first < query and not (comp_low = query_comp and comp_high = query_comp) and {percent} * low <= 100 * query_n and 100 * high >= {percent} * query_n")
-    return asking.join(matrix, "token").filter(fits).select("query", "query_comp", "grp", "chunk").distinct()
+    return asking.join(matrix, "token").filter(fits).select("query", "query_comp", "query_n", "grp", "chunk").distinct()
 
 
 def chunk_of() -> Column:
@@ -278,8 +280,9 @@ def chunk_of() -> Column:
 
 
 def in_parts(opened: DataFrame, held: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Held rows and queries by (grp, chunk, part): at most some 512 queries meet a chunk in one part."""
-    parts = opened.groupBy("grp", "chunk").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
+    """Held rows and queries by (grp, chunk, part): at most some 512 queries, of some PART_TOKENS together, meet a
+    chunk in one part."""
+    parts = opened.groupBy("grp", "chunk").agg(F.ceil(F.greatest(F.count("*") / 512, F.sum("query_n") / PART_TOKENS)).cast("int").alias("parts"))
     held = held.join(parts, ["grp", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     queries = queries.join(parts, ["grp", "chunk"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
     # Aliases: both sides come from the same tables.
@@ -290,7 +293,7 @@ def surviving(opened: DataFrame, groups: DataFrame, nodes: DataFrame, percent: i
     """(query, query_comp, grp, chunk, node, comp): pairs in opened chunks that the parity bound lets link."""
     wanted = opened.select("grp", "chunk").distinct()
     held = groups.withColumn("chunk", chunk_of()).join(wanted, ["grp", "chunk"], "left_semi").select("node", "comp", "grp", "chunk").join(nodes.select("node", "n", "bits"), "node")
-    queries = opened.join(nodes.select(F.col("node").alias("query"), "n", "bits"), "query")
+    queries = opened.drop("query_n").join(nodes.select(F.col("node").alias("query"), "n", "bits"), "query")
 
     def folded(words: np.ndarray) -> np.ndarray:
         half = words.shape[-1] // 2
@@ -334,8 +337,8 @@ def surviving(opened: DataFrame, groups: DataFrame, nodes: DataFrame, percent: i
 def group_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between components, from surviving pairs' texts compared exactly."""
     held = pairs.select("grp", "chunk", "node", "comp").distinct().join(sets.select("node", "tokens"), "node")
-    opened = pairs.select("grp", "chunk", "query", "query_comp").distinct()
-    queries = opened.join(sets.select(F.col("node").alias("query"), "tokens"), "query")
+    opened = pairs.select("grp", "chunk", "query", "query_comp").distinct().join(sets.select(F.col("node").alias("query"), F.col("n").alias("query_n")), "query")
+    queries = opened.drop("query_n").join(sets.select(F.col("node").alias("query"), "tokens"), "query")
 
     def compare(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple] = set()
@@ -377,7 +380,8 @@ def rooted(documents: DataFrame, width: int, percent: int) -> DataFrame:
     labels = components(written(pivot_links(best, sets, percent), "star-links"))
     grouped = nodes.select("node", "n").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").join(families(shared), "node")
     grouped = grouped.select("node", "n", F.coalesce("label", "node").alias("comp"), "grp")
-    counts = grouped.groupBy("grp").agg(F.count("*").alias("size"))
+    # The number of sets, or of sets' worth of tokens where these are long.
+    counts = grouped.groupBy("grp").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / (CHUNK_TOKENS // CHUNK_SETS))).alias("size"))
     groups = written(grouped.join(counts, "grp").select("node", "n", "comp", "grp", "size"), "groups")
     opened = written(opened_chunks(shared, groups, percent), "opened")
     pairs = written(surviving(opened, groups, nodes, percent), "surviving")
