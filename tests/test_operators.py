@@ -1,5 +1,7 @@
 """Operators on small tables: spots, joins, timetables, roads, pages and feeds."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,20 @@ def test_nearest_is_strict_and_breaks_ties_by_key(spark):
     assert near.nearest(left, right, limit, "l", "r").count() == 0
 
 
+def test_copies_at_a_spot_are_met_once(spark):
+    at = ["CAST(35 + (id % 3) * 0.001 AS DOUBLE) AS lat", "CAST(139 AS DOUBLE) AS lon"]
+    left, right = spark.range(300).selectExpr("id AS l", *at), spark.range(600).selectExpr("id AS r", *at)
+    assert near._spot_pairs(left, right, 120.0, True, None).count() == 7
+    assert near.within_metres(left, right, 120.0).count() == 7 * 100 * 200
+    first = near.nearest(left, right, 120.0, "l", "r").collect()
+    assert len(first) == 300 and all(x["r"] == x["l"] % 3 and x["metres"] == 0 for x in first)
+    some = near.nearest(left, right, 120.0, "l", "r", 4).collect()
+    assert len(some) == 1200 and all(x["r"] == x["l"] % 3 + 3 * (x["rank"] - 1) for x in some)
+    # A key at two spots has the nearest of both.
+    twice = spark.createDataFrame([(1, 35.0, 139.0), (1, 35.002, 139.0)], "l int, lat double, lon double")
+    assert [(x["r"], x["rank"]) for x in near.nearest(twice, right.filter("r > 3"), 50.0, "l", "r", 2).orderBy("rank").collect()] == [(5, 1), (6, 2)]
+
+
 def test_clusters_stay_near_their_first_stop(spark):
     stops = spark.createDataFrame([("a", "N", 35.0, 139.0, 1), ("b", "N", 35.0004, 139.0, 2), ("c", "N", 35.0008, 139.0, 3), ("d", "M", 35.0, 139.0, 4)], "stop_id string, name string, lat double, lon double, ord int")
     got = {r["stop_id"]: r["place_id"] for r in entity.place_clusters(stops).collect()}
@@ -106,6 +122,36 @@ def test_merge_takes_open_coordinates_and_the_better_kind(spark):
     assert (one["name"], one["facility_type"], one["lat"], one["toilet"], one["age_max"], one["also_types"], one["also_in"]) == ("児童館K", "児童館・児童センター", 35.001, True, 20, ["おむつ替えのできるトイレ"], [2])
 
 
+def test_merge_of_many_of_one_name_equals_plain_order(spark):
+    import random
+
+    pick, rank = random.Random(3), {k: i for i, k in enumerate(entity.KIND_PRIORITY)}
+    rows = [(i, i, "k", f"n{i}", pick.choice(["公園", "図書館", None, "イベント"]), 35 + pick.randrange(60) * 0.0028, 139 + pick.randrange(60) * 0.0028, pick.randrange(3), pick.random() < 0.3, False, 0, 9) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "id int, ord int, key string, name string, facility_type string, lat double, lon double, richness int, hand boolean, toilet boolean, age_min int, age_max int")
+    reach, kept = lambda k: 0.004 if k in ("公園", "イベント") else 0.014, []
+    for i, _, _, _, kind, lat, lon, _, hand, *_ in sorted(rows, key=lambda r: (-r[7], r[1])):
+        into = next((k for k in kept if math.hypot(k[1] - lat, k[2] - lon) < max(reach(k[0]), reach(kind))), None)
+        if into is None:
+            kept.append([kind, lat, lon, hand, i, []])
+            continue
+        if into[3] and not hand:
+            into[1:3] = lat, lon
+        kinds = [k for k in (into[0], kind) if k]
+        into[0] = min(kinds, key=lambda k: rank[k]) if kinds else None
+        into[5].append(i)
+    got = {r["id"]: (r["facility_type"], r["lat"], r["lon"], r["also_in"]) for r in entity.merged_spots(frame).collect()}
+    assert len(kept) > 64 and got == {k[4]: (k[0], k[1], k[2], k[5]) for k in kept}
+
+
+def test_copies_of_spots_and_pages_have_one_page(spark):
+    from outways.operators import details
+
+    named = spark.createDataFrame([(i, ["A", "B", "C"][i % 3], 35.0, 139.0) for i in range(60)] + [(90, "A", None, None)], "id int, name string, lat double, lon double")
+    pages = spark.createDataFrame([(100 + i, "A", 35.01, 139.0, 1) for i in range(30)] + [(200 + i, "A", None, None, 0 if i else 2) for i in range(9)] + [(300 + i, "big C house", 35.001, 139.0, 5) for i in range(20)], "page int, title string, lat double, lon double, rank int")
+    got = {r["id"]: r["page"] for r in details.matched_pages(named, pages).collect()}
+    assert got == {i: 201 if i % 3 == 0 else 300 for i in range(60) if i % 3 != 1} | {90: 201}
+
+
 def test_exceptions_decide_over_the_calendar(spark):
     cal = spark.createDataFrame([("f", "s", 1, 1, 1, 1, 1, 0, 0, "20240101", "")], "feed_id string, service_id string, mon int, tue int, wed int, thu int, fri int, sat int, sun int, start_date string, end_date string")
     exc = spark.createDataFrame([("f", "s", "20240612", 1, 1), ("f", "s", "20240612", 2, 2), ("f", "x", "20240615", 1, 1)], "feed_id string, service_id string, date string, exception_type int, ord int")
