@@ -48,6 +48,20 @@ def test_best_pair_boards_before_it_alights(spark):
     assert (got["total"], got["board"], got["alight"]) == (7.0, 0, 1)
 
 
+def test_best_pair_makes_its_arrays_once(spark):
+    # With 20,000 segments an array that is made again for every index would take hours.
+    n = 20_000
+    metres = F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda i: F.abs(i - n // 2).cast("double"))
+    pair = geo.best_pair(metres, F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda i: F.abs(i - n // 4).cast("double")))
+    import threading
+
+    timer = threading.Timer(100, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    got = spark.range(n, n + 1).select(pair.alias("p")).collect()[0]["p"]
+    timer.cancel()
+    assert (got["total"], got["board"], got["alight"]) == (n / 4, n // 4, n // 4)
+
+
 @pytest.mark.parametrize(("text", "seconds"), [("25:10:05", 90605), ("9:00:00", 32400), ("9:00", None), ("a:b:c", None), ("", None), (None, None)])
 def test_to_seconds(spark, text, seconds):
     assert value(spark, clock.to_seconds(F.lit(text).cast("string"))) == seconds
