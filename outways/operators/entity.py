@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,20 +95,31 @@ def merged_spots(spots: DataFrame) -> DataFrame:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["richness", "ord"], ascending=[False, True])
         kept: list[dict] = []
+        # (lat, lon, reach) of the kept ones, in order.
+        at = np.empty((64, 3))
         for row in group[fields].to_dict("records"):
             row |= {"also_types": set(), "also_in": []}
-            into = next((k for k in kept if math.hypot(k["lat"] - row["lat"], k["lon"] - row["lon"]) < max(reach(k["facility_type"]), reach(row["facility_type"]))), None)
-            if into is None:
+            lat, lon, own = row["lat"], row["lon"], reach(row["facility_type"])
+            seen = at[: len(kept)]
+            # A little wide; those left are measured exactly.
+            maybe = np.flatnonzero((seen[:, 0] - lat) ** 2 + (seen[:, 1] - lon) ** 2 < np.maximum(seen[:, 2], own) ** 2 * (1 + 1e-9))
+            n = next((n for n in maybe.tolist() if math.hypot(kept[n]["lat"] - lat, kept[n]["lon"] - lon) < max(reach(kept[n]["facility_type"]), own)), None)
+            if n is None:
+                if len(kept) == len(at):
+                    at = np.concatenate([at, np.empty_like(at)])
+                at[len(kept)] = lat, lon, own
                 kept.append(row)
                 continue
+            into = kept[n]
             if into["hand"] and not row["hand"]:
-                into["lat"], into["lon"] = row["lat"], row["lon"]
+                into["lat"], into["lon"] = lat, lon
             kinds = [k for k in (into["facility_type"], row["facility_type"]) if k]
             head = min(kinds, key=lambda k: rank.get(k, len(rank))) if kinds else None
             if head != into["facility_type"]:
                 into["name"] = row["name"]
             into["also_types"] |= {k for k in kinds if k != head}
             into["facility_type"] = head
+            at[n] = into["lat"], into["lon"], reach(head)
             into["also_types"].discard(head)
             into["also_in"].append(row["id"])
             into["toilet"] = True if row["toilet"] is True else into["toilet"]
