@@ -150,6 +150,30 @@ def test_inside_a_station(spark):
         indoor.rooted(circle, max_rounds=4)
 
 
+def test_boarding_places_are_counted_without_a_row_each():
+    import random
+
+    pick = random.Random(5)
+    for size, arcs in ((12, 14), (40, 70), (60, 200)):
+        ways = {a: {} for a in range(size)}
+        for _ in range(arcs):
+            ways[pick.randrange(size)][pick.randrange(size)] = pick.randrange(1, 90) * 6 / 7
+        begun = [(n % 3, n) for n in range(0, size, 2)]
+        boards = [(n % 2, n, n // 4) for n in range(1, size, 2)]
+        for station, start, n in indoor.boards_reached([(a, b) for a, to in ways.items() for b in to], begun, boards):
+            cost, left = {start: 0.0}, [start]
+            while left:
+                at = left.pop()
+                for to, step in ways[at].items():
+                    if cost[at] + step < cost.get(to, 1e9):
+                        cost[to] = cost[at] + step
+                        left.append(to)
+            held = {(node, board) for s, node, board in boards if s == station and node in cost}
+            assert n == len({board for _, board in held})
+            if n:
+                assert indoor.soonest(ways, start, {node for s, node, _ in boards if s == station}) == min(cost[node] for node, _ in held)
+
+
 def test_journeys_of_a_morning(spark):
     times = [("f", "t1", 1, "A", None, 1000), ("f", "t1", 2, "B", None, 2000), ("f", "t2", 1, "A", None, 1500), ("f", "t2", 2, "B", None, 2100), ("f", "t3", 1, "B", None, 2200), ("f", "t3", 2, "C", None, 2500), ("f", "slow", 1, "A", None, 1000), ("f", "slow", 2, "C", None, 20_000)]
     stop_times = spark.createDataFrame(times, "feed_id string, trip_id string, seq int, place_id string, arr int, dep int")
