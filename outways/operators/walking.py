@@ -31,11 +31,13 @@ def reachable_points(origins: DataFrame, candidates: DataFrame, nodes: DataFrame
     origins: origin, lat, lon; candidates: candidate, lat, lon. The way from the origin to its node is
     free, that from a candidate's node is walked at ``PACE``.
     """
-    usable = roads.usable_nodes(nodes, arcs)
+    cut = cut or (lambda df: df.checkpoint())
+    arcs = roads.listed(arcs.select("a", "b", "cost"), cut)
+    usable = cut(roads.usable_nodes(nodes, roads.unlisted(arcs)))
     starts = near.nearest(origins, usable.select("node", "lat", "lon"), ATTEMPTS[0][0], "origin", "node").select("origin", F.col("node").alias("start"))
     ends = near.nearest(candidates, usable.select("node", "lat", "lon"), CANDIDATE_SNAP_M, "candidate", "node").select("candidate", "node", F.col("metres").alias("snap"))
     sources = starts.select("start", F.col("start").alias("node")).distinct().withColumn("cost", F.lit(0.0))
-    known = roads.shortest(arcs.select("a", "b", "cost"), sources, max_seconds, cut=cut, by=("start",))
+    known = roads.least_costs(arcs, sources, max_seconds, cut=cut, by=("start",))
     seconds = F.col("cost") + F.col("snap") / PACE * 60
     met = starts.join(known.select("start", "node", "cost"), "start").join(ends, "node").withColumn("total", seconds).filter(F.col("total") <= max_seconds)
     return met.select("origin", "candidate", F.col("total").cast("int").alias("seconds"))
@@ -59,8 +61,8 @@ def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float
     proven bound. Without ``marks`` a search goes everywhere within ``budget``.
     """
     cut = cut or (lambda df: df.checkpoint())
-    usable = cut(roads.usable_nodes(nodes, arcs).select("node", "lat", "lon"))
-    arcs = cut(arcs.select("a", "b", "cost"))
+    arcs = roads.listed(arcs.select("a", "b", "cost"), cut)
+    usable = cut(roads.usable_nodes(nodes, roads.unlisted(arcs)).select("node", "lat", "lon"))
     left, found, searches = cut(pairs), None, None
     for turn, (metres, k, tries) in enumerate(attempts):
         origins = left.select("o_lat", "o_lon").distinct().withColumn("origin", F.struct("o_lat", "o_lon"))
@@ -73,18 +75,19 @@ def route_ends(pairs: DataFrame, nodes: DataFrame, arcs: DataFrame, speed: float
             sources = asked.select("start", F.col("start").alias("node")).distinct().withColumn("cost", F.lit(0.0))
             met = asked.join(ends.withColumnRenamed("metres", "snap").drop("rank"), "goal").withColumn("extra", F.col("snap") / speed * 60)
             if marks is None:
-                known = roads.shortest(arcs, sources, budget, cut=cut, by=("start",))
+                known = roads.least_costs(arcs, sources, budget, cut=cut, by=("start",))
             else:
                 wanted = cut(met.select("pair", "start", "node", "extra"))
                 bounds = cut(roads.pair_bounds(wanted, marks, guess))
-                marked = arcs.join(marks.withColumnRenamed("node", "b"), "b", "left")
-                known = roads.shortest(marked, sources.join(roads.goal_bounds(wanted, bounds, marks), "start", "left"), budget, cut=cut, by=("start",), keep=roads.within_bounds(), carry=("ahead", "behind"))
+                marked = roads.unlisted(arcs).join(marks.withColumnRenamed("node", "b"), "b", "left")
+                known = roads.least_costs(marked, sources.join(roads.goal_bounds(wanted, bounds, marks), "start", "left"), budget, cut=cut, by=("start",), keep=roads.within_bounds(), carry=("ahead", "behind"))
             best = F.min(F.struct((F.col("cost") + F.col("extra")).alias("total"), "rank", "node", "start", "cost")).alias("b")
             won = met.join(known, ["start", "node"]).groupBy("pair").agg(best)
             if guess is not None:
                 won = won.join(bounds, "pair").filter(F.col("b.total") <= F.col("u"))
             won = cut(won.select("pair", "b.start", "b.node", "b.cost", F.lit(turn + 1).alias("attempt")))
             found = won if found is None else found.unionByName(won)
+            known = roads.with_preds(known, arcs, ("start",))
             searches = known if searches is None else searches.unionByName(known)
             left = cut(left.join(won, "pair", "left_anti"))
             if not left.limit(1).count():
