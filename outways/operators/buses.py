@@ -12,6 +12,8 @@ from outways.functions import names, shapes
 
 # How far an end stop may lie from the next one, in metres and against the pattern's usual hop.
 END_MIN_M, END_RATIO = 3000.0, 6.0
+#: Rows up to which the patterns or stops of a round are broadcast.
+SMALL_ROWS = 200_000
 # A feed's tables, their key and fields.
 TABLES = {
     "agency": (("agency_id",), ("agency_id", "agency_name", "agency_url", "agency_timezone", "agency_lang")),
@@ -83,20 +85,18 @@ def _spike(p, here, q) -> bool:
     return _metres(p, here) + _metres(here, q) > max(shapes.SPIKE_MIN_M, shapes.SPIKE_RATIO * _metres(p, q))
 
 
-def _faulty(seen: DataFrame) -> DataFrame:
-    """(feed_id, p_ord) of the patterns that a repair would change: with a detour, or an end far from the next stop.
-
-    seen: feed_id, p_ord, i, stop, lat, lon of the stops that still stand.
-    """
+def _faulty(stops: Column) -> Column:
+    """Whether a repair would change a pattern, given the array of its stops (lat, lon) that still stand: with a detour, or an
+    end far from the next stop."""
     from outways.functions import geo
 
-    at = seen.withColumn("pattern", F.struct("feed_id", "p_ord"))
-    detours = spikes(at).groupBy("pattern").agg(F.max("spike").alias("spike"), F.count("*").alias("n"))
-    order = Window.partitionBy("pattern").orderBy("i")
-    hops = at.withColumn("m", geo.haversine(F.col("lat"), F.col("lon"), F.lead("lat").over(order), F.lead("lon").over(order))).filter("m is not null")
-    ends = hops.groupBy("pattern").agg(F.greatest(F.min_by("m", "i"), F.max_by("m", "i")).alias("end"), F.greatest(F.lit(END_MIN_M), END_RATIO * shapes.upper_median(F.collect_list("m"))).alias("limit"))
-    found = detours.join(ends, "pattern").filter((F.col("n") >= 3) & (F.col("spike") | (F.col("end") > F.col("limit"))))
-    return found.select("pattern.feed_id", "pattern.p_ord")
+    at = lambda i: F.get(stops, i)
+    spike = F.exists(F.sequence(F.lit(1), F.size(stops) - 2), lambda i: F.coalesce(shapes.is_spike(at(i - 1), at(i), at(i + 1)), F.lit(False)))
+    metres = F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda i: geo.haversine(at(i - 1)["lat"], at(i - 1)["lon"], at(i)["lat"], at(i)["lon"]))
+    limit = lambda m: F.greatest(F.lit(END_MIN_M), END_RATIO * shapes.upper_median(m))
+    end = lambda m: F.greatest(F.get(m, F.lit(0)), F.get(m, F.size(m) - 1)) > limit(m)
+    far = shapes.bound(F.filter(metres, lambda m: m.isNotNull()), lambda m: (F.size(m) > 0) & end(m))
+    return F.when(F.size(stops) >= 3, spike | far).otherwise(F.lit(False))
 
 
 def _closest(options: list, fits, length) -> tuple | None:
@@ -156,41 +156,61 @@ def repaired(visits: DataFrame, candidates: DataFrame, cut=None) -> DataFrame:
     dropped where none helps; a stop at an end only moves, where the next is too far. A stop that one pattern
     changed is seen so by the later ones of its feed.
 
-    Patterns hang together by shared stops alone, so all that no earlier pattern can still touch are done in the
-    same round, each a group of its own; patterns in order before a feed's first faulty one need nothing. There are
-    at most as many rounds as a feed has faulty patterns.
+    Each pattern is repaired as if no other had changed a thing; then those that pass a stop which an earlier one changed
+    are repaired again with what they see of it, until nothing changes. What the first patterns do is right from the
+    start, so each round sets at least the next ones right, and only patterns after a change take part in it.
+    There are at most as many rounds as patterns follow from each other.
     """
     cut = cut or (lambda df: df.checkpoint())
-    visits = cut(visits)
+    at, keys, kind = ["feed_id", "stop"], ["feed_id", "p_ord"], dict(visits.dtypes)
+    small = lambda df, n: F.broadcast(df) if n <= SMALL_ROWS else df
     known = cut(candidates.groupBy("stop").agg(F.array_sort(F.collect_list(F.struct("rank", "lat", "lon", "source"))).alias("options")))
-    latest = F.max_by(F.struct("lat", "lon", "source"), F.struct("p_ord", "i")).alias("s")
-    state = cut(visits.groupBy("feed_id", "stop").agg(latest).select("feed_id", "stop", "s.*", F.lit("kept").alias("outcome")))
-    waiting = visits.select("feed_id", "p_ord", "i", "stop")
-    kind = dict(visits.dtypes)
-    schema = f"feed_id {kind['feed_id']}, stop {kind['stop']}, n_lat double, n_lon double, n_source string, n_outcome string"
-
-    def mend(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        at = {r.stop: (r.lat, r.lon) for r in group.itertuples()}
-        options = {r.stop: [(o["lat"], o["lon"], o["source"]) for o in r.options] for r in group.itertuples() if r.options is not None}
-        news = mended(group["stop"].tolist(), at, options)
-        return pd.DataFrame([(group["feed_id"].iloc[0], s, *(n or (None, None, None)), "moved" if n else "dropped") for s, n in news.items()], columns=["feed_id", "stop", "n_lat", "n_lon", "n_source", "n_outcome"])
-
-    while True:
-        seen = cut(waiting.join(state.filter("outcome <> 'dropped'"), ["feed_id", "stop"]))
-        faulty = cut(_faulty(seen))
-        if not faulty.limit(1).count():
-            return state
-        first = faulty.groupBy("feed_id").agg(F.min("p_ord").alias("first"))
-        foremost = F.min("p_ord").over(Window.partitionBy("feed_id", "stop")) == F.col("p_ord")
-        left = waiting.join(first, "feed_id").filter(F.col("p_ord") >= F.col("first")).drop("first").withColumn("foremost", foremost)
-        waiting = cut(left.withColumn("free", F.min("foremost").over(Window.partitionBy("feed_id", "p_ord"))).drop("foremost"))
-        turn = waiting.filter("free").select("feed_id", "p_ord").distinct().join(faulty, ["feed_id", "p_ord"], "left_semi")
-        news = seen.join(turn, ["feed_id", "p_ord"], "left_semi").join(known, "stop", "left").groupBy("feed_id", "p_ord").applyInPandas(mend, schema)
-        moved = F.col("n_outcome") == "moved"
-        now = {c: F.when(moved, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "source")}
-        state = cut(state.join(news, ["feed_id", "stop"], "left").select("feed_id", "stop", *[x.alias(c) for c, x in now.items()], F.coalesce("n_outcome", "outcome").alias("outcome")))
-        waiting = waiting.filter("not free").drop("free")
+    known = small(known, known.agg(F.coalesce(F.sum(F.size("options")), F.lit(0))).first()[0])
+    latest = F.max_by(F.struct("lat", "lon", "source"), F.struct("p_ord", "i")).over(Window.partitionBy(*at))
+    placed = cut(visits.select(*keys, "i", "stop", latest.alias("s")).select(*keys, "i", "stop", "s.*"))
+    passed = placed.drop("source").dropna(subset=["feed_id", "p_ord", "stop"])
+    schema = f"feed_id {kind['feed_id']}, p_ord {kind['p_ord']}, stop {kind['stop']}, lat double, lon double, source string, outcome string"
+
+    def mend(batches):
+        for batch in batches:
+            rows = []
+            for feed, p_ord, stops, lats, lons, listed in batch.itertuples(index=False, name=None):
+                options = {}
+                for o in listed:
+                    options.setdefault(o["stop"], []).append((o["lat"], o["lon"], o["source"]))
+                news = mended(list(stops), dict(zip(stops, zip(lats, lons, strict=True), strict=True)), options)
+                rows += [(feed, p_ord, s, *(n or (None, None, None)), "moved" if n else "dropped") for s, n in news.items()]
+            yield pd.DataFrame(rows, columns=["feed_id", "p_ord", "stop", "lat", "lon", "source", "outcome"])
+
+    def repair(seen: DataFrame) -> DataFrame:
+        stops = F.array_sort(F.collect_list(F.struct("i", "stop", "lat", "lon", "options"))).alias("s")
+        faulty = seen.join(known, "stop", "left").groupBy(*keys).agg(stops).filter(_faulty(F.col("s")))
+        option = lambda x: F.transform(x["options"], lambda o: F.struct(x["stop"].alias("stop"), o["lat"].alias("lat"), o["lon"].alias("lon"), o["source"].alias("source")))
+        listed = F.flatten(F.transform(F.filter("s", lambda x: x["options"].isNotNull()), option)).alias("listed")
+        return cut(faulty.select(*keys, "s.stop", "s.lat", "s.lon", listed).mapInPandas(mend, schema))
+
+    def seen_by(rows: DataFrame, news: DataFrame) -> DataFrame:
+        """The rows as their pattern sees them: with the last that an earlier one did to their stop."""
+        done = news.select(*keys, "stop", F.struct("lat", "lon", "outcome").alias("done"))
+        before = Window.partitionBy(*at).orderBy("p_ord", F.col("done").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = rows.unionByName(done, allowMissingColumns=True).withColumn("own", F.col("done").isNotNull()).withColumn("done", F.last("done", ignorenulls=True).over(before))
+        now = lambda c: F.when(F.col("done").isNotNull(), F.col("done")[c]).otherwise(F.col(c)).alias(c)
+        return met.filter(~F.col("own") & F.coalesce(F.col("done.outcome") != "dropped", F.lit(True))).select(*keys, "i", "stop", now("lat"), now("lon"))
+
+    news = changed = repair(passed)
+    while n := changed.count():
+        since = small(changed.groupBy(*at).agg(F.min("p_ord").alias("since")), n)
+        again = cut(passed.join(since, at).filter(F.col("p_ord") > F.col("since")).select(*keys).distinct())
+        turn = small(again, again.count())
+        fresh = repair(seen_by(passed.join(turn, keys, "left_semi"), news))
+        sides = news.join(turn, keys, "left_semi").withColumn("side", F.lit(-1)).unionByName(fresh.withColumn("side", F.lit(1)))
+        changed = cut(sides.groupBy(*fresh.columns).agg(F.sum("side").alias("side")).filter("side <> 0"))
+        news = cut(news.join(turn, keys, "left_anti").unionByName(fresh))
+    moved = F.max(F.when(F.col("outcome") == "moved", F.struct("p_ord", "lat", "lon", "source"))).alias("moved")
+    last = news.groupBy(*at).agg(F.max_by("outcome", "p_ord").alias("outcome"), moved)
+    state = placed.groupBy(*at).agg(F.first(F.struct("lat", "lon", "source")).alias("s")).join(last, at, "left")
+    now = lambda c: F.when(F.col("moved").isNotNull(), F.col("moved")[c]).otherwise(F.col("s")[c]).alias(c)
+    return cut(state.select(*at, now("lat"), now("lon"), now("source"), F.coalesce("outcome", F.lit("kept")).alias("outcome")))
 
 
 def holidays(lines: DataFrame, start: str, end: str) -> DataFrame:
