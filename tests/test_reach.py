@@ -98,6 +98,31 @@ def test_a_place_given_twice_and_an_empty_table(spark, town):
     assert reach.road_transfers(places.limit(0), nodes, {"normal": table}).count() == 0
 
 
+def test_places_at_one_spot_are_searched_for_once(spark, town):
+    """Copies of a place walk as it does, also to each other, and multiply only where the rows are written out."""
+    spots, arcs, nodes, table = town
+    rnd, widest, held, want = random.Random(9), [], usable(spots, arcs), {}
+    at = [(LAT0 + rnd.random() * 1100 * DEGREE, LON0 + rnd.random() * 1300 * DEGREE) for _ in range(12)]
+    n = len(at)
+
+    def cut(df):
+        kept = df.localCheckpoint()
+        widest.append(kept.count() if {"a", "b"} <= set(kept.columns) and "cost" not in kept.columns else 0)
+        return kept
+
+    for a, here in enumerate(at):
+        start = nearest(here, held, 400)
+        cost = dijkstra(arcs, [(start[0], 0.0)]) if start else {}
+        for b, to in enumerate(at):
+            end = nearest(to, held, 250)
+            if end and abs(here[0] - to[0]) < 0.005 and metres(here, to) <= 400 and end[0] in cost and cost[end[0]] + end[1] / 80 * 60 <= 600:
+                want |= {(a + n * i, b + n * j): int(cost[end[0]] + end[1] / 80 * 60) for i in range(5) for j in range(5) if a != b or i != j}
+    copies = spark.createDataFrame([(k + n * i, *spot) for k, spot in enumerate(at) for i in range(5)], "place_id long, lat double, lon double")
+    rows = reach.road_transfers(copies, nodes, {"normal": table}, gentle=None, cut=cut).collect()
+    assert {(r["a"], r["b"]): r["seconds"] for r in rows} == want and len(rows) == len(want) and any(a % n != b % n for a, b in want)
+    assert 0 < max(widest) <= n * n
+
+
 def test_each_question_has_its_own_limit_and_seeds(spark, town):
     spots, arcs, nodes, table = town
     asks = [("short", LAT0 + 3 * DEGREE, LON0, 2), ("long", LAT0 + 550 * DEGREE, LON0 + 650 * DEGREE, 12), ("off", LAT0 + 1.0, LON0, 500)]
