@@ -1,15 +1,18 @@
 """Clusters of coordinates and merged records of one place.
 
-These are greedy and depend on the order of rows, so they carry an ordinal and run per name, in
-``applyInPandas`` on groups of equal keys; names with a single row never leave the JVM.
+These are greedy and depend on the order of rows, so they carry an ordinal and run per name: clusters in
+``applyInPandas`` on groups of equal keys, where names with a single row never leave the JVM; merged records over sorted rows.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +82,101 @@ KIND_PRIORITY = (
     "おむつ替えのできるトイレ",
 )
 WIDE, NARROW = 0.014, 0.004
+#: Degrees of a cell, a little more than places of a name are ever apart when they merge, and rows of a batch handed back.
+CELL, BATCH = WIDE * 1.001, 10_000
+FIELDS = ("id", "ord", "key", "name", "facility_type", "lat", "lon", "hand", "toilet", "age_min", "age_max")
+RANK = {kind: i for i, kind in enumerate(KIND_PRIORITY)}
+
+
+def _reach(kind: str | None) -> float:
+    return NARROW if kind in ("公園", "イベント") else WIDE
+
+
+class Kept:
+    """The places of one name so far, in the order of their heads. A place is listed in its cell and the eight around it, so a
+    row looks at those alone that lie near it."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.at: list[tuple[float | None, float | None, float]] = []
+        self.cells: list[tuple[int, int] | None] = []
+        self.near: dict[tuple[int, int], list[int]] = {}
+
+    def _put(self, n: int, lat: float | None, lon: float | None, reach: float) -> None:
+        self.at[n] = lat, lon, reach
+        cell = None if lat is None or lon is None or not (math.isfinite(lat) and math.isfinite(lon)) else (math.floor(lat / CELL), math.floor(lon / CELL))
+        if cell == self.cells[n]:
+            return
+        for old, change in ((self.cells[n], list.remove), (cell, bisect.insort)):
+            for y, x in () if old is None else ((old[0] + dy, old[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                change(self.near.setdefault((y, x), []), n)
+        self.cells[n] = cell
+
+    def _first(self, lat: float | None, lon: float | None, own: float) -> int | None:
+        """The first place in whose reach, or in the row's own, the row lies; without coordinates there is none."""
+        if lat is None or lon is None or not (math.isfinite(lat) and math.isfinite(lon)):
+            return None
+        for n in self.near.get((math.floor(lat / CELL), math.floor(lon / CELL)), ()):
+            y, x, reach = self.at[n]
+            if math.hypot(y - lat, x - lon) < (own if own > reach else reach):
+                return n
+        return None
+
+    def take(self, row: tuple) -> None:
+        """The next row (``FIELDS``) joins a place or begins one."""
+        id_, _, _, name, kind, lat, lon, hand, toilet, low, high = row
+        own = _reach(kind)
+        n = self._first(lat, lon, own)
+        if n is None:
+            self.rows.append([*row, set(), []])
+            self.at.append((lat, lon, own))
+            self.cells.append(None)
+            self._put(len(self.rows) - 1, lat, lon, own)
+            return
+        into = self.rows[n]
+        if into[7] and not hand:
+            into[5], into[6] = lat, lon
+        head = into[4]
+        if kind != head or not kind:
+            kinds = [k for k in (into[4], kind) if k]
+            head = min(kinds, key=lambda k: RANK.get(k, len(RANK))) if kinds else None
+            if head != into[4]:
+                into[3] = name
+            into[11] |= {k for k in kinds if k != head}
+            into[11].discard(head)
+            into[4] = head
+        if self.at[n] != (into[5], into[6], reach := _reach(head)):
+            self._put(n, into[5], into[6], reach)
+        into[12].append(id_)
+        if toilet is True:
+            into[8] = True
+        # A place whose age isn't known stays so.
+        if into[9] is not None and low is not None and low < into[9]:
+            into[9] = low
+        if into[10] is not None and high is not None and high > into[10]:
+            into[10] = high
+
+
+def _values(column: pa.Array) -> list:
+    """A column's values, None where it has none; those of plain columns at once, not one by one."""
+    kind = pa.types
+    plain = kind.is_string(column.type) or (not column.null_count and (kind.is_integer(column.type) or kind.is_floating(column.type) or kind.is_boolean(column.type)))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
+def merged_in_order(rows: Iterable[tuple]) -> Iterator[list]:
+    """Merged rows (``FIELDS``, also_types, also_in) of rows that come name by name, in their order. Only the places of the
+    name at hand are held; a blank name merges nothing."""
+    kept, name = Kept(), None
+    for row in rows:
+        if row[2] == "":
+            yield [*row, [], []]
+            continue
+        if row[2] != name:
+            yield from ([*r[:11], sorted(r[11]), r[12]] for r in kept.rows)
+            kept, name = Kept(), row[2]
+        kept.take(row)
+    yield from ([*r[:11], sorted(r[11]), r[12]] for r in kept.rows)
 
 
 def merged_spots(spots: DataFrame) -> DataFrame:
@@ -86,49 +184,23 @@ def merged_spots(spots: DataFrame) -> DataFrame:
 
     spots: id, ord, key, name, facility_type, lat, lon, richness, hand, toilet, age_min, age_max.
     Richer spots come first; the head's kind and name are those of the best kind; ages widen;
-    an open record's coordinates replace a curated one's. Adds also_types and also_in.
+    an open record's coordinates replace a curated one's. Adds also_types and also_in. Names are sorted and come one
+    after another, so that small names cost no group of their own and a large one isn't gathered.
     """
-    reach = lambda kind: NARROW if kind in ("公園", "イベント") else WIDE
-    rank = {kind: i for i, kind in enumerate(KIND_PRIORITY)}
-    fields = ["id", "ord", "key", "name", "facility_type", "lat", "lon", "hand", "toilet", "age_min", "age_max"]
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["richness", "ord"], ascending=[False, True])
-        kept: list[dict] = []
-        # (lat, lon, reach) of the kept ones, in order.
-        at = np.empty((64, 3))
-        for row in group[fields].to_dict("records"):
-            row |= {"also_types": set(), "also_in": []}
-            lat, lon, own = row["lat"], row["lon"], reach(row["facility_type"])
-            seen = at[: len(kept)]
-            # A little wide; those left are measured exactly.
-            maybe = np.flatnonzero((seen[:, 0] - lat) ** 2 + (seen[:, 1] - lon) ** 2 < np.maximum(seen[:, 2], own) ** 2 * (1 + 1e-9))
-            n = next((n for n in maybe.tolist() if math.hypot(kept[n]["lat"] - lat, kept[n]["lon"] - lon) < max(reach(kept[n]["facility_type"]), own)), None)
-            if n is None:
-                if len(kept) == len(at):
-                    at = np.concatenate([at, np.empty_like(at)])
-                at[len(kept)] = lat, lon, own
-                kept.append(row)
-                continue
-            into = kept[n]
-            if into["hand"] and not row["hand"]:
-                into["lat"], into["lon"] = lat, lon
-            kinds = [k for k in (into["facility_type"], row["facility_type"]) if k]
-            head = min(kinds, key=lambda k: rank.get(k, len(rank))) if kinds else None
-            if head != into["facility_type"]:
-                into["name"] = row["name"]
-            into["also_types"] |= {k for k in kinds if k != head}
-            into["facility_type"] = head
-            at[n] = into["lat"], into["lon"], reach(head)
-            into["also_types"].discard(head)
-            into["also_in"].append(row["id"])
-            into["toilet"] = True if row["toilet"] is True else into["toilet"]
-            into["age_min"], into["age_max"] = min(into["age_min"], row["age_min"]), max(into["age_max"], row["age_max"])
-        out = pd.DataFrame(kept)
-        out["also_types"], out["also_in"] = [sorted(x) for x in out["also_types"]], list(out["also_in"])
-        return out[[*fields, "also_types", "also_in"]]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [first.schema.field(f).type for f in FIELDS]
+        kinds += [pa.list_(pa.string()), pa.list_(kinds[0])]
+        rows = (row for batch in itertools.chain([first], batches) for row in zip(*(_values(batch.column(f)) for f in FIELDS), strict=True))
+        merged = merged_in_order(rows)
+        while out := list(itertools.islice(merged, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[*FIELDS, "also_types", "also_in"])
 
     types = dict(spots.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in fields) + f", also_types array<string>, also_in array<{types['id']}>"
-    blank = spots.filter("key = ''").select(*fields, F.array().cast("array<string>").alias("also_types"), F.array().cast(f"array<{types['id']}>").alias("also_in"))
-    return spots.filter("key <> ''").groupBy("key").applyInPandas(merge, schema).unionByName(blank)
+    schema = ", ".join(f"{c} {types[c]}" for c in FIELDS) + f", also_types array<string>, also_in array<{types['id']}>"
+    # Blank names need not meet, so they are spread.
+    dealt = spots.filter("key is not null").repartition("key", F.when(F.col("key") == "", F.xxhash64("id")))
+    return dealt.sortWithinPartitions("key", F.desc_nulls_last("richness"), F.asc_nulls_last("ord")).select(*FIELDS).mapInArrow(merge, schema)
